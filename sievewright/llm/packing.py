@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,33 +14,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import span_hash, stored, text_chunks, word_spans
+from .shared import lower_ascii, span_hash, stored, text_chunks, word_spans
 
 #: Distinct words whose ids a worker keeps; it starts anew beyond.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
+
+
+_ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?*#$%&)\"")] = True
+#: Words that the tokenizer's normalizer and splitter leave alone, so that its model can be asked directly.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: bytes that print stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordIds:
     """Ids of each word, kept in flat arrays by the word's 64-bit hash.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in order, and each
-    distinct word is encoded once for a worker.
+    For a tokenizer that lower-cases, drops white space, and whose tokens span neither white space nor the border from
+    a letter or digit to a punctuation mark: a text's ids then are those of its parts in order, and each distinct part
+    is encoded once for a worker.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
         self.clear()
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        model, letters = self.tokenizer.model, self.letters
+        out = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))] if _PLAIN.fullmatch(w) else None for w in words]
+        odd = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
+            out[i] = x.ids
+        return out
+
     def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def add(self, keys: np.ndarray, words: list[str]) -> None:
-        got = [x.ids for x in self.encode(words, add_special_tokens=False)]
+        got = self.encode(words)
         size = np.array([len(x) for x in got], np.int64)
-        ids = np.array([i for x in got for i in x], np.uint32)
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -49,7 +77,19 @@ class WordIds:
 
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one behind the other, and where each text's begin (and the last's end)."""
-        starts, ends, first = word_spans(data, offs)
+        if b"<|" not in data.tobytes():  # else there may be special tokens, which are told by their case
+            data = lower_ascii(data)
+        starts, ends, _ = word_spans(data, offs)
+        n = int(offs[-1])
+        border = np.zeros(n + 1, bool)
+        if n:
+            latin = np.zeros(n, bool)
+            latin[1:] = (data[: n - 1] == 0xC3) & (data[1:n] != 0x97) & (data[1:n] != 0xB7)
+            border[1:n] = (_ALNUM[data[: n - 1]] | latin[: n - 1]) & _MARK[data[1:n]]
+            border[offs] = False
+        border = np.flatnonzero(border)
+        starts, ends = np.sort(np.concatenate([starts, border])), np.sort(np.concatenate([ends, border]))
+        first = np.searchsorted(starts, offs)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         keys, index, which = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
@@ -60,8 +100,8 @@ class WordIds:
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != keys[inside]
         new = np.flatnonzero(new)
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
+        for k in range(0, len(new), 5000):
+            some = new[k : k + 5000]
             self.add(keys[some], [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in index[some]])
         at = np.searchsorted(self.keys, keys)[which]
         size = self.size[at]
@@ -77,7 +117,7 @@ def _pieces(path: str, end_id: int, window: int, with_ids: bool):
         words = _cache.setdefault(path, None) or _cache.update({path: WordIds(path)}) or _cache[path]
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(1)):
+            for lo, hi, data, offs in text_chunks(batch.column(1), 4 << 20):
                 flat, ptr = words.texts(data, offs)
                 doc, start, length, ids, total, nth = [], [], [], [], [], []
                 for d in range(hi - lo):
