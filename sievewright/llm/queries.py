@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, quality, secrets
+from . import chat, embeddings, licenses, minhash, packing, pieces, quality, secrets, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +43,59 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op5_quality, op6_secrets)}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    found = warc.read_archives(archives, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+#: Fixed values of the query.
+RULES = (
+    urls.Rule("com", "/en/", "block"),
+    urls.Rule("example.com", "/en/7", "allow"),
+    urls.Rule("net", "/de/", "block"),
+    urls.Rule("example.net", "/de/8", "block"),
+    urls.Rule("org", "/es/", "block"),
+)
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(spark, _table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files named source/lang/doc_id."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")
+    found = licenses.scan_licenses(files)
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).cast("long").alias("doc_id"), "license", "score", "origin", "from_dir")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    chats = chat.format_chats(rows.union(more))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    back = chats.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("lost", chat.loss_text(F.col("formatted"), F.col("loss")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"),
+        F.sha2("lost", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+_ALL = (op1_packing, op2_minhash, op3_warc, op4_embeddings, op5_quality, op6_secrets, op7_urls, op8_licenses, op9_sentencepiece, op10_chat)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
