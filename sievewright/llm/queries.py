@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, licenses, minhash, packing, pieces, quality, secrets, urls, warc
+from . import chat, embeddings, licenses, minhash, packing, pieces, quality, secrets, sql, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,4 +98,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_packing, op2_minhash, op3_warc, op4_embeddings, op5_quality, op6_secrets, op7_urls, op8_licenses, op9_sentencepiece, op10_chat)
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL = sql.SQL
