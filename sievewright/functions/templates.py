@@ -47,9 +47,9 @@ def json_string(text: Column) -> Column:
         for raw, shown in short.items():
             out = F.when(ch == raw, shown) if out is None else out.when(ch == raw, shown)
         high, low = F.lit(0xD800) + F.shiftright(cp - 0x10000, 10), F.lit(0xDC00) + (cp - 0x10000).bitwiseAND(0x3FF)
-        return out.when(cp > 0xFFFF, F.concat(code(high), code(low))).when((cp < 32) | (cp > 127), code(cp)).otherwise(ch)
+        return out.when(cp > 0xFFFF, F.concat(code(high), code(low))).when((cp < 32) | (cp > 126), code(cp)).otherwise(ch)
 
-    odd = text.rlike(r'[^\x20-\x7F]|["\\]')
+    odd = text.rlike(r'[^\x20-\x7E]|["\\]')
     chars = F.split(text, "")
     return F.concat(F.lit('"'), F.when(odd, F.array_join(F.transform(chars, one), "")).otherwise(text), F.lit('"'))
 
