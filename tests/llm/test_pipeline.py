@@ -31,3 +31,21 @@ def test_stages(spark, sf_dir):
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
     brute.check_packing([(i, r.text) for i, r in done.items()], [r.asDict() for r in pieces.collect()], lambda t: tok.encode(t, add_special_tokens=False).ids)
+
+
+def test_stage_edges(spark):
+    text = " ".join(f"word{k * 7919 % 1000} is" for k in range(60))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, text, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, text + " token=abcdefabcdefabcd9", "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, got, "")
+        assert got.columns == docs.columns
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.columns == docs.columns and empty.count() == 0
+        if name == "quality":
+            assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 1, 2, 5]
+    assert sorted(((r.doc_id or 0), r.text == text) for r in got.collect()) == [(0, True), (1, True)]
+    alone = corpus_pipeline.secrets_stage(spark, docs, "").collect()
+    assert [r.text for r in alone if r.doc_id in (3, 4)] == [None, ""] and "[REDACTED]" in next(r.text for r in alone if r.doc_id == 5)
+    assert corpus_pipeline.STAGES[3][1](spark, got, "").count() == 2
