@@ -630,3 +630,16 @@ def jsonl_tolerant(spark, sf_dir):
     rows = rows.select(F.explode(F.array(F.col("j"), F.concat("j", F.lit("{")), F.lit("{oops"))).alias("value"))
     got = rows.select(readers.parse_line(F.col("value"), "struct<doc_id: bigint>").alias("r"))
     return got.filter("r is not null").select("r.doc_id", F.lit(0).cast("long").alias("bad"))
+
+
+@_query("select conv_id, cast(turn as bigint) as turn, role from conversations where turn = 0")
+def stream_resume(spark, sf_dir):
+    """First turns through the resumable stream, run twice: the second run finds nothing new."""
+    from ..streaming import resume
+
+    folder, source = resume.work_folder(spark, "stream"), f"{sf_dir}/conversations.parquet"
+    schema = spark.read.parquet(source).schema
+    step = lambda df: df.filter("turn = 0").select("conv_id", "turn", "role")
+    for _ in range(2):
+        resume.process_new_files(spark, source + "*", schema, step, f"{folder}/out", f"{folder}/mark", file_format="parquet")
+    return spark.read.schema("conv_id long, turn long, role string").json(f"{folder}/out").select("conv_id", "turn", "role")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,15 @@ def process_new_files(spark: SparkSession, source: str, schema: StructType, step
     return len(ran)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, deleted when the JVM ends; a local one where that is unset."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sievewright-")
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def read_appended(spark: SparkSession, path: str, schema: StructType, key: str = "id") -> DataFrame:
     """Appended records with one row for each key, the first by file time and name."""
     df = spark.read.schema(schema).json(path).withColumn("_at", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
