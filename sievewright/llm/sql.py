@@ -1,5 +1,7 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
+from .licenses import FILE_WORDS, LEAST, TEMPLATES, TERM, TRIGGER
+
 _CLOSURE = """, pairs as (select a, b from links union all select b, a from links),
  reach(node, spot) as (select id, id from nodes union select r.node, p.b from reach r join pairs p on p.a = r.spot),
  comp as (select node, min(spot) as component_id from reach group by node)"""
@@ -36,10 +38,29 @@ OP7 = r"""with u as (select page_id, case when strpos(url, '://') > 0 then subst
  f as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(verdict, length(rh || rp)) as verdict from h join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
  select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from h left join f using (page_id)"""
 
+_NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+
+OP8 = rf"""with d as (select doc_id, concat_ws('/', source, lang, doc_id) as path, coalesce(text, '') as text from documents),
+ h as (select path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_words, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')), chr(10)) as header from d),
+ g as (select * from h where header <> ''), n as (select count(*) as files from g),
+ tf as (select path, term, count(*) as tf from (select path, unnest(regexp_extract_all(lower(header), '{TERM}')) as term from g) group by 1, 2),
+ df as (select term, count(*) as df from tf group by 1), t(template, license, notice) as (values {_NOTICES}),
+ m as (select template, license, term, count(*) as tf from (select template, license, unnest(regexp_extract_all(lower(notice), '{TERM}')) as term from t) group by 1, 2, 3),
+ w as (select path, term, tf.tf * (ln((1 + files) / (1 + df.df)) + 1) as w from tf join df using (term) cross join n),
+ v as (select template, license, term, m.tf * (ln((1 + files) / (1 + coalesce(df.df, 0))) + 1) as v from m left join df using (term) cross join n),
+ vn as (select template, sqrt(sum(v * v)) as vn from v group by 1), wn as (select path, sqrt(sum(w * w)) as wn from w group by 1),
+ s as (select path, license, round(sum(w * v / vn) / any_value(wn), 6) as score from w join v using (term) join vn using (template) join wn using (path) group by path, template, license),
+ b as (select path, license, score from s where score >= {LEAST} qualify row_number() over (partition by path order by score desc, license) = 1),
+ f as (select regexp_replace(path, '/?[^/]*$', '') as dir, license, score from b join g using (path) where n_words <= {FILE_WORDS} qualify row_number() over (partition by regexp_replace(path, '/?[^/]*$', '') order by score desc, license) = 1),
+ u as (select doc_id, path, regexp_replace(path, '/?[^/]*$', '') as near, regexp_replace(path, '/[^/]*/[^/]*$', '') as far from d)
+ select doc_id, coalesce(b.license, x.license, y.license) as license, coalesce(b.score, x.score, y.score) as score,
+ case when b.license is not null then 'own' when x.license is not null or y.license is not null then 'inherited' else 'none' end as origin,
+ case when b.license is null then coalesce(x.dir, y.dir) end as from_dir from u left join b using (path) left join f x on x.dir = near left join f y on y.dir = far"""
+
 OP10 = r"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, x, case x when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from (values (0), (1)) v(x)),
  z as (select *, length(role) + length(regexp_replace(role, '[^\\<\[\]/]', '', 'g')) as role_size, case when contains(text, '</s>') then 2 + length(text) + length(regexp_replace(text, '[^\\<\[\]/]', '', 'g')) else length(text) end as text_size from t)
  select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
  cast(sum(9 + role_size + 1 + text_size + 4) as bigint) as formatted_chars from z group by conv_id"""
 
-SQL = {"op2_minhash": OP2, "op3_warc": OP3, "op4_embeddings": OP4, "op7_urls": OP7, "op10_chat": OP10}
+SQL = {"op2_minhash": OP2, "op3_warc": OP3, "op4_embeddings": OP4, "op7_urls": OP7, "op8_licenses": OP8, "op10_chat": OP10}
