@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path in the shared folder, for files that Spark has no writer for."""
+    if "://" not in uri and not uri.startswith("file:"):
+        uri = f"file://{uri}"
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

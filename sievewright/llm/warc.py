@@ -13,11 +13,10 @@ from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, partitions_of, stored
+from .shared import filesystem, fresh_path, partitions_of, stored
 
 #: An archive is closed once it holds so many bytes of records.
 ARCHIVE_BYTES = 128 << 20
@@ -187,16 +186,12 @@ def parse(data: bytes) -> dict:
     }
 
 
-def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class _Archive:
     """A ZIP with a stored member of gzipped records, and one with a line for each record: id, offset, length."""
 
     def __init__(self, folder: str, part: int):
         self.path = f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.zip"
-        store, at = _filesystem(self.path)
+        store, at = filesystem(self.path)
         store.create_dir(at.rsplit("/", 1)[0], recursive=True)
         self.zip, self.lines, self.at = StoredZip(store.open_output_stream(at)), [], 0
         self.zip.begin("archive/data.warc.gz")
@@ -266,7 +261,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in _SCHEMA.split(", ")] + [("payload", pa.binary())] * with_payload)
         for b in batches:
             for path, lo in zip(*(c.to_pylist() for c in b.columns)):
-                store, at = _filesystem(path)
+                store, at = filesystem(path)
                 with store.open_input_file(at) as file:
                     z = ZipFile(file)
                     data = next(m for m in z.members if m.name.endswith(".warc.gz"))
