@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Keys looked at to find even ranges for numbering; they decide how work is spread, not what comes out.
+_RANGE_KEYS = 4096
+
+
 def with_row_id(df: DataFrame, key: str, first: int = 0, name: str = "id") -> DataFrame:
     """Number rows by a key from `first` on, keeping ids that are there.
 
-    Rows are ranged by key, counted per partition, and numbered within it: no single task sees all rows.
+    Rows are dealt to as many key ranges as there are shuffle partitions, counted by range, and numbered within theirs,
+    so no single task sees all rows. The ranges are constants of the plan, taken from the keys of the smallest hashes:
+    a range partitioner would sample anew, and perhaps differently, for the count and for the numbering.
     """
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    n = ranged.groupBy("_p").count().withColumn("_before", F.sum("count").over(Window.orderBy("_p")) - F.col("count"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.col("_before") + first
-    out = ranged.join(F.broadcast(n.select("_p", "_before")), "_p").withColumn("_id", place.cast("long"))
+    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _RANGE_KEYS // 4)
+    keys = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(_RANGE_KEYS).collect()
+    keys = sorted(r[0] for r in keys)
+    bounds = keys[:: max(1, len(keys) // n)][1:]
+    ranged = df.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0))
+    # A count for each range.
+    counts = dict(ranged.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    before = list(accumulate((counts.get(k, 0) for k in range(len(bounds))), initial=first))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.get(F.array(*map(F.lit, before)), F.col("_p"))
+    out = ranged.withColumn("_id", place.cast("long"))
     own = F.coalesce(F.col(name), F.col("_id")) if name in df.columns else F.col("_id")
-    return out.withColumn(name, own).drop("_p", "_before", "_id")
+    return out.withColumn(name, own).drop("_p", "_id")
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
