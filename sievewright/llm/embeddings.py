@@ -101,8 +101,10 @@ def _pairs(t: pa.Table, kind: str, limit: float) -> tuple[np.ndarray, np.ndarray
     ids, n, home, part, a, b = (t.column(c).to_numpy(zero_copy_only=False) if c == "home" else t.column(c).to_numpy() for c in ("rep", "n", "home", "part", "part_a", "part_b"))
     k, d = t.column("block")[0].as_py(), t.column("dims")[0].as_py()
     v, q, cut, budget = _unit(t.column("vec").combine_chunks(), kind), rotation(d), cuts(d), budgets(d, limit)
+    # Row by row the same sum whatever the unit, so that all units agree on the blocks in which a pair is near.
+    turned = np.einsum("nd,de->ne", v, q)
     lo, hi = cut[k]
-    own = v @ q[:, lo:hi]
+    own = turned[:, lo:hi]
     norm = (own * own).sum(axis=1)
     count, labels = np.zeros(len(ids), np.int64), Labels(len(ids))
     sides = [(part == a, part == b)] + ([(part == b, part == a)] if a[0] != b[0] else [])
@@ -120,13 +122,16 @@ def _pairs(t: pa.Table, kind: str, limit: float) -> tuple[np.ndarray, np.ndarray
                 if not len(p):
                     continue
                 # A pair may be near in several blocks; it counts in the first.
-                gap = np.einsum("nd,de->ne", v[p], q) - np.einsum("nd,de->ne", v[r], q)
+                gap = turned[p] - turned[r]
                 inside = np.stack([(gap[:, e:f] ** 2).sum(axis=1) <= g * (1 + 1e-9) + 1e-15 for (e, f), g in zip(cut, budget)], axis=1)
                 first = inside.argmax(axis=1) == k
                 p, r = p[first], r[first]
+                if not len(p):
+                    continue
                 np.add.at(count, p, n[r])
-                for z in np.unique(p):
-                    labels.join(z, r[p == z])
+                head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+                for z, others in zip(p[head], np.split(r, head[1:])):
+                    labels.join(z, others)
     c, m = labels.stars()
     at = np.flatnonzero(count)
     return ids[at], count[at], ids[c], ids[m]
@@ -175,8 +180,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     reps = good.groupBy("grp", "vec_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"), F.first("dims").alias("dims"))
     # Copies whose ids are all null still need a name of their own.
     reps = stored(reps.withColumn("rep", F.coalesce("rep", -F.abs(F.xxhash64("grp", "vec_key")) - 1)), "distinct")
-    cells = stored(reps.mapInArrow(_cells(kind, limit), "cell long, grp long, rep long, n long, home boolean, block int, dims int, vec binary"), "cells")
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    # Worked out twice, for the sizes and for the units: that costs less than keeping each vector once for each cell.
+    cells = reps.mapInArrow(_cells(kind, limit), "cell long, grp long, rep long, n long, home boolean, block int, dims int, vec binary")
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     units = in_units(cells, sizes, "cell", "rep")
     out = units.repartition(partitions_of(spark), "unit").sortWithinPartitions("unit").mapInArrow(_join(kind, limit), "a long, n long, b long")
     out = stored(out, "links")
