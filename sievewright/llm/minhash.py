@@ -153,9 +153,11 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_cent
 
 def _confirm(width: int, per_cent: int):
     def unit(t: pa.Table) -> np.ndarray:
+        seen: set[tuple[int, bytes]] = set()
+        pairs = ((i, xxhash.xxh3_128_digest((x or "").encode())) for i, x in zip(t.column("rep").to_pylist(), t.column("text").to_pylist()))
+        keep = [k for k, p in enumerate(pairs) if not (p in seen or seen.add(p))]
+        t = t.take(pa.array(keep, pa.int64()))
         ids = t.column("rep").to_numpy()
-        _, keep = np.unique(ids, return_index=True)
-        t, ids = t.take(pa.array(keep)), ids[keep]
         part, a, b = (t.column(c).to_numpy() for c in ("part", "part_a", "part_b"))
         sets = [s for _, _, data, offs in text_chunks(t.column("text")) for s in shingle_sets(data, offs, width)]
         c, m = linked(sets, np.flatnonzero(part == a), np.flatnonzero(part == b), per_cent)
@@ -185,7 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     PART_TEXTS are split, each pair of parts a unit of its own.
 
     Null and empty texts have an empty set and are a component of their own. Null ids are linked with nothing and
-    keep a null component. Rows that repeat an id and text get equal results. Other columns are not read.
+    keep a null component. Equal sets are one node, named by their smallest id; where rows repeat an id with different
+    texts, sets with the same smallest id share the node and its links. Other columns are not read.
     """
     if per_cent < 70:
         raise ValueError("the tables and the agreement are laid out for similarities of 0.7 and more")

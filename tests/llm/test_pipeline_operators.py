@@ -43,6 +43,13 @@ def test_minhash_edges(spark):
     assert {tuple(r) for r in minhash.near_duplicates(null_id).collect()} == {(None, 2, None, True), (1, 2, 1, True)}
 
 
+def test_minhash_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (6, a + " tail"), (7, b + " tail"), (8, "c " * 9)]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), per_cent=85).collect())
+    assert [(r[0], r[2]) for r in got] == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
 def test_minhash_split_groups_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
