@@ -39,18 +39,18 @@ def _near(a: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] <= a["end"] + SCOPE) & (o["end"] >= a["start"] - SCOPE))
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add `spans`, array<struct<start, rank, end, kind, match>> sorted by start, then kind, to each row; no shuffle.
+def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
+    """Add a column `out`, array<struct<start, rank, end, kind, match>> sorted by start, then kind, to each row; no shuffle.
 
     Base kinds: assign (its value has 12 characters or more), access (18 or more), hex (16 or more), leftmost
     without overlap within a kind. Weak parts are added when their complement lies within SCOPE code points of the
     same text: an access identifier with a secret, a secret with an identifier, an endpoint with both. The interval
     join runs within the row, whose scope is its own text, so there is no key that could be hot.
 
-    Null and empty texts have no spans. Columns named like those used here are kept under their own names.
+    Null and empty texts have no spans. All columns are kept; none may be named `out` or begin with _sw_.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.columns
+    own = [F.col(f"`{c}`") for c in docs.columns]
     names = {k: f"_sw_{k}" for k in KINDS}
     found = docs.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_sw_m_{k}") for k, p in KINDS.items()))
     placed = found.select(*own, *(_located(text, KINDS[k], F.col(f"_sw_m_{k}"), k, i).alias(names[k]) for i, k in enumerate(KINDS)))
@@ -73,7 +73,7 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.filter(names["key_secret"], lambda x: _near(x, F.col("_sw_ids"))).alias(names["key_secret"]),
         F.filter(names["endpoint"], lambda x: _near(x, F.col("_sw_ids")) & _near(x, F.col("_sw_secrets"))).alias(names["endpoint"]),
     )
-    return linked.select(*own, F.array_sort(F.concat(*names.values())).alias("spans"))
+    return linked.select(*own, F.array_sort(F.concat(*names.values())).alias(out))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,8 +95,6 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     spans = F.col("_sw_spans")
     clean = F.when(F.size(spans) > 0, F.aggregate(spans, first, step, rest)).otherwise(F.col(text_col))
-    found = with_spans(docs, text_col).withColumnRenamed("spans", "_sw_spans") if "spans" not in docs.columns else None
-    if found is None:
-        raise ValueError("a column is named spans")
+    found = with_spans(docs, text_col, "_sw_spans")
     out = found.withColumn(text_col, clean).drop("_sw_spans")
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out

@@ -216,8 +216,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     """Write a record for each page (page_id, url, html) to ZIP archives under folder: (path, records) of each archive.
 
     The payload is the html in UTF-8; null is empty. Of pages with equal payloads of at least min_bytes, that with the
-    largest id is the response, the others revisit it (also further rows of the same id). Pages meet their payload's
-    response by its digest; a payload that many pages share is an aggregation key with map-side combine, and its
+    largest id is the response, the others revisit it; rows that repeat its id are responses too. A null url is left
+    out of its record; pages without an id can't be named and have none. Pages meet their payload's response by its digest; a payload that many pages share is an aggregation key with map-side combine, and its
     pages' partition is one that Spark may split. A task that runs again writes archives of new names, and only those
     of the task that ended count.
     """

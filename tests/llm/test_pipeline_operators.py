@@ -105,7 +105,7 @@ def test_secret_edges(spark, tmp_path):
     assert got[17].spans == "key_id:0:8,endpoint:9:26,hex:27:43"
     weak = spark.createDataFrame([(1, "client_id = someone99 " + "z " * 400 + "https://a.example/x", 0)], "doc_id long, text string, n_chars long")
     assert secrets.scan(weak).collect()[0].spans == []
-    masked = secrets.redact(edge(spark).withColumn("n_chars", F.lit(0))).filter("doc_id = 14").collect()[0]
+    masked = secrets.redact(edge(spark).withColumn("n_chars", F.lit(0)).withColumn("spans", F.lit("x")).withColumn("a.b", F.lit(1))).filter("doc_id = 14").collect()[0]
     assert masked.text == "[REDACTED] [REDACTED] [REDACTED]" and masked.n_chars == len(masked.text)
 
 
