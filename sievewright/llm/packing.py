@@ -39,9 +39,11 @@ class WordIds:
 
     For a tokenizer that lower-cases, drops white space, and whose tokens span neither white space nor the border from
     a letter or digit to a punctuation mark: a text's ids then are those of its parts in order, and each distinct part
-    is encoded once for a worker.
+    is encoded once for a worker. Another tokenizer gives itself away on a probe, and then whole texts are encoded.
     """
 
+    PROBE = "Ab  Cd, efÉ. It's 12!\nx-y (z) ... ü"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -49,6 +51,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.clear()
+        self.whole = False
+        raw = self.PROBE.encode()
+        ids, _ = self.texts(np.frombuffer(raw + bytes(8), np.uint8), np.array([0, len(raw)]))
+        self.whole = ids.tolist() != self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
+        self.clear()
 
     def encode(self, words: list[str]) -> list[list[int]]:
         model, letters = self.tokenizer.model, self.letters
@@ -77,6 +84,10 @@ class WordIds:
 
     def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one behind the other, and where each text's begin (and the last's end)."""
+        if self.whole:
+            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:])]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.append(0, np.cumsum([len(x) for x in got])).astype(np.int64)
         if b"<|" not in data.tobytes():  # else there may be special tokens, which are told by their case
             data = lower_ascii(data)
         starts, ends, _ = word_spans(data, offs)

@@ -127,6 +127,15 @@ def test_packing_edges(spark):
     assert packing.pack(edge(spark).limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_with_a_tokenizer_that_keeps_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = [r.asDict() for r in packing.pack(edge(spark), path, window=512, with_ids=False).collect()]
+    brute.check_packing(EDGE, got, lambda t: tok.encode(t, add_special_tokens=False).ids, 512)
+
+
 def test_best_fit_matches_one_by_one():
     rng = np.random.default_rng(3)
     for _ in range(30):
