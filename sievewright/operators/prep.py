@@ -144,3 +144,27 @@ def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def output_name(model: str, data: str, labelled: bool) -> str:
     base = lambda p: p.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     return f"{model.rstrip('/').rsplit('/', 1)[-1]}-{base(data)}-{'labelled' if labelled else 'unlabelled'}"
+
+
+#: Fixed value: metadata that a result document keeps.
+METADATA = ("model", "inference_time_seconds", "samples_per_second", "use_cot")
+
+
+def metadata_columns(df: DataFrame) -> DataFrame:
+    """The metadata columns that are there."""
+    return df.select(*(c for c in METADATA if c in df.columns))
+
+
+def merge_json(df: DataFrame, found: Column, kinds: dict[str, str]) -> DataFrame:
+    """Set keys of a JSON text over the columns of the same names; what the text lacks stays. kinds: type by key."""
+    parsed = F.from_json(found, ", ".join(f"{k} {v}" for k, v in kinds.items()), {"allowSingleQuotes": "false"})
+    out = df.withColumn("_json", parsed)
+    for k, v in kinds.items():
+        new = F.col(f"_json.{k}")
+        out = out.withColumn(k, F.coalesce(new, F.col(k).cast(v)) if k in df.columns else new)
+    return out.drop("_json")
+
+
+def with_outputs(df: DataFrame, output: str = "output") -> DataFrame:
+    """Rows that have an output; count the others before, they belong to the total."""
+    return df.filter(F.col(output).isNotNull())

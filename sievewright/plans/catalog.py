@@ -260,6 +260,20 @@ def inst_json(spark, sf_dir):
     return _inst(spark, sf_dir).select("id", text.inst_json(F.col("t")).alias("found"))
 
 
+@_query(f"select id, case when id % 8 = 0 then concat('step 1: d', id) else 'none' end as thought_process, case when id % 8 = 0 then cast(pred as bigint) when id % 8 = 6 then null else true_label end as predicted_label from ({_OUTPUTS}) o where id % 8 <> 6")
+def inst_merge(spark, sf_dir):
+    """JSON behind the instruction mark set over the record's own fields. Variant 6 has a label of another type."""
+    rows = _inst(spark, sf_dir).filter("id % 8 <> 6").withColumn("thought_process", F.lit("none")).withColumn("predicted_label", F.col("true_label"))
+    merged = prep.merge_json(rows, text.inst_json(F.col("t")), {"thought_process": "string", "predicted_label": "long"})
+    return merged.select("id", "thought_process", "predicted_label")
+
+
+@_query(f"select split, cast(count(*) as bigint) as n from (select 'train' as split from ({_PRED}) a union all select 'dev' from conversations) u group by split")
+def concat_splits(spark, sf_dir):
+    both = prep.concat_splits(train=predictions(spark, sf_dir).select("id"), dev=_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "role"))
+    return both.groupBy("split").agg(F.count("*").alias("n"))
+
+
 @_query(f"select id, concat('p', id) as premise, concat('h', id) as hypothesis from ({_INST}) i")
 def prompt_fields(spark, sf_dir):
     t = F.col("t")

@@ -50,6 +50,14 @@ def test_sft(spark):
     assert rows(prep.keep_first(dup, "id", "line"), "id") == [(1, "a", 1), (2, None, 3)]
 
 
+def test_merge_and_metadata(spark):
+    df = spark.createDataFrame([(1, "a", '{"v": "b", "n": 2}'), (2, "a", '{"n": 3}'), (3, "a", "oops"), (4, "a", None)], "id int, v string, j string")
+    got = rows(prep.merge_json(df, F.col("j"), {"v": "string", "n": "int"}).select("v", "n", "id"), "id")
+    assert got == [("b", 2, 1), ("a", 3, 2), ("a", None, 3), ("a", None, 4)]
+    assert prep.metadata_columns(df.withColumn("use_cot", F.lit(True)).withColumn("model", F.lit("m"))).columns == ["model", "use_cot"]
+    assert prep.with_outputs(df, "j").count() == 3
+
+
 def test_metrics(spark):
     df = spark.createDataFrame(list(zip([0, 0, 1, 1], [0, 1, 1, 2])), "t int, p int")
     m = metrics.macro_metrics(df, "t", "p").first()
