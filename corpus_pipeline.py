@@ -20,7 +20,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id are linked with nothing and stay.
     """
     found = stored(minhash.near_duplicates(docs).filter("doc_id is not null"), "verdicts")
-    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # By merging at every size: a broadcast of the dropped ids would only serve small inputs.
+    dropped = found.filter("not kept").select("doc_id").hint("merge")
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left
     return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
