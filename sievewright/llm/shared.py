@@ -195,9 +195,11 @@ def in_units(members: DataFrame, sizes: DataFrame, group: str, member: str) -> D
     """Deal groups to units for pairwise work. sizes: (group, parts). A group of one part is one unit; one of g parts
     makes g * (g + 1) / 2 units, each with two parts (or one), and every pair of members meets in exactly one unit
     as a pair of its own parts. Adds part, part_a, part_b and unit (a hash of group and parts). Only groups of several
-    parts take part in the join, so that it mostly is small enough for Spark to broadcast."""
+    parts take part in the join, and they are stored first: Spark then knows their size and broadcasts them if it is
+    small, without dealing out the members."""
     own = F.pmod(F.xxhash64(F.col(member)), F.col("parts")).cast("int")
-    df = members.join(sizes.filter("parts > 1"), group, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", own)
+    sizes = stored(sizes.filter("parts > 1"), "crowded")
+    df = members.join(sizes, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", own)
     df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
     df = df.withColumn("part_a", F.least("part", "_other")).withColumn("part_b", F.greatest("part", "_other"))
     return df.withColumn("unit", F.xxhash64(group, "part_a", "part_b")).drop("_other", "parts")
