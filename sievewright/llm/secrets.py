@@ -11,10 +11,13 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts of credentials. Alone they are ordinary text.
 KEY_ID = r"""(?i:access_?key(?:_?id)?|client_?id|account_?id|user_?name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{6,}|AKIA[A-Z0-9]{4,}"""
-KEY_SECRET = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])"
+#: A value may follow its name and `=` directly; `=` is padding at the end only.
+KEY_SECRET = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"""(?i:https?|s3|amqps?|postgres(?:ql)?|mysql|redis|mongodb)://[^\x20\x09-\x0D"'<>]+"""
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "key_id": KEY_ID, "key_secret": KEY_SECRET, "endpoint": ENDPOINT}
 BASE = ("assign", "access", "hex")
+#: Code points of an assigned value that is a secret by itself; shorter ones are the weak kind weak_assign.
+ALONE = 12
 #: Code points between parts that may belong together.
 SCOPE = 300
 MASK = "[REDACTED]"
@@ -44,36 +47,39 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> D
 
     Base kinds: assign (its value has 12 characters or more), access (18 or more), hex (16 or more), leftmost
     without overlap within a kind. Weak parts are added when their complement lies within SCOPE code points of the
-    same text: an access identifier with a secret, a secret with an identifier, an endpoint with both. The interval
-    join runs within the row, whose scope is its own text, so there is no key that could be hot.
+    same text: an access identifier with a secret, a secret (key_secret, or weak_assign: an assign with a shorter
+    value) with an identifier, an endpoint with both. The interval join runs within the row, whose scope is its own text, so there is no key that could be hot.
 
     Null and empty texts have no spans. All columns are kept; none may be named `out` or begin with _sw_.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    names = {k: f"_sw_{k}" for k in KINDS}
+    names, weak = {k: f"_sw_{k}" for k in KINDS}, "_sw_weak_assign"
     found = docs.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_sw_m_{k}") for k, p in KINDS.items()))
     placed = found.select(*own, *(_located(text, KINDS[k], F.col(f"_sw_m_{k}"), k, i).alias(names[k]) for i, k in enumerate(KINDS)))
     value = lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2))
     mixed = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Z]") & x["match"].rlike("[a-z]")
+    as_weak = lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end"), F.lit("weak_assign").alias("kind"), x["match"].alias("match"))
     kept = placed.select(
         *own,
-        F.filter(names["assign"], lambda x: value(x) >= 12).alias(names["assign"]),
+        F.filter(names["assign"], lambda x: value(x) >= ALONE).alias(names["assign"]),
+        F.transform(F.filter(names["assign"], lambda x: value(x) < ALONE), as_weak).alias(weak),
         F.filter(names["access"], lambda x: F.length(x["match"]) >= 18).alias(names["access"]),
         names["hex"],
         names["key_id"],
         F.filter(names["key_secret"], mixed).alias(names["key_secret"]),
         names["endpoint"],
     )
-    ids, secrets = F.concat(names["access"], names["key_id"]), F.concat(names["assign"], names["hex"], names["key_secret"])
-    linked = kept.select(*own, *(names[k] for k in BASE), ids.alias("_sw_ids"), secrets.alias("_sw_secrets"), names["key_id"], names["key_secret"], names["endpoint"]).select(
+    ids, secrets = F.concat(names["access"], names["key_id"]), F.concat(names["assign"], weak, names["hex"], names["key_secret"])
+    linked = kept.select(*own, *(names[k] for k in BASE), ids.alias("_sw_ids"), secrets.alias("_sw_secrets"), names["key_id"], names["key_secret"], names["endpoint"], weak).select(
         *own,
         *(names[k] for k in BASE),
         F.filter(names["key_id"], lambda x: _near(x, F.col("_sw_secrets")) & ~F.exists(names["access"], lambda o: o["start"] == x["start"])).alias(names["key_id"]),
         F.filter(names["key_secret"], lambda x: _near(x, F.col("_sw_ids"))).alias(names["key_secret"]),
         F.filter(names["endpoint"], lambda x: _near(x, F.col("_sw_ids")) & _near(x, F.col("_sw_secrets"))).alias(names["endpoint"]),
+        F.filter(weak, lambda x: _near(x, F.col("_sw_ids"))).alias(weak),
     )
-    return linked.select(*own, F.array_sort(F.concat(*names.values())).alias(out))
+    return linked.select(*own, F.array_sort(F.concat(*names.values(), weak)).alias(out))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
