@@ -206,6 +206,50 @@ def test_license_scores(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_full_licence_texts(spark):
+    assert len(MIT_TEXT.split()) > 2 * licenses.FILE_WORDS
+    notice = "Licensed under the Apache License, Version 2.0"
+    rows = [("r/LICENSE", MIT_TEXT), ("r/src/x.c", "int main;"), ("r/y.c", notice), ("s/license.py", MIT_TEXT), ("s/z.c", "int"), ("q/COPYING.txt", MIT_TEXT.replace("\n", "\r\n")), ("q/a/b/c.c", None), (None, MIT_TEXT)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.license, r.origin, r.from_dir) for r in licenses.scan_licenses(df).collect()}
+    assert got["r/LICENSE"] == ("MIT", "own", None) and got["r/src/x.c"] == ("MIT", "inherited", "r")
+    assert got["r/y.c"] == ("Apache-2.0", "own", None)
+    assert got["s/z.c"] == (None, "none", None)
+    assert got["q/a/b/c.c"] == ("MIT", "inherited", "q") and got["q/COPYING.txt"][:2] == ("MIT", "own")
+
+
+def test_licence_file_names():
+    import re
+
+    is_file = lambda x: bool(re.search(licenses.FILE_NAME, x))
+    assert all(map(is_file, ["LICENSE", "a/licence.md", "COPYING.LESSER", "COPYING3", "x/LICENSE-MIT", "LICENSE-2.0.txt", "MIT-LICENSE", "NOTICE", "UNLICENSE"]))
+    assert not any(map(is_file, ["license.py", "LICENSE/x.c", "third-party-licenses.txt", "a/licensed.txt", "web/en/12"]))
+
+
 # --- pieces
 
 
