@@ -242,6 +242,17 @@ def test_full_licence_texts(spark):
     assert got["q/a/b/c.c"] == ("MIT", "inherited", "q") and got["q/COPYING.txt"][:2] == ("MIT", "own")
 
 
+def test_root_licence(spark):
+    apache = "Licensed under the Apache License, Version 2.0"
+    rows = [("LICENSE", MIT_TEXT), ("setup.cfg", "x"), ("src/x.c", "int;"), ("src/a/b/y.c", None), ("lib/LICENSE", apache), ("lib/z/z.c", "int;"), (None, "text")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.license, r.origin, r.from_dir) for r in licenses.scan_licenses(df).collect()}
+    assert {p: got[p] for p in ("setup.cfg", "src/x.c", "src/a/b/y.c")} == dict.fromkeys(("setup.cfg", "src/x.c", "src/a/b/y.c"), ("MIT", "inherited", ""))
+    assert got["lib/z/z.c"] == ("Apache-2.0", "inherited", "lib") and got[None] == (None, "none", None)
+    full = spark.createDataFrame([("/LICENSE", apache), ("/src/x.c", "int;"), ("/y.c", "int;")], "path string, text string")
+    assert {r.path: (r.origin, r.from_dir) for r in licenses.scan_licenses(full).collect()}["/src/x.c"] == ("inherited", "")
+
+
 def test_licence_file_names():
     import re
 
