@@ -156,13 +156,17 @@ def metadata_columns(df: DataFrame) -> DataFrame:
 
 
 def merge_json(df: DataFrame, found: Column, kinds: dict[str, str]) -> DataFrame:
-    """Set keys of a JSON text over the columns of the same names; what the text lacks stays. kinds: type by key."""
+    """Set keys of a JSON text over the columns of the same names; what the text lacks stays. kinds: type by key.
+
+    A value that can't be read as its type is null, as JSON null is: the text has the key, so the old value goes.
+    """
     parsed = F.from_json(found, ", ".join(f"{k} {v}" for k, v in kinds.items()), {"allowSingleQuotes": "false"})
-    out = df.withColumn("_json", parsed)
+    keys = F.map_keys(F.from_json(found, "map<string, string>", {"allowSingleQuotes": "false"}))
+    out = df.withColumn("_json", parsed).withColumn("_keys", keys)
     for k, v in kinds.items():
-        new = F.col(f"_json.{k}")
-        out = out.withColumn(k, F.coalesce(new, F.col(k).cast(v)) if k in df.columns else new)
-    return out.drop("_json")
+        new, has = F.col(f"_json.{k}"), F.coalesce(F.array_contains("_keys", k), F.lit(False))
+        out = out.withColumn(k, F.when(has, new).otherwise(F.col(k).cast(v)) if k in df.columns else new)
+    return out.drop("_json", "_keys")
 
 
 def with_outputs(df: DataFrame, output: str = "output") -> DataFrame:

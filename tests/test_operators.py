@@ -58,6 +58,13 @@ def test_merge_and_metadata(spark):
     assert prep.with_outputs(df, "j").count() == 3
 
 
+def test_merge_with_values_of_another_type(spark):
+    texts = ['{"n": "no entailment", "v": "b"}', '{"n": null}', '{"v": "c"}', '{"v": "c", "n": ...}', '{"n": 4} {"v": "d"}']
+    df = spark.createDataFrame([(i, "a", 7, t) for i, t in enumerate(texts)], "id int, v string, n long, j string")
+    got = rows(prep.merge_json(df, F.col("j"), {"v": "string", "n": "long"}).select("v", "n", "id"), "id")
+    assert got == [("b", None, 0), ("a", None, 1), ("c", 7, 2), ("a", 7, 3), ("a", 4, 4)]
+
+
 def test_metrics(spark):
     df = spark.createDataFrame(list(zip([0, 0, 1, 1], [0, 1, 1, 2])), "t int, p int")
     m = metrics.macro_metrics(df, "t", "p").first()
