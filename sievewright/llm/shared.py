@@ -169,11 +169,13 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.
 # --- groups ----------------------------------------------------------------------------------------------------
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Stream rows sorted by `key` as tables of whole groups; the flag is True where a group over `limit` rows goes on.
+    """Stream rows sorted by `key` as tables of whole groups; the flag is True for each table of a group over `limit` rows.
 
+    Such a group comes in several tables, each but the first led by the group's first row; none holds another group.
     At most one batch and `limit` rows are held.
     """
     held: pa.Table | None = None
+    crowded = False
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t])
@@ -181,14 +183,19 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Ite
             continue
         k = t.column(key).to_numpy()
         cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
+        if cut and crowded:
+            end = int(np.flatnonzero(k != k[0])[0])
+            if end > 1:
+                yield t.slice(0, end), True
+            t, cut, crowded = t.slice(end), cut - end, False
         if cut:
             yield t.slice(0, cut), False
         held = t.slice(cut).combine_chunks()
-        if held.num_rows > limit:
+        if held.num_rows > (1 if crowded else limit):
             yield held, True
-            held = held.slice(0, 1)
-    if held is not None and held.num_rows:
-        yield held, False
+            held, crowded = held.slice(0, 1), True
+    if held is not None and held.num_rows > crowded:
+        yield held, crowded
 
 
 def in_units(members: DataFrame, sizes: DataFrame, group: str, member: str) -> DataFrame:

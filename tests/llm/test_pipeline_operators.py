@@ -34,6 +34,33 @@ def test_minhash(spark, sf_dir, rows):
     assert got == brute.near_duplicates(rows)
 
 
+def test_bucket_over_several_batches():
+    import pyarrow as pa
+
+    from sievewright.llm.shared import whole_groups
+
+    keys = [0] * 3 + [1] * 35 + [2] * 4 + [3] * 25
+    batches = lambda n: pa.Table.from_arrays([pa.array(keys), pa.array(range(len(keys)))], ["key", "rep"]).to_batches(n)
+    for n in (1, 3, 5, 10, 19, 100):
+        seen = {True: {}, False: {}}
+        for t, more in whole_groups(batches(n), "key", 20):
+            k = t.column("key").to_pylist()
+            assert not more or len(set(k)) == 1
+            for x, r in zip(k, t.column("rep").to_pylist()):
+                seen[more].setdefault(x, set()).add(r)
+        by = {x: {r for r, y in enumerate(keys) if y == x} for x in set(keys)}
+        assert {x: seen[False].get(x) for x in (0, 2)} == {0: by[0], 2: by[2]}, n
+        if n < 20:
+            assert seen[True] == {1: by[1], 3: by[3]} and set(seen[False]) == {0, 2}, n
+    rows = pa.Table.from_arrays([pa.array([7] * 35), pa.array(range(35)), pa.array([bytes([i]) * 120 for i in range(35)])], ["key", "rep", "body"])
+    old, minhash.BUCKET = minhash.BUCKET, 20
+    try:
+        edges = [e for b in minhash._candidates(iter(rows.to_batches(10))) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    finally:
+        minhash.BUCKET = old
+    assert set(edges) == {(0, i) for i in range(1, 35)}
+
+
 def test_minhash_edges(spark):
     df = minhash.near_duplicates(edge(spark, EDGE[3:8]), per_cent=85)
     assert df.count() == len(EDGE) + 5
