@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.validate import NLI, REFLECTION, SCORE, Shape, validate
+from ..storage import stored
 
 
 class Backend(Protocol):
@@ -144,15 +145,20 @@ def score_rounds(df: DataFrame, score_once: Callable[[DataFrame, int], DataFrame
     """Score, keep what reaches `least`, score the rest again, for a bounded number of rounds.
 
     score_once(rows, round) returns the rows with a column score. The result has `tier` (gold or low) and `round`; each
-    row is scored until it passes or the rounds end.
+    row is scored until it passes or the rounds end. A round's scores are written to the shared folder before they are
+    split, so a scorer that answers otherwise when asked again neither loses nor doubles a row, and is asked once for
+    each row and round. A null score doesn't pass.
     """
     done, left = None, df
     for k in range(rounds):
-        scored = score_once(left, k).withColumn("round", F.lit(k))
+        scored = stored(score_once(left, k).withColumn("round", F.lit(k)), f"scores-{k}")
         passed = F.coalesce(F.col("score") >= least, F.lit(False))
-        good = scored if k == rounds - 1 else scored.filter(passed)
+        last = k == rounds - 1
+        good = scored if last else scored.filter(passed)
         done = good if done is None else done.unionByName(good)
         left = scored.filter(~passed).drop("score", "round")
+        if not last and left.isEmpty():
+            break
     return done.withColumn("tier", F.when(F.col("score") >= least, "gold").otherwise("low"))
 
 

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import stored, unused
 
-#: Keys looked at to find even ranges for numbering; they decide how work is spread, not what comes out.
-_RANGE_KEYS = 4096
+def _numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with `name`, the number of each row from 0 in key order, nulls first.
 
+    Rows are dealt to key ranges, one for each shuffle partition, and numbered within theirs; a range then begins where
+    those before it end. The dealt rows are written first: a range partitioner samples anew, and perhaps differently,
+    each time it runs, and the counts and the numbers must come from the same ranges. Rows with an equal key, or none,
+    may fill several ranges, told apart by their content; their order among each other is open.
+    """
+    part, n, before = unused(df, "_part", "_n", "_before")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in plain or [key]))
+    dealt = df.repartitionByRange(parts, F.col(key).asc_nulls_first(), content).withColumn(part, F.spark_partition_id())
+    dealt = stored(dealt, "ranges")
+    # One row for each range; their running sum is the only window without a key.
+    counts = dealt.groupBy(part).agg(F.count("*").alias(n))
+    starts = counts.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(before))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(F.col(key).asc_nulls_first())) - 1
+    return dealt.withColumn(name, own.cast("long")).join(starts, part).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
 
-def with_row_id(df: DataFrame, key: str, first: int = 0, name: str = "id") -> DataFrame:
-    """Number rows by a key from `first` on, keeping ids that are there.
 
-    Rows are dealt to as many key ranges as there are shuffle partitions, counted by range, and numbered within theirs,
-    so no single task sees all rows. The ranges are constants of the plan, taken from the keys of the smallest hashes:
-    a range partitioner would sample anew, and perhaps differently, for the count and for the numbering.
-    """
-    n = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _RANGE_KEYS // 4)
-    keys = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(_RANGE_KEYS).collect()
-    keys = sorted(r[0] for r in keys)
-    bounds = keys[:: max(1, len(keys) // n)][1:]
-    ranged = df.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0))
-    # A count for each range.
-    counts = dict(ranged.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    before = list(accumulate((counts.get(k, 0) for k in range(len(bounds))), initial=first))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.get(F.array(*map(F.lit, before)), F.col("_p"))
-    out = ranged.withColumn("_id", place.cast("long"))
-    own = F.coalesce(F.col(name), F.col("_id")) if name in df.columns else F.col("_id")
-    return out.withColumn(name, own).drop("_p", "_id")
+def with_row_id(df: DataFrame, key: str, first: int = 0, name: str = "id") -> DataFrame:
+    """Number rows by a key from `first` on, nulls first, keeping ids that are there. All other columns stay."""
+    (place,) = unused(df, "_place")
+    out = _numbered(df, key, place)
+    at = F.col(place) + F.lit(first)
+    return out.withColumn(name, F.coalesce(F.col(name), at) if name in df.columns else at).drop(place)
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -110,22 +113,29 @@ def missing_fields(df: DataFrame, *fields: str) -> DataFrame:
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in ingestion order: an aggregation with map-side combine, no window."""
     rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return best.select(*(F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns))
+    (row,) = unused(df, "_row")
+    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias(row))
+    return best.select(*(F.col(key) if c == key else F.col(f"{row}.{c}").alias(c) for c in df.columns))
 
 
 def row_slice(df: DataFrame, key: str, start: int, end: int | None = None) -> DataFrame:
-    """Rows [start, end) in key order."""
-    out = df.orderBy(key).offset(start)
-    return out if end is None else out.limit(max(0, end - start))
+    """Rows [start, end) in key order, nulls first.
+
+    Rows are numbered by ranges and filtered, so a slice far in costs no task more than its own range.
+    """
+    (place,) = unused(df, "_place")
+    at = F.col(place)
+    inside = at >= start if end is None else (at >= start) & (at < end)
+    return _numbered(df, key, place).filter(inside).drop(place)
 
 
 def worker_chunks(df: DataFrame, key: str, workers: int) -> DataFrame:
     """Contiguous chunks of ceil(n / workers) rows in key order, as worker_id from 0."""
-    numbered = with_row_id(df, key, name="_row")
-    n = df.agg(F.count("*").alias("_n"))
-    size = F.greatest(F.ceil(F.col("_n") / workers), F.lit(1))
-    return numbered.crossJoin(F.broadcast(n)).withColumn("worker_id", F.floor(F.col("_row") / size).cast("int")).drop("_row", "_n")
+    place, total = unused(df, "_place", "_total")
+    numbered = _numbered(df, key, place)
+    n = df.agg(F.count("*").alias(total))
+    size = F.greatest(F.ceil(F.col(total) / workers), F.lit(1))
+    return numbered.crossJoin(F.broadcast(n)).withColumn("worker_id", F.floor(F.col(place) / size).cast("int")).drop(place, total)
 
 
 def concat_splits(**splits: DataFrame) -> DataFrame:
@@ -162,11 +172,12 @@ def merge_json(df: DataFrame, found: Column, kinds: dict[str, str]) -> DataFrame
     """
     parsed = F.from_json(found, ", ".join(f"{k} {v}" for k, v in kinds.items()), {"allowSingleQuotes": "false"})
     keys = F.map_keys(F.from_json(found, "map<string, string>", {"allowSingleQuotes": "false"}))
-    out = df.withColumn("_json", parsed).withColumn("_keys", keys)
+    json, has_key = unused(df, "_json", "_keys")
+    out = df.withColumn(json, parsed).withColumn(has_key, keys)
     for k, v in kinds.items():
-        new, has = F.col(f"_json.{k}"), F.coalesce(F.array_contains("_keys", k), F.lit(False))
+        new, has = F.col(f"{json}.{k}"), F.coalesce(F.array_contains(has_key, k), F.lit(False))
         out = out.withColumn(k, F.when(has, new).otherwise(F.col(k).cast(v)) if k in df.columns else new)
-    return out.drop("_json", "_keys")
+    return out.drop(json, has_key)
 
 
 def with_outputs(df: DataFrame, output: str = "output") -> DataFrame:

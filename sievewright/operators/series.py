@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import unused
+
 
 def drop_gaps(df: DataFrame, value: str) -> DataFrame:
     """Rows whose value is neither null nor NaN."""
@@ -15,20 +17,20 @@ def rolling_mean(df: DataFrame, run: str, step: str, value: str, parts: int = 10
     """Trailing mean over max(1, rows of the run // parts) rows of the run in step order; NaN and null are passed over.
 
     The width differs between runs, so running sums are taken and the sum before the window is looked up by row
-    number: two windows over one sort and a join, whatever the width.
+    number: two windows over one sort and a join, whatever the width. A null run is a run like another.
     """
+    rn, n, w, total, count, at, total0, count0, run0 = unused(df, "_rn", "_n", "_w", "_s", "_c", "_at", "_s0", "_c0", "_run")
     clean = F.when(~F.isnan(value), F.col(value))
     order = Window.partitionBy(run).orderBy(step)
-    rows = df.select("*", F.row_number().over(order).alias("_rn"), F.count("*").over(Window.partitionBy(run)).alias("_n"))
-    rows = rows.withColumn("_w", F.greatest(F.lit(1), F.floor(F.col("_n") / parts)))
+    rows = df.select("*", F.row_number().over(order).alias(rn), F.count("*").over(Window.partitionBy(run)).alias(n))
+    rows = rows.withColumn(w, F.greatest(F.lit(1), F.floor(F.col(n) / parts)))
     frame = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum(clean.cast("decimal(30,8)")).over(frame)).withColumn("_c", F.count(clean).over(frame))
-    past = rows.select(F.col(run).alias("_run"), F.col("_rn").alias("_at"), F.col("_s").alias("_s0"), F.col("_c").alias("_c0"))
-    out = rows.join(past, (F.col(run) == F.col("_run")) & (F.col("_rn") - F.col("_w") == F.col("_at")), "left")
-    total = F.coalesce("_s", F.lit(0)) - F.coalesce("_s0", F.lit(0))
-    n = F.col("_c") - F.coalesce("_c0", F.lit(0))
-    mean = F.try_divide(total.cast("double"), n.cast("double"))
-    return out.withColumn("rolling", mean).drop("_rn", "_n", "_w", "_s", "_c", "_run", "_at", "_s0", "_c0")
+    rows = rows.withColumn(total, F.sum(clean.cast("decimal(30,8)")).over(frame)).withColumn(count, F.count(clean).over(frame))
+    past = rows.select(F.col(run).alias(run0), F.col(rn).alias(at), F.col(total).alias(total0), F.col(count).alias(count0))
+    out = rows.join(past, F.col(run).eqNullSafe(F.col(run0)) & (F.col(rn) - F.col(w) == F.col(at)), "left")
+    own = F.coalesce(total, F.lit(0)) - F.coalesce(total0, F.lit(0))
+    mean = F.try_divide(own.cast("double"), (F.col(count) - F.coalesce(count0, F.lit(0))).cast("double"))
+    return out.withColumn("rolling", mean).drop(rn, n, w, total, count, run0, at, total0, count0)
 
 
 def best_step(df: DataFrame, run: str, step: str, value: str, largest: bool = False) -> DataFrame:
@@ -40,8 +42,10 @@ def best_step(df: DataFrame, run: str, step: str, value: str, largest: bool = Fa
 
 def as_percent(df: DataFrame, run: str, value: str) -> DataFrame:
     """Multiply a run's values by 100 where its largest is 1 or less: an aggregate per run, joined back."""
-    top = df.groupBy(run).agg(F.max(F.when(~F.isnan(value), F.col(value))).alias("_top"))
-    return df.join(top, run).withColumn(value, F.when(F.col("_top") <= 1.0, F.col(value) * 100).otherwise(F.col(value))).drop("_top")
+    most, run0 = unused(df, "_top", "_run")
+    top = df.groupBy(F.col(run).alias(run0)).agg(F.max(F.when(~F.isnan(value), F.col(value))).alias(most))
+    both = df.join(top, F.col(run).eqNullSafe(F.col(run0)))
+    return both.withColumn(value, F.when(F.col(most) <= 1.0, F.col(value) * 100).otherwise(F.col(value))).drop(most, run0)
 
 
 def latest_runs(runs: DataFrame, n: int = 3) -> DataFrame:

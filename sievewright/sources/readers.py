@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header line; quoted fields may hold commas, doubled quotes and line ends."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with a header line; quoted fields may hold commas, doubled quotes and line ends.
+
+    With line ends in fields a file can't be split, so one task reads each; without them (multi_line=False) large files
+    are read by ranges.
+    """
+    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
 
 
 def parse_line(line: Column, schema: StructType | str) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.prep import keep_first
+from ..storage import fresh_path, unused
 
 
 def process_new_files(spark: SparkSession, source: str, schema: StructType, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 16, file_format: str = "json") -> int:
@@ -32,15 +31,13 @@ def process_new_files(spark: SparkSession, source: str, schema: StructType, step
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, deleted when the JVM ends; a local one where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sievewright-")
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A new folder that all executors share, deleted when the JVM ends."""
+    return fresh_path(spark, name)
 
 
 def read_appended(spark: SparkSession, path: str, schema: StructType, key: str = "id") -> DataFrame:
     """Appended records with one row for each key, the first by file time and name."""
-    df = spark.read.schema(schema).json(path).withColumn("_at", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
-    return keep_first(df, key, "_at").drop("_at")
+    df = spark.read.schema(schema).json(path)
+    (at,) = unused(df, "_at")
+    df = df.withColumn(at, F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
+    return keep_first(df, key, at).drop(at)

@@ -148,3 +148,54 @@ def test_resume(spark, tmp_path):
     assert spark.read.schema(schema).json(out).count() == 4
     assert rows(resume.read_appended(spark, out, schema).select("id"), "id") == [(1,), (2,), (3,)]
     assert rows(prep.not_done(spark.range(5), spark.range(3), "id"), "id") == [(3,), (4,)]
+
+
+def test_score_rounds_with_a_random_scorer(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def judge(x):
+        import random
+
+        calls.add(1)
+        return random.randint(0, 5)
+
+    got = backends.score_rounds(spark.range(600), lambda d, k: d.withColumn("score", judge.asNondeterministic()("id")), rounds=3).collect()
+    assert sorted(r.id for r in got) == list(range(600))
+    assert calls.value == sum(r["round"] + 1 for r in got)
+    assert all((r.tier == "gold") == (r.score >= 4) and (r.score >= 4 or r["round"] == 2) for r in got)
+
+
+def test_shared_folder(spark):
+    from sievewright import storage
+
+    class Cluster:
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Cluster)
+    assert storage.shared_dir(spark)
+    assert storage.unused(spark.range(1).withColumn("_ID", F.lit(1)), "_id", "_n", "id") == ["__id", "_n", "___id"]
+
+
+def test_numbering_keeps_every_column(spark):
+    df = spark.createDataFrame([(3, "c", 1, 9), (None, "n", 2, 9), (1, "a", 3, 9), (2, "b", 4, 9), (None, "m", 5, 9)], "k int, _id string, _row int, _place int")
+    got = rows(prep.with_row_id(df, "k", name="no"), "no")
+    assert [x[-1] for x in got] == [0, 1, 2, 3, 4] and [x[1] for x in got[2:]] == ["a", "b", "c"] and {x[1] for x in got[:2]} == {"n", "m"}
+    assert {x[3] for x in got} == {9} and prep.with_row_id(df.limit(0), "k", name="no").count() == 0
+    chunks = prep.worker_chunks(df, "k", 2)
+    assert chunks.columns == ["k", "_id", "_row", "_place", "worker_id"]
+    assert sorted(r.worker_id for r in chunks.collect()) == [0, 0, 0, 1, 1]
+    assert {r._id for r in prep.row_slice(df, "k", 3).collect()} == {"b", "c"}
+    assert prep.keep_first(df.fillna(0), "k", "_row").count() == 4
+
+
+def test_rolling_mean_of_a_null_run(spark):
+    df = spark.createDataFrame([(None, 1, 2.0, 7), (None, 2, 4.0, 7), ("a", 1, 0.5, 7)], "run string, step int, loss double, _s int")
+    got = series.rolling_mean(df, "run", "step", "loss", parts=2).collect()
+    assert {(r.run, r.step): r.rolling for r in got} == {(None, 1): 2.0, (None, 2): 4.0, ("a", 1): 0.5} and {r._s for r in got} == {7}
+    assert {(r.run, r.loss) for r in series.as_percent(df, "run", "loss").collect()} == {(None, 2.0), (None, 4.0), ("a", 50.0)}
