@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Labels, components, in_units, mix, partitions_of, stored, whole_groups
+from ..storage import stored
+from .shared import Labels, components, in_units, mix, partitions_of, whole_groups
 
 #: Blocks that the rotated vectors are cut into, and coordinates of a block that make up the cell of its range join.
 BLOCKS, CELL_DIMS = 8, 2

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Labels, components, in_units, mix, partitions_of, shingle_sets, stored, text_chunks, whole_groups
+from ..storage import stored
+from .shared import Labels, components, in_units, mix, partitions_of, shingle_sets, text_chunks, whole_groups
 
 #: Each of two collections has SIDE tuples of ROWS minhashes; the SIDE * SIDE tables take a tuple of each as their
 #: key. A pair of similarity 0.85 shares a table but for 2 * (1 - 0.85**ROWS)**SIDE = 2e-5.

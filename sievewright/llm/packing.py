@@ -14,7 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, span_hash, stored, text_chunks, word_spans
+from ..storage import stored
+from .shared import lower_ascii, span_hash, text_chunks, word_spans
 
 #: Distinct words whose ids a worker keeps; it starts anew beyond.
 CACHE_WORDS = 1_000_000

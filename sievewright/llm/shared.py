@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,36 +11,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 _U = np.uint64
 _TAIL = 8
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sievewright.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sievewright-")
-        spark.conf.set("spark.sievewright.dir", at)
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/sievewright/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system for a path in the shared folder, for files that Spark has no writer for."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -232,23 +206,32 @@ class Labels:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components: (node, component), component being the smallest node; nodes without an edge are left out.
 
-    Hook each node to its smallest neighbour, shorten the pointers, contract the edges, until none is left. Each
-    round is two joins and an aggregation with map-side combine; rounds grow with the logarithm of a component.
+    A round hooks each node to its smallest neighbour if that is smaller, follows the pointers to their ends, and
+    contracts the edges, until none is left. A node that stays either takes in a neighbour or has a smaller one in the
+    next round, so two rounds halve the nodes at least; the pointers of a round are followed in a number of steps that
+    is the logarithm of their longest chain. A path in the order of its ids is one round. Steps are joins and
+    aggregations with map-side combine over stored tables.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     e = stored(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    labels = None
+    labels, rounds = None, 0
     while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         p = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        q = p.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        p = p.join(q, "p").select("u", F.col("q").alias("p"))
-        p = stored(p, "parents")
+        p, moved = stored(p, "parents"), True
+        while moved:
+            q = p.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            p = stored(p.join(q, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
+            moved = not p.filter("moved").isEmpty()
+            p = p.drop("moved")
         if labels is None:
             labels = p.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
             hop = p.select(F.col("u").alias("component"), "p")
             labels = labels.join(hop, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+        rounds += 1
+        if rounds % 4 == 0:
+            labels = stored(labels, "labels")
         pu, pv = p.select("u", F.col("p").alias("pu")), p.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         e = e.join(pu, "u").join(pv, "v").filter("pu <> pv")
         e = stored(e.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges")

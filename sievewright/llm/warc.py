@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import filesystem, fresh_path, partitions_of, stored
+from ..storage import fresh_path, stored
+from .shared import filesystem, partitions_of
 
 #: An archive is closed once it holds so many bytes of records.
 ARCHIVE_BYTES = 128 << 20
