@@ -145,52 +145,67 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[tuple[pa.Table, bool]]:
     """Stream rows sorted by `key` as tables of whole groups; the flag is True for each table of a group over `limit` rows.
 
-    Such a group comes in several tables, each but the first led by the group's first row; none holds another group.
-    At most one batch and `limit` rows are held.
+    Such a group comes in several tables, none of which holds another group; each row comes once. At most one batch
+    and `limit` rows are held.
     """
     held: pa.Table | None = None
-    crowded = False
+    crowded = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t])
         if not t.num_rows:
             continue
         k = t.column(key).to_numpy()
-        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
-        if cut and crowded:
-            end = int(np.flatnonzero(k != k[0])[0])
-            if end > 1:
+        if crowded is not None:
+            other = np.flatnonzero(k != crowded)
+            end = int(other[0]) if len(other) else len(k)
+            if end:
                 yield t.slice(0, end), True
-            t, cut, crowded = t.slice(end), cut - end, False
+            t, k, held = t.slice(end), k[end:], None
+            if not len(k):
+                continue
+            crowded = None
+        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
         if cut:
             yield t.slice(0, cut), False
         held = t.slice(cut).combine_chunks()
-        if held.num_rows > (1 if crowded else limit):
+        if held.num_rows > limit:
             yield held, True
-            held, crowded = held.slice(0, 1), True
-    if held is not None and held.num_rows > crowded:
-        yield held, crowded
-
-
-def in_units(members: DataFrame, sizes: DataFrame, group: str, member: str) -> DataFrame:
-    """Deal groups to units for pairwise work. sizes: (group, parts). A group of one part is one unit; one of g parts
-    makes g * (g + 1) / 2 units, each with two parts (or one), and every pair of members meets in exactly one unit
-    as a pair of its own parts. Adds part, part_a, part_b and unit (a hash of group and parts). Only groups of several
-    parts take part in the join, and they are stored first: Spark then knows their size and broadcasts them if it is
-    small, without dealing out the members."""
-    own = F.pmod(F.xxhash64(F.col(member)), F.col("parts")).cast("int")
-    sizes = stored(sizes.filter("parts > 1"), "crowded")
-    df = members.join(sizes, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", own)
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+            held, crowded = None, k[-1]
+    if held is not None and held.num_rows:
+        yield held, False
+
+
+def in_units(members: DataFrame, sizes: DataFrame, group: str, member: str, done: str | None = None) -> DataFrame:
+    """Deal groups to units for pairwise work. sizes: (group, parts), and (group, parts, done_parts) with `done`.
+
+    A group of one part is one unit; one of g parts makes g * (g + 1) / 2 units, each with two parts (or one), and
+    every pair of members meets in exactly one unit as a pair of its own parts. Members whose column `done` is true
+    need not meet each other: they fill done_parts of their own, numbered behind the others, which meet the others only.
+    Adds part, part_a, part_b and unit (a hash of group and parts). Only groups of several parts take part in the join,
+    and they are stored first: Spark then knows their size and broadcasts them if it is small, without dealing out the
+    members."""
+    some = (F.col("parts") > 1) if done is None else (F.col("parts") != 1) | (F.col("done_parts") != 0)
+    sizes = stored(sizes.filter(some), "crowded")
+    full, rest = F.coalesce("parts", F.lit(1)).cast("int"), F.lit(0) if done is None else F.coalesce("done_parts", F.lit(0)).cast("int")
+    is_done = F.lit(False) if done is None else F.col(done)
+    hashed = F.xxhash64(F.col(member))
+    own = F.when(is_done, full + F.pmod(hashed, F.greatest(rest, F.lit(1)))).otherwise(F.pmod(hashed, F.greatest(full, F.lit(1)))).cast("int")
+    others = F.when(is_done, full).otherwise(full + rest) - 1
+    others = F.when(others >= 0, F.sequence(F.lit(0), others))
+    df = members.join(sizes, group, "left").withColumn("part", own).withColumn("_other", F.explode(others))
     df = df.withColumn("part_a", F.least("part", "_other")).withColumn("part_b", F.greatest("part", "_other"))
-    return df.withColumn("unit", F.xxhash64(group, "part_a", "part_b")).drop("_other", "parts")
+    return df.withColumn("unit", F.xxhash64(group, "part_a", "part_b")).drop("_other", "parts", "done_parts")
 
 
 class Labels:
     """Components of a small set of indices, by relabelling arrays."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, known: np.ndarray | None = None):
+        """known: indices that are one component from the start."""
         self.of = np.arange(n)
+        if known is not None and len(known):
+            self.of[known] = known[0]
 
     def join(self, i: int, others: np.ndarray) -> None:
         found = np.unique(self.of[np.append(others, i)])

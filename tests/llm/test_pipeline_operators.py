@@ -52,13 +52,34 @@ def test_bucket_over_several_batches():
         assert {x: seen[False].get(x) for x in (0, 2)} == {0: by[0], 2: by[2]}, n
         if n < 20:
             assert seen[True] == {1: by[1], 3: by[3]} and set(seen[False]) == {0, 2}, n
-    rows = pa.Table.from_arrays([pa.array([7] * 35), pa.array(range(35)), pa.array([bytes([i]) * 120 for i in range(35)])], ["key", "rep", "body"])
-    old, minhash.BUCKET = minhash.BUCKET, 20
-    try:
-        edges = [e for b in minhash._candidates(iter(rows.to_batches(10))) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    finally:
-        minhash.BUCKET = old
-    assert set(edges) == {(0, i) for i in range(1, 35)}
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """Texts of one first tuple, many more than a task holds: two by two they agree, or not at all."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    low = rng.integers(0, 256, (40, 72), np.uint8).repeat(2, axis=0)
+    second = np.ascontiguousarray(rng.integers(0, 2**32, (40, 12), np.uint32).repeat(2, axis=0)).view(np.uint8)
+    order = rng.permutation(80)
+    body = [np.concatenate([second[i], low[i]]).tobytes() for i in order]
+    rows = pa.Table.from_arrays([pa.array([7] * 80), pa.array(order), pa.array(body, pa.binary())], ["key", "node", "body"])
+    want = {(2 * i, 2 * i + 1) for i in range(40)}
+    for bucket in (100, 50, 10):
+        monkeypatch.setattr(minhash, "BUCKET", bucket)
+        out = pa.Table.from_batches(list(minhash._candidates(iter(rows.to_batches(20)))))
+        df = spark.createDataFrame(out.to_pandas().astype({"b": "Int64", "key": "Int64"}).to_dict("records"), "a long, b long, key long, body binary") if out.num_rows else None
+        edges = {tuple(sorted((r.a, r.b))) for r in out.to_pylist() and df.collect() if r.body is None}
+        crowded = df.filter("body is not null").selectExpr("a as node", "key", "body")
+        if bucket < 80:
+            assert not edges and crowded.count() == 80
+            finer = pa.Table.from_batches(list(minhash._finer(iter([b for b in pa.Table.from_pylist([r.asDict() for r in crowded.collect()], pa.schema([("node", pa.int64()), ("key", pa.int64()), ("body", pa.binary())])).to_batches(7)]))))
+            groups = {}
+            for r in finer.to_pylist():
+                groups.setdefault(r["key"], []).append(r["node"])
+            edges = {tuple(sorted(x)) for x in groups.values() if len(x) == 2}
+            assert all(len(x) == 2 for x in groups.values()) and len(groups) == 40 * 12
+        assert edges == want
 
 
 def test_minhash_edges(spark):
@@ -67,14 +88,20 @@ def test_minhash_edges(spark):
     assert {r[0]: tuple(r)[1:] for r in df.collect()} == brute.near_duplicates(EDGE)
     assert minhash.near_duplicates(edge(spark).limit(0)).count() == 0
     null_id = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
-    assert {tuple(r) for r in minhash.near_duplicates(null_id).collect()} == {(None, 2, None, True), (1, 2, 1, True)}
+    assert {tuple(r) for r in minhash.near_duplicates(null_id).collect()} == {(None, 2, 1, False), (1, 2, 1, True)}
+    assert {tuple(r) for r in minhash.near_duplicates(null_id.filter("doc_id is null")).collect()} == {(None, 2, None, True)}
 
 
 def test_minhash_id_with_two_texts(spark):
     a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
-    rows = [(5, a), (5, b), (6, a + " tail"), (7, b + " tail"), (8, "c " * 9)]
-    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), per_cent=85).collect())
-    assert [(r[0], r[2]) for r in got] == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+    rows = [(5, a), (5, b), (6, a + " tail"), (7, b + " tail"), (8, "c " * 9), (None, a), (None, "d " * 9), (None, "d " * 9), (9, None), (9, None), (8, "c " * 9)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _text_key string, first int")
+    got = sorted(((r[0] or 0, r[2], r[3]) for r in minhash.near_duplicates(df, per_cent=85).collect()), key=str)
+    want = [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True), (8, 8, True), (0, 5, False), (0, None, True), (0, None, True), (9, 9, True), (9, 9, True)]
+    assert got == sorted(want, key=str)
+    one = minhash.keep_one(df, per_cent=85)
+    assert one.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=str) == sorted([(5, a), (5, b), (8, "c " * 9), (None, "d " * 9), (9, None), (9, None)], key=str)
 
 
 def test_minhash_split_groups_lose_no_link(spark, monkeypatch):
@@ -86,6 +113,10 @@ def test_minhash_split_groups_lose_no_link(spark, monkeypatch):
         for k in rng.choice(120, rng.integers(0, 9), replace=False):
             w[k] = f"v{rng.integers(10**6)}"
         rows.append((i, " ".join(w)))
+    # A chain of drifting revisions, whose ends have nothing in common.
+    for i in range(200, 260):
+        base = [*base[3:], f"c{i}a", f"c{i}b", f"c{i}c"]
+        rows.append((i, " ".join(base)))
     want = brute.near_duplicates(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for part, bucket in ((1024, 20_000), (20, 20_000), (1024, 10)):
