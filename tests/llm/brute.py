@@ -85,3 +85,37 @@ def check_packing(rows, pieces, encode, window=2048):
         assert at <= window
     assert sorted(seqs) == list(range(len(seqs)))
     return 1 - sum(p["length"] for p in pieces) / (window * len(seqs))
+
+
+KEY_ID = re.compile(r"""(?i:access_?key(?:_?id)?|client_?id|account_?id|user_?name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{6,}|AKIA[A-Z0-9]{4,}""")
+KEY_SECRET = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
+ENDPOINT = re.compile(r"""(?i:https?|s3|amqps?|postgres(?:ql)?|mysql|redis|mongodb)://[^\x20\x09-\x0D"'<>]+""")
+
+
+def secret_spans(text, scope=300):
+    """All spans (start, rank, end, kind), weak parts by comparing every pair."""
+    text = text or ""
+    of = lambda p: [(m.start(), m.end(), m) for m in p.finditer(text)]
+    assign = of(ASSIGN)
+    access = [x for x in of(re.compile("AKIA[A-Z0-9]+")) if x[1] - x[0] >= 18]
+    hexes = of(re.compile("[0-9a-f]{16,}"))
+    key_id, endpoint = of(KEY_ID), of(ENDPOINT)
+    key_secret = [x for x in of(KEY_SECRET) if all(re.search(c, x[2][0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    strong, weak = [x for x in assign if len(x[2][2]) >= 12], [x for x in assign if len(x[2][2]) < 12]
+    ids, secret = access + key_id, assign + hexes + key_secret
+    near = lambda a, others: any(o[0] <= a[1] + scope and o[1] >= a[0] - scope for o in others)
+    out = [(x, 0, "assign") for x in strong] + [(x, 1, "access") for x in access] + [(x, 2, "hex") for x in hexes]
+    out += [(x, 3, "key_id") for x in key_id if near(x, secret) and x[0] not in {a[0] for a in access}]
+    out += [(x, 4, "key_secret") for x in key_secret if near(x, ids)]
+    out += [(x, 5, "endpoint") for x in endpoint if near(x, ids) and near(x, secret)]
+    out += [(x, 6, "weak_assign") for x in weak if near(x, ids)]
+    return sorted((x[0], rank, x[1], kind) for x, rank, kind in out)
+
+
+def masked(text, spans):
+    out, at = "", 0
+    for start, _, end, _ in spans:
+        if start >= at:
+            out += text[at:start] + "[REDACTED]"
+        at = max(at, end)
+    return out + text[at:]
