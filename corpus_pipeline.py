@@ -6,36 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievewright.llm import minhash, packing, quality, secrets
 from sievewright.llm.queries import tokenizer_path
-from sievewright.llm.shared import stored
+from sievewright.storage import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, with all their columns.
+
+    Null and empty texts go; rows without an id are judged like others, repeated rows alike, very long texts in whole.
+    """
     return quality.keep_quality(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id; of rows that repeat an id, one.
+    """One document of each near-duplicate group, that with the smallest id.
 
-    Documents without an id are linked with nothing and stay.
+    Rows that repeat an id with another text are documents of their own; of rows that repeat id and text one stays.
+    Rows without an id count behind all others of their group. Null and empty texts are no copies and stay.
     """
-    found = stored(minhash.near_duplicates(docs).filter("doc_id is not null"), "verdicts")
-    # By merging at every size: a broadcast of the dropped ids would only serve small inputs.
-    dropped = found.filter("not kept").select("doc_id").hint("merge")
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    return minhash.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked, n_chars following. Null and empty texts stay as they are."""
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path(), with_ids=False)
+    """Pieces of documents with their token ids, and their places in sequences of 2048 tokens.
+
+    Null and empty texts are one piece of the end id alone; repeated rows are pieces of their own; null ids stay null;
+    very long texts are cut into full sequences and a rest.
+    """
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [("quality", quality_stage), ("minhash", dedup_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
