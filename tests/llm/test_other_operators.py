@@ -123,11 +123,39 @@ def test_embedding_edges(spark, monkeypatch):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, label int, embedding array<double>, cell int, unit string")
     want = vectors_want(rows)
     assert {tuple(r) for r in embeddings.near_vectors(df).collect()} == want
-    monkeypatch.setattr(embeddings, "PART", 9)
-    assert {tuple(r) for r in embeddings.near_vectors(df).collect()} == want
+    for part, cell, leaf in ((3, 2048, 24), (4096, 8, 3), (2, 16, 2)):
+        monkeypatch.setattr(embeddings, "PART", part)
+        monkeypatch.setattr(embeddings, "CELL", cell)
+        monkeypatch.setattr(embeddings, "LEAF", leaf)
+        assert {tuple(r) for r in embeddings.near_vectors(df).collect()} == want, (part, cell, leaf)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_that_repeat_an_id(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, x), (1, y), (2, [1.0, 0.01, 0.0]), (None, [1.0, 0.02, 0.0]), (3, [0.01, 1.0, 0.0]), (None, [0.0, 0.0, 1.0])]
+    got = embeddings.near_vectors(spark.createDataFrame([(i, 0, v) for i, v in rows], "vec_id long, label int, embedding array<double>"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 2, 1, False), (3, 1, 1, False), (None, 0, None, True)], key=str)
+
+
+def test_block_join_prunes():
+    """Against all pairs, and with a share of comparisons that falls with the number of vectors."""
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (1000, 4000, 16_000):
+        x = (rng.standard_normal((n, 8)) / 8).astype("<f4").astype(float)
+        x[: n // 10] = x[n // 10 : 2 * (n // 10)] + 0.01 * rng.standard_normal((n // 10, 8))
+        compared, found = 0, []
+        for i, j, k in embeddings.near_in_block(x, x, 0.005):
+            compared += k
+            found.append(i * n + j)
+        shares.append(8 * compared / n**2)
+        if n == 1000:
+            near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.005
+            assert np.array_equal(np.sort(np.concatenate(found)), np.flatnonzero(near.ravel()))
+    assert shares[0] > shares[1] > shares[2] and shares[0] < 1 and shares[2] < 0.4
+
+
 # --- URLs
 
 
