@@ -314,13 +314,15 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, per_cent: i
     member = member.join(member.groupBy("grp").agg(_parts(F.lit(True)).alias("parts")), "grp")
     # One text of each set; rows that repeat it, id and all, are one.
     of = member.select("node", "grp", "n", "parts", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    texts = docs.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    # By merging at every size, as a broadcast of the groups' members would only serve small inputs.
+    texts = docs.join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     texts = stored(texts.groupBy("node", "grp", "n", "parts").agg(F.first("text").alias("text")), "texts")
     found = components(_links(texts, reps, width, per_cent), "a", "b")
     firsts = found.join(reps.select("node", "first"), "node")
     least = firsts.groupBy("component").agg(F.min("first").alias("least"))
     of_set = reps.select("node", "first").join(found.join(least, "component").select("node", "least"), "node", "left")
-    of_set = of_set.select("node", F.coalesce("least", "first").alias("first"))
+    # Stored, so that both sides of the next join are dealt out for it, and Spark can split a set that many rows share.
+    of_set = stored(of_set.select("node", F.coalesce("least", "first").alias("first")), "verdict-sets")
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(of_set, "node", "left")
     # A text without words is a component of its own.
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
