@@ -103,9 +103,9 @@ def _spread(reps: DataFrame, kind: str) -> DataFrame:
 _BORDERS = {1: (0.0,), 2: (-0.6745, 0.0, 0.6745), 3: (-1.1503, -0.6745, -0.3186, 0.0, 0.3186, 0.6745, 1.1503), 4: (-1.5341, -1.1503, -0.8871, -0.6745, -0.4888, -0.3186, -0.1573, 0.0, 0.1573, 0.3186, 0.4888, 0.6745, 0.8871, 1.1503, 1.5341)}
 
 
-def _bits(size: int, dims: int) -> list[int]:
+def _bits(size: int, dims: int, cell: int) -> list[int]:
     """How often each of a block's coordinates is halved, for a group of this size."""
-    total = min(max(0, int(np.ceil(np.log2(max(size, 1) / CELL)))), 4 * dims)
+    total = min(max(0, int(np.ceil(np.log2(max(size, 1) / cell)))), 4 * dims)
     return [total // dims + (c < total % dims) for c in range(dims)]
 
 
@@ -146,7 +146,7 @@ def _cells(kind: str, limit: float):
                         continue
                     size, mean, deviation = (t.column(c)[int(of[0])].as_py() for c in ("size", "mean", "deviation"))
                     for k, ((a, b), budget) in enumerate(zip(cuts(d), budgets(d, limit))):
-                        bits = [0] * (b - a) if g is None else _bits(size, b - a)
+                        bits = [0] * (b - a) if g is None else _bits(size, b - a, CELL)
                         borders = [np.unique(mean[a + c] + deviation[a + c] * np.array(_BORDERS.get(n, ()))) for c, n in enumerate(bits)]
                         row, cell, home = _dealt(r[of, a:b], borders, budget)
                         cell = mix(cell ^ mix(group[of][row].view(np.uint64) + np.uint64(k + 1)))
@@ -158,13 +158,13 @@ def _cells(kind: str, limit: float):
     return run
 
 
-def near_in_block(x: np.ndarray, y: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def near_in_block(x: np.ndarray, y: np.ndarray, budget: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(i, j, comparisons): the pairs x[i], y[j] with a squared distance of at most budget, found along a tree over y.
 
     Each node of the tree has the box of its points and is split at the median of its widest side; only those x go on
     whose distance to the box is within the budget. What reaches a leaf is compared point by point.
     """
-    todo = [(np.arange(len(x)), np.arange(len(y)))]
+    leaf, todo = max(leaf, 2 * x.shape[1]), [(np.arange(len(x)), np.arange(len(y)))]
     while todo:
         i, j = todo.pop()
         low, high = y[j].min(axis=0), y[j].max(axis=0)
@@ -173,7 +173,7 @@ def near_in_block(x: np.ndarray, y: np.ndarray, budget: float) -> Iterator[tuple
         if not len(i):
             continue
         wide = int((high - low).argmax())
-        if len(j) > LEAF and high[wide] > low[wide]:
+        if len(j) > leaf and high[wide] > low[wide]:
             order = np.argpartition(y[j, wide], len(j) // 2)
             todo += [(i, j[order[: len(j) // 2]]), (i, j[order[len(j) // 2 :]])]
             continue
@@ -200,7 +200,7 @@ def _survivors(limit: float):
                 x, y = np.flatnonzero(left & home), np.flatnonzero(right)
                 if not len(x) or not len(y):
                     continue
-                for i, j, _ in near_in_block(at[x], at[y], budgets(d, limit)[k] + 2 * _SLACK):
+                for i, j, _ in near_in_block(at[x], at[y], budgets(d, limit)[k] + 2 * _SLACK, LEAF):
                     other = x[i] != y[j]
                     near[x[i[other]]] = near[y[j[other]]] = True
             yield from u.filter(pa.array(near)).select(keep).to_batches()
@@ -319,7 +319,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     found = found.join(least, "component").select("node", "least")
     of_key = reps.select("node", "rep", "n").join(links, "node", "left").join(found, "node", "left")
     of_key = of_key.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
-    grp = F.xxhash64("label", "dims")
+    # Stored, so that both sides of the next join are dealt out for it, and Spark can split a vector that many rows share.
+    of_key, grp = stored(of_key, "verdict-vectors"), F.xxhash64("label", "dims")
     keyed = signed.select("vec_id", F.when(F.col("label").isNotNull() & F.col("vec_key").isNotNull(), F.xxhash64(grp, "vec_key")).alias("node"))
     res = keyed.join(of_key, "node", "left")
     comp = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

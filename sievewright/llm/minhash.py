@@ -100,44 +100,48 @@ def _bucket_edges(ids: np.ndarray, low: np.ndarray, run: np.ndarray) -> list[np.
     return [np.stack([ids[run[c]], ids[run[m]]], axis=1)] if len(m) else []
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) within the tables, and rows (a, key, body) of first tuples that are over BUCKET."""
+def _candidates(limit: int):
+    """Edges (a, b) within the tables, and rows (a, key, body) of first tuples that more than `limit` texts share."""
     names = ["a", "b", "key", "body"]
-    for t, more in whole_groups(batches, "key", BUCKET):
-        key, ids = t.column("key").to_numpy(), t.column("node").to_numpy()
-        if more:
-            for part in t.to_batches():
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.nulls(part.num_rows, pa.int64()), part.column("key"), part.column("body")], names)
-            continue
-        edges: list[np.ndarray] = []
-        twin = np.zeros(len(key), bool)
-        twin[1:] = key[1:] == key[:-1]
-        twin[:-1] |= twin[1:]
-        keep = np.flatnonzero(twin)
-        if not len(keep):
-            continue
-        key, ids = key[keep], ids[keep]
-        second, low = _split(t.column("body").take(pa.array(keep)))
-        for b in range(SIDE):
-            order = np.lexsort((second[:, b], key))
-            same = (key[order][1:] == key[order][:-1]) & (second[order, b][1:] == second[order, b][:-1])
-            if not same.any():
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, more in whole_groups(batches, "key", limit):
+            key, ids = t.column("key").to_numpy(), t.column("node").to_numpy()
+            if more:
+                for part in t.to_batches():
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.nulls(part.num_rows, pa.int64()), part.column("key"), part.column("body")], names)
+                continue
+            edges: list[np.ndarray] = []
+            twin = np.zeros(len(key), bool)
+            twin[1:] = key[1:] == key[:-1]
+            twin[:-1] |= twin[1:]
+            keep = np.flatnonzero(twin)
+            if not len(keep):
                 continue
-            head = np.flatnonzero(np.concatenate(([True], ~same)))
-            size = np.diff(np.append(head, len(order)))
-            first = np.repeat(head, size)
-            rest = np.flatnonzero(np.concatenate(([False], same)))
-            i, j = order[first[rest]], order[rest]
-            ok = (low[i] == low[j]).sum(axis=1) >= AGREE * low.shape[1]
-            edges.append(np.stack([ids[i[ok]], ids[j[ok]]], axis=1))
-            open_ = np.unique(first[rest[~ok]])
-            for s in open_:
-                run = order[s : s + size[np.searchsorted(head, s)]]
-                if len(run) > 2:
-                    edges += _bucket_edges(ids, low, run)
-        found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
-        none = len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
+            key, ids = key[keep], ids[keep]
+            second, low = _split(t.column("body").take(pa.array(keep)))
+            for b in range(SIDE):
+                order = np.lexsort((second[:, b], key))
+                same = (key[order][1:] == key[order][:-1]) & (second[order, b][1:] == second[order, b][:-1])
+                if not same.any():
+                    continue
+                head = np.flatnonzero(np.concatenate(([True], ~same)))
+                size = np.diff(np.append(head, len(order)))
+                first = np.repeat(head, size)
+                rest = np.flatnonzero(np.concatenate(([False], same)))
+                i, j = order[first[rest]], order[rest]
+                ok = (low[i] == low[j]).sum(axis=1) >= AGREE * low.shape[1]
+                edges.append(np.stack([ids[i[ok]], ids[j[ok]]], axis=1))
+                open_ = np.unique(first[rest[~ok]])
+                for s in open_:
+                    run = order[s : s + size[np.searchsorted(head, s)]]
+                    if len(run) > 2:
+                        edges += _bucket_edges(ids, low, run)
+            found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+            none = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
+
+    return run
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +305,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, per_cent: i
     reps = signed.filter("n_shingles > 0").groupBy("node").agg(F.min(row).alias("first"), F.first("low").alias("low"), F.first("n_shingles").alias("n"))
     reps = stored(reps, "sets")
     tables = reps.select("node", "low").mapInArrow(_tables, "key long, node long, body binary")
-    cand = tables.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long, key long, body binary")
+    cand = tables.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_candidates(BUCKET), "a long, b long, key long, body binary")
     cand = stored(cand, "candidates")
     edges, crowded = cand.filter("body is null").select("a", "b"), cand.filter("body is not null").select(F.col("a").alias("node"), "key", "body")
     if not crowded.isEmpty():

@@ -1,8 +1,10 @@
 """WARC archives, embeddings, URL filters, licences, pieces and chats against brute force and on edge cases."""
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import math
 import pathlib
 import re
@@ -61,6 +63,39 @@ def test_warc_edges(spark, monkeypatch):
     assert all(r.record_type == "response" for r in small.collect())
 
 
+def test_warc_members_without_an_id_and_of_other_tools(spark, monkeypatch, tmp_path):
+    rows = [(None, "same"), (None, "alone"), (None, "alone"), (3, "same"), (5, "same"), (5, "same"), (-2, "x"), (5, "other")]
+    df = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 300)
+    monkeypatch.setattr(warc, "SPLIT_LINES", 2)
+    archives = warc.write_archives(df.coalesce(1), warc.archive_folder(spark))
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_archives(archives).collect()), key=str)
+    want = [(None, "revisit", 5, None), (None, "response", None, b"alone"), (None, "response", None, b"alone"), (3, "revisit", 5, None), (5, "response", None, b"same"), (5, "response", None, b"same"), (-2, "response", None, b"x"), (5, "response", None, b"other")]
+    assert got == sorted(want, key=str)
+    members = [m.filename for r in archives.collect() for m in zipfile.ZipFile(r.path.removeprefix("file://")).infolist()]
+    assert sum(m.endswith(".warc.gz") for m in members) > archives.count() and len(members) % 2 == 0
+    # An archive of another tool: one member without an index, one packed as a whole, one plain, one indexed.
+    one = warc.record(1, "http://a/", b"<p>", warc.base32_sha1(b"<p>"), None, "2020-01-01T00:00:00Z")
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    gz = [gzip.compress(x) for x in (info, one, one)]
+    path, empty = tmp_path / "o.wacz", tmp_path / "e.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/a.warc.gz", b"".join(gz))
+        z.writestr("archive/b.warc.gz", gzip.compress(info + one * 3))
+        z.writestr("archive/c.warc", one * 2 + info)
+        z.writestr("archive/d.warc.gz", b"".join(gz))
+        z.writestr("indexes/index.cdx", "a 2020 " + json.dumps({"filename": "d.warc.gz", "offset": str(len(gz[0])), "length": str(len(gz[1]))}) + "\n")
+        z.writestr("indexes/other.idx", "not lines")
+    with zipfile.ZipFile(empty, "w") as z:
+        z.writestr("datapackage.json", "{}")
+    monkeypatch.setattr(warc, "READ_BYTES", 50)
+    back = warc.read_archives(spark.createDataFrame([(str(path),), (str(empty),), (None,)], "path string")).collect()
+    assert Counter((r.page_id, r.record_type, r.url, r.payload_bytes) for r in back) == {(1, "response", "http://a/", 3): 2 + 3 + 2 + 1, (None, "warcinfo", None, 5): 3}
+    (tmp_path / "cut.zip").write_bytes(path.read_bytes()[:-30])
+    with pytest.raises(Exception, match="not a ZIP archive"):
+        warc.read_archives(spark.createDataFrame([(str(tmp_path / "cut.zip"),)], "path string")).collect()
+
+
 def test_zip_directories():
     class Sized(io.BytesIO):
         def size(self):

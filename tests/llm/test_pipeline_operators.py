@@ -54,7 +54,7 @@ def test_bucket_over_several_batches():
             assert seen[True] == {1: by[1], 3: by[3]} and set(seen[False]) == {0, 2}, n
 
 
-def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+def test_crowded_buckets_lose_no_pair(spark):
     """Texts of one first tuple, many more than a task holds: two by two they agree, or not at all."""
     import pyarrow as pa
 
@@ -66,8 +66,7 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     rows = pa.Table.from_arrays([pa.array([7] * 80), pa.array(order), pa.array(body, pa.binary())], ["key", "node", "body"])
     want = {(2 * i, 2 * i + 1) for i in range(40)}
     for bucket in (100, 50, 10):
-        monkeypatch.setattr(minhash, "BUCKET", bucket)
-        out = pa.Table.from_batches(list(minhash._candidates(iter(rows.to_batches(20)))))
+        out = pa.Table.from_batches(list(minhash._candidates(bucket)(iter(rows.to_batches(20)))))
         df = spark.createDataFrame(out.to_pandas().astype({"b": "Int64", "key": "Int64"}).to_dict("records"), "a long, b long, key long, body binary") if out.num_rows else None
         edges = {tuple(sorted((r.a, r.b))) for r in out.to_pylist() and df.collect() if r.body is None}
         crowded = df.filter("body is not null").selectExpr("a as node", "key", "body")
