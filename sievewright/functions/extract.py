@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,59 +12,69 @@ from pyspark.sql import functions as F
 from .text import brace_spans, step3_section
 
 _PLAIN = {"allowSingleQuotes": "false"}
-_INT = r"^\s*[+-]?\d+\s*$"
+#: All digits of Unicode, and the digits that they stand for.
+_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.decimal(c, None) is not None)
+_ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+_INT = r"(?U)^\s*([+-]?\d+(?:_\d+)*)\s*$"
 
 
-def parsed(span: Column) -> Column:
-    """Keys and raw values of a JSON object; null where it is not valid."""
-    return F.from_json(span, "map<string,string>", _PLAIN)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def kind_of(span: Column, key: str) -> Column:
-    """The JSON type of a key's value (STRING, BIGINT, BOOLEAN, VOID, DECIMAL..., OBJECT...); null where unknown."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(span), f"$.{key}", "variant"))
+def parsed(text: Column) -> Column:
+    """Fields of a text that is one JSON object, array<struct<key, kind, value>> with the last first; null where it is none.
+
+    One parse gives both: kind is the JSON type (STRING, BIGINT, BOOLEAN, VOID, DECIMAL..., OBJECT...), value the string
+    or what stands for it. Keys may repeat, though not within a field's own value.
+    """
+    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>", _PLAIN)
+    fields = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), F.schema_of_variant(e["value"]).alias("kind"), e["value"].cast("string").alias("value")))
+    return let(one, lambda x: F.when(F.size(x) == 1, F.reverse(fields(F.get(x, F.lit(0))))))
+
+
+def field(fields: Column, key: str) -> Column:
+    """The last field of that key as struct<key, kind, value>, or null."""
+    return F.get(F.filter(fields, lambda f: f["key"] == key), F.lit(0))
 
 
 def whole_number(value: Column) -> Column:
-    return F.when(value.rlike(_INT), F.trim(value).try_cast("long"))
+    """A string of digits, of any script, with spaces around it and single underscores inside, as a number."""
+    found = F.regexp_extract(value, _INT, 1)
+    plain = F.when(found.rlike(r"^[+-]?[0-9]+$"), found).otherwise(F.translate(found, _DIGITS + "_", _ASCII))
+    return F.when(found != "", plain.try_cast("long"))
 
 
-def _loose(value: Column, is_text: Column, is_bool: Column) -> Column:
+def _loose(value: Column, kind: Column) -> Column:
     low = F.lower(value)
     text = (
         F.when(value.isin("0", "no entailment") | (low == "false"), 0)
         .when(value.isin("1", "entailment") | (low == "true"), 1)
         .otherwise(whole_number(value))
     )
-    number = F.when(is_bool, (value == "true").cast("long")).otherwise(value.try_cast("double").try_cast("long"))
-    return F.when(is_text, text).otherwise(number).cast("long")
+    number = F.when(kind == "BOOLEAN", (value == "true").cast("long")).otherwise(value.try_cast("double").try_cast("long"))
+    return F.when(kind == "STRING", text).otherwise(number).cast("long")
 
 
-def _strict(value: Column, is_text: Column, is_bool: Column) -> Column:
-    whole = whole_number(value)
-    text = (
-        F.when(value.isin("0", "no entailment", "false"), 0)
-        .when(value.isin("1", "entailment", "true"), 1)
-        .when(whole.isin(0, 1), whole)
-    )
+def _strict(value: Column, kind: Column) -> Column:
+    text = F.when(value.isin("0", "no entailment", "false"), 0).when(value.isin("1", "entailment", "true"), 1)
+    text = text.otherwise(let(whole_number(value), lambda n: F.when(n.isin(0, 1), n)))
     number = value.try_cast("double")
-    return F.when(is_text, text).when(is_bool, (value == "true").cast("long")).when(number.isin(0.0, 1.0), number.cast("long")).cast("long")
+    return F.when(kind == "STRING", text).when(kind == "BOOLEAN", (value == "true").cast("long")).when(number.isin(0.0, 1.0), number.cast("long")).cast("long")
 
 
-def _first_label(text: Column, read: Callable[[Column, Column, Column], Column]) -> Column:
+def _first_label(text: Column, read: Callable[[Column, Column], Column]) -> Column:
     """struct(label, method) of the first span that gives a label, or null. A key that is there hides the next."""
 
-    def candidate(span: Column) -> Column:
-        m = parsed(span)
-
-        def of(key: str) -> Column:
-            kind = kind_of(span, key)
-            label = read(m[key], F.coalesce(kind == "STRING", F.lit(False)), F.coalesce(kind == "BOOLEAN", F.lit(False)))
-            return F.struct(label.alias("label"), F.lit(f"json_{key}").alias("method"))
+    def of(f: Column, key: str) -> Column:
+        return F.struct(read(f["value"], f["kind"]).alias("label"), F.lit(f"json_{key}").alias("method"))
 
-        return F.when(F.map_contains_key(m, "predicted_label"), of("predicted_label")).when(F.map_contains_key(m, "label"), of("label"))
+    def candidate(fields: Column) -> Column:
+        first, second = field(fields, "predicted_label"), field(fields, "label")
+        return let(first, lambda a: F.when(a.isNotNull(), of(a, "predicted_label")).otherwise(let(second, lambda b: F.when(b.isNotNull(), of(b, "label")))))
 
-    found = F.filter(F.transform(brace_spans(text), candidate), lambda c: c["label"].isNotNull())
+    found = F.filter(F.transform(brace_spans(text), lambda span: let(parsed(span), candidate)), lambda c: c["label"].isNotNull())
     return F.get(found, F.lit(0))
 
 
@@ -86,7 +98,7 @@ def _phrases(text: Column, otherwise: int, use_cot: bool) -> Column:
 def tracking(text: Column, use_cot: bool = False) -> Column:
     """struct(label, method, ok): JSON spans first, then phrases; -1 and extraction_failure where nothing is found."""
     both = F.coalesce(_first_label(text, _loose), _phrases(text, -1, use_cot))
-    return F.struct(both["label"].alias("label"), both["method"].alias("method"), (both["method"] != "extraction_failure").alias("ok"))
+    return let(both, lambda x: F.struct(x["label"].alias("label"), x["method"].alias("method"), (x["method"] != "extraction_failure").alias("ok")))
 
 
 def standard(text: Column, use_cot: bool = False) -> Column:
@@ -96,16 +108,18 @@ def standard(text: Column, use_cot: bool = False) -> Column:
 
 def with_default(text: Column, default: int = 1) -> Column:
     """The label, the majority class where nothing is found."""
-    label = standard(text)
-    return F.when(label == -1, F.lit(default).cast("long")).otherwise(label)
+    return let(standard(text), lambda label: F.when(label == -1, F.lit(default).cast("long")).otherwise(label))
 
 
 def strict(text: Column) -> Column:
     """struct(label, method, ok): JSON only, labels 0 and 1 only; null label where nothing is found."""
-    found = _first_label(text, _strict)
-    return F.struct(found["label"].alias("label"), F.coalesce(found["method"], F.lit("extraction_failure")).alias("method"), found["label"].isNotNull().alias("ok"))
+    method = lambda x: F.coalesce(x["method"], F.lit("extraction_failure"))
+    return let(_first_label(text, _strict), lambda x: F.struct(x["label"].alias("label"), method(x).alias("method"), x["label"].isNotNull().alias("ok")))
 
 
-#: The extractor by mode: strict goes before tracking, tracking before standard.
 def by_mode(text: Column, track: bool = False, strictly: bool = False, use_cot: bool = False) -> Column:
-    return strict(text) if strictly else tracking(text, use_cot)
+    """struct(label, method, ok) by mode: strict goes before tracking, and without either the method is left null."""
+    if strictly:
+        return strict(text)
+    found = tracking(text, use_cot)
+    return found if track else let(found, lambda x: F.struct(x["label"].alias("label"), F.lit(None).cast("string").alias("method"), x["ok"].alias("ok")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .extract import kind_of, parsed
+from .extract import field, let, parsed
 from .text import clean_json
 
 
@@ -38,35 +38,47 @@ def _whole(value: Column, kind: Column, low: int, high: int) -> Column:
 
 
 def validate(response: Column, shape: Shape, clean: bool = True) -> Column:
-    """struct(valid, error_kind, label, score, fields): error_kind is json, keys, label, score or thought."""
+    """struct(valid, error_kind, label, score, fields): error_kind is json, keys, label, score or thought.
+
+    The response is parsed once; of a key that repeats the last value counts.
+    """
+    keys = ["predicted_label", "label", *(k for k, *_ in shape.scores), *shape.texts]
+
+    def judged(got: Column) -> Column:
+        """got: struct of `json` (whether there is an object), `fields` and each key's field or null."""
+        kind = lambda k: F.coalesce(got[k]["kind"], F.lit("UNKNOWN"))
+        raw = F.coalesce(got["predicted_label"], got["label"]) if shape.alias else got["predicted_label"]
+        return let(raw, lambda r: verdict(got, r, F.coalesce(r["kind"], F.lit("UNKNOWN")), kind))
+
+    def verdict(got: Column, raw: Column, raw_kind: Column, kind) -> Column:
+        label = _whole(raw["value"], raw_kind, 0, 1)
+        if shape.coerce:
+            label = F.when((raw_kind == "STRING") & raw["value"].isin("0", "1"), raw["value"].try_cast("int")).otherwise(label)
+        scores = {k: _whole(got[k]["value"], kind(k), low, high) for k, low, high in shape.scores}
+        error = F.when(~got["json"], "json")
+        if shape.keys_first:
+            for k in ("predicted_label", *shape.texts):
+                error = error.when(got[k].isNull(), "keys")
+        error = error.when((raw_kind == "STRING") & label.isNull(), "label")
+        for k in scores:
+            error = error.when(kind(k) == "STRING", "score")
+        error = error.when(label.isNull(), "label")
+        for v in scores.values():
+            error = error.when(v.isNull(), "score")
+        for k in shape.texts:
+            error = error.when(kind(k) != "STRING", "thought" if shape.scores else "json")
+        first_score = next(iter(scores.values()), F.lit(None).cast("int"))
+        return let(F.struct(error.alias("error"), label.alias("label"), first_score.alias("score")), lambda x: shown(x, got["fields"]))
+
+    def shown(x: Column, fields: Column) -> Column:
+        ok, names = x["error"].isNull(), F.array_distinct(F.transform(fields, lambda f: f["key"]))
+        values = F.transform(names, lambda k: F.get(F.filter(fields, lambda f: f["key"] == k), F.lit(0))["value"])
+        both = let(names, lambda n: F.map_from_arrays(n, values))
+        return F.struct(ok.alias("valid"), x["error"].alias("error_kind"), F.when(ok, x["label"]).alias("label"), F.when(ok, x["score"]).alias("score"), F.when(ok, both).alias("fields"))
+
     text = clean_json(response) if clean else response
-    m = parsed(text)
-    has = lambda k: F.coalesce(F.map_contains_key(m, k), F.lit(False))
-    kind = lambda k: F.coalesce(kind_of(text, k), F.lit("UNKNOWN"))
-    raw, raw_kind = m["predicted_label"], kind("predicted_label")
-    if shape.alias:
-        other = ~has("predicted_label") & has("label")
-        raw, raw_kind = F.when(other, m["label"]).otherwise(raw), F.when(other, kind("label")).otherwise(raw_kind)
-    label = _whole(raw, raw_kind, 0, 1)
-    if shape.coerce:
-        label = F.when((raw_kind == "STRING") & raw.isin("0", "1"), raw.try_cast("int")).otherwise(label)
-    scores = {k: _whole(m[k], kind(k), low, high) for k, low, high in shape.scores}
-    error = F.when(m.isNull(), "json")
-    if shape.keys_first:
-        for k in ("predicted_label", *shape.texts):
-            error = error.when(~has(k), "keys")
-    text_label = (raw_kind == "STRING") & label.isNull()
-    error = error.when(text_label, "label")
-    for k in scores:
-        error = error.when(has(k) & (kind(k) == "STRING"), "score")
-    error = error.when(label.isNull(), "label")
-    for v in scores.values():
-        error = error.when(v.isNull(), "score")
-    for k in shape.texts:
-        error = error.when(~has(k) | (kind(k) != "STRING"), "thought" if shape.scores else "json")
-    first_score = next(iter(scores.values()), F.lit(None).cast("int"))
-    ok = error.isNull()
-    return F.struct(ok.alias("valid"), error.alias("error_kind"), F.when(ok, label).alias("label"), F.when(ok, first_score).alias("score"), F.when(ok, m).alias("fields"))
+    found = lambda fields: F.struct(fields.isNotNull().alias("json"), fields.alias("fields"), *(field(fields, k).alias(k) for k in dict.fromkeys(keys)))
+    return let(parsed(text), lambda fields: let(found(fields), judged))
 
 
 def reprompt(error_kind: Column, value: Column, form: str) -> Column:

@@ -109,3 +109,27 @@ def test_templates(spark):
     assert templates.get_prompt("scoring")[1][1] == "score"
     with pytest.raises(ValueError):
         templates.get_prompt("other")
+
+
+def test_repeated_keys_and_other_digits(spark):
+    from sievewright.functions import extract, validate
+
+    texts = ['{"predicted_label": 0, "predicted_label": 1}', '{"label": 1, "label": "x"} {"label": 0}', '{"predicted_label": "١"}', '{"predicted_label": " 1_0 "}', '{"predicted_label": "1__0"}', '{"predicted_label": "０"}', '{"predicted_label": {"a": 1}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(extract.tracking(F.col("t"))["label"]).collect()] == [1, 0, 1, 10, -1, 0, -1]
+    assert [r[0] for r in df.orderBy("i").select(extract.strict(F.col("t"))["label"]).collect()] == [1, 0, 1, None, None, 0, None]
+    by = lambda **mode: [tuple(r[0]) for r in df.orderBy("i").select(extract.by_mode(F.col("t"), **mode)).limit(1).collect()]
+    assert by() == [(1, None, True)] and by(track=True) == [(1, "json_predicted_label", True)] and by(track=True, strictly=True) == by(strictly=True) == [(1, "json_predicted_label", True)]
+    reply = '{"score": 2, "score": 4, "predicted_label": 1, "improved_thought_process": "i", "x": null, "x": 7}'
+    one = spark.createDataFrame([(reply,), (reply + "{}",)], "t string").select(validate.validate(F.col("t"), validate.SCORE).alias("v")).select("v.*").collect()
+    assert (one[0].valid, one[0].score, one[0].label) == (True, 4, 1) and one[0].fields == {"x": "7", "improved_thought_process": "i", "predicted_label": "1", "score": "4"}
+    assert (one[1].valid, one[1].error_kind, one[1].fields) == (False, "json", None)
+
+
+def test_a_reply_is_parsed_once(spark):
+    from sievewright.functions import extract, validate
+
+    df = spark.createDataFrame([("{}",)], "t string")
+    for c in (validate.validate(F.col("t"), validate.SCORE), validate.validate(F.col("t"), validate.REFLECTION), extract.tracking(F.col("t")), extract.strict(F.col("t"))):
+        plan = df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("from_json") + plan.count("jsontostructs") <= 2, plan[:3000]
