@@ -17,8 +17,9 @@ from .shared import Labels, components, in_units, mix, partitions_of, whole_grou
 BLOCKS = 8
 #: Vectors of a label that one cell of a block's space holds, about; from there on space is split.
 CELL = 2048
-#: Vectors of one part of a cell that holds many more, as its vectors lie too close to be split.
-PART = 4096
+#: Vectors of one part of a cell that holds many more, as its vectors lie too close to be split; and of those that have
+#: a neighbour, whose whole vectors are compared.
+PART, PART_NEAR = 4096, 512
 #: Vectors of a leaf of the tree that a task builds over a cell.
 LEAF = 24
 _SLACK = 1e-6
@@ -42,18 +43,22 @@ def budgets(d: int, limit: float) -> np.ndarray:
 
 
 def _sign(kind: str):
+    """vec_id, label, v -> vec_id, label, vec_key, vec (bytes), dims; key and bytes are null for vectors that link with nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, vecs, dims = [], [], []
-            for x in b.column(2).to_pylist():
-                v = None
-                if x and None not in x:
-                    v = np.array(x, kind) + 0.0
-                    v = v if np.isfinite(v).all() and v.any() else None
-                keys.append(None if v is None else xxhash.xxh3_128_digest(v.tobytes()))
-                vecs.append(None if v is None else v.tobytes())
-                dims.append(0 if v is None else len(v))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "label", "vec_key", "vec", "dims"])
+            lists, n = b.column(2), b.num_rows
+            offs = lists.offsets.to_numpy().astype(np.int64)
+            # Nulls among the components read as NaN; adding 0.0 makes -0.0 equal to 0.0.
+            v = lists.values.to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)
+            inside = lambda flags: np.append(0, np.cumsum(flags))[offs]
+            odd, full = np.diff(inside(~np.isfinite(v))), np.diff(inside(v != 0))
+            good = (odd == 0) & (full > 0) & lists.is_valid().to_numpy(zero_copy_only=False)
+            raw, width = v.tobytes(), v.itemsize
+            vecs = [raw[offs[i] * width : offs[i + 1] * width] if good[i] else None for i in range(n)]
+            keys = [None if x is None else xxhash.xxh3_128_digest(x) for x in vecs]
+            dims = np.where(good, np.diff(offs), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary()), pa.array(dims)], ["vec_id", "label", "vec_key", "vec", "dims"])
 
     return run
 
@@ -187,8 +192,8 @@ def near_in_block(x: np.ndarray, y: np.ndarray, budget: float, leaf: int = LEAF)
 
 
 def _survivors(limit: float):
-    """Rows of a unit's vectors that are near another in its block: (unit, grp, node, home, block, part, part_a, part_b)."""
-    keep = ["unit", "grp", "node", "home", "block", "part", "part_a", "part_b"]
+    """Rows of a unit's vectors that are near another in its block: (cell, grp, node, home, block)."""
+    keep = ["cell", "grp", "node", "home", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u in _by_unit(batches):
@@ -307,10 +312,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     cells = cells.mapInArrow(_cells(kind, limit), "cell long, grp long, node long, home boolean, block int, dims int, at binary")
     cells = stored(cells, "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.when(F.col("n") > 4 * PART, F.ceil(F.col("n") / PART)).otherwise(1).cast("int").alias("parts"))
-    units = in_units(cells, sizes, "cell", "node").drop("cell").repartition(n_parts, "unit").sortWithinPartitions("unit")
-    near = units.mapInArrow(_survivors(limit), "unit long, grp long, node long, home boolean, block int, part int, part_a int, part_b int")
-    near = stored(near, "near")
-    whole = near.join(reps.select("node", "n", "vec"), "node").repartition(n_parts, "unit").sortWithinPartitions("unit")
+    units = in_units(cells, sizes, "cell", "node").repartition(n_parts, "unit").sortWithinPartitions("unit")
+    near = stored(units.mapInArrow(_survivors(limit), "cell long, grp long, node long, home boolean, block int").distinct(), "near")
+    sizes = near.groupBy("cell").agg(F.ceil(F.count("*") / PART_NEAR).cast("int").alias("parts"))
+    whole = in_units(near, sizes, "cell", "node").drop("cell").join(reps.select("node", "n", "vec"), "node")
+    whole = whole.repartition(n_parts, "unit").sortWithinPartitions("unit")
     out = whole.mapInArrow(_join(kind, limit), "a long, n long, b long")
     out = stored(out, "links")
     links = out.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))

@@ -160,6 +160,7 @@ def test_embedding_edges(spark, monkeypatch):
     assert {tuple(r) for r in embeddings.near_vectors(df).collect()} == want
     for part, cell, leaf in ((3, 2048, 24), (4096, 8, 3), (2, 16, 2)):
         monkeypatch.setattr(embeddings, "PART", part)
+        monkeypatch.setattr(embeddings, "PART_NEAR", part)
         monkeypatch.setattr(embeddings, "CELL", cell)
         monkeypatch.setattr(embeddings, "LEAF", leaf)
         assert {tuple(r) for r in embeddings.near_vectors(df).collect()} == want, (part, cell, leaf)
