@@ -181,6 +181,11 @@ def compare_methods(df: DataFrame, models: list[str]) -> DataFrame:
     return df.groupBy("method").pivot("model", models).agg(F.count(F.lit(1)).cast("long")).na.fill(0)
 
 
+def ordered_names(df: DataFrame, name: str) -> DataFrame:
+    """(name, place): the distinct names in lexicographic order, from 1; a few names, not rows."""
+    return df.select(name).distinct().withColumn("place", F.row_number().over(Window.orderBy(name)))
+
+
 def compare_models(**metrics: DataFrame) -> DataFrame:
     """One row for each model; columns that only some have are null for the others."""
     out = None

@@ -6,37 +6,20 @@ dialects: see _OUTPUTS.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, templates, text, validate
 from ..operators import metrics, prep, series
-from ..sources import readers
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL  # noqa: F401  for those who look them up here
+from .registry import query as _query
+from .registry import table as _table
 
 #: Rows of labels as truth and a prediction that is wrong for every seventh id.
 _PRED = "select doc_id as id, cast(quality as bigint) as true_label, cast(case when doc_id % 7 = 0 then 1 - quality else quality end as bigint) as pred, toxic, doc_id % 6 as score from labels"
-#: Eight kinds of model output by id.
-_OUTPUTS = f"""select id, true_label, pred, case id % 8
+#: Sixteen kinds of model output by id: objects, alone, in prose and behind an echoed form, labels of all JSON types and
+#: none, phrases, and nothing.
+_OUTPUTS = f"""select id, true_label, pred, case id % 16
  when 0 then concat('{{"thought_process": "step 1: d', id, '", "predicted_label": ', pred, '}}')
  when 1 then concat('{{"label": "', pred, '"}}')
  when 2 then 'the hypothesis is not entailed.'
@@ -44,7 +27,15 @@ _OUTPUTS = f"""select id, true_label, pred, case id % 8
  when 4 then concat('Final label: ', pred)
  when 5 then concat('{{"thought_process": "...", "predicted_label": ...}} {{"thought_process": "step 1: d', id, '", "predicted_label": ', pred, '}}')
  when 6 then '{{"predicted_label": "no entailment"}}'
- else 'no verdict' end as output from ({_PRED}) p"""
+ when 7 then 'no verdict'
+ when 8 then concat('{{"predicted_label": 0.', pred, '}} and then {{"label": 1}}')
+ when 9 then concat('{{"a": ', id, '}} {{"label": true, "thought_process": "t', id, '"}}')
+ when 10 then '{{"predicted_label": null, "label": 1}} yes'
+ when 11 then concat('{{"predicted_label": ', pred + 2, '}} {{"predicted_label": "TRUE"}}')
+ when 12 then concat('{{"label": " ', pred, '", "predicted_label": "maybe"}} final prediction: ', pred)
+ when 13 then concat('{{"thought_process": "is entailed", "x": ', id, ', "label": "False"}}')
+ when 14 then concat('so: {{"thought_process": "d', id, '", "predicted_label": "', pred, '", "label": 5}} end')
+ else 'The premise. It is NOT ENTAILED' end as output from ({_PRED}) p"""
 _LENGTHS = "select d.doc_id as id, d.source, cast(floor(coalesce(length(d.text), 0) / 4) as bigint) as tokens, l.quality = 1 as correct, cast(l.quality as bigint) as label from documents d join labels l on d.doc_id = l.doc_id"
 _RATIO = "coalesce(cast({a} as double) / nullif(cast({b} as double), 0), 0.0)"
 _PCT = "coalesce(cast({a} as double) * 100.0 / nullif(cast({b} as double), 0), 0.0)"
@@ -156,13 +147,14 @@ def quartile_bucket_accuracy(spark, sf_dir):
     return metrics.quartile_bucket_accuracy(lengths(spark, sf_dir), "tokens", "correct")
 
 
-_TURNS = "select role as component, cast(floor(coalesce(length(text), 0) / 4) as bigint) as tokens from conversations"
+_PARTS = "select doc_id, cast(floor(length(text) / 4) as bigint) as text, cast(floor(length(source) / 4) as bigint) as source, cast(floor(length(lang) / 4) as bigint) as lang from documents"
 
 
-@_query(_stats_sql(_TURNS, by="component", digits=2))
+@_query(_stats_sql(f"select component, tokens from (unpivot (select text, source, lang from ({_PARTS}) p) on text, source, lang into name component value tokens) u", by="component", digits=2))
 def component_token_stats(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").select(F.col("role").alias("component"), text.token_estimate(F.col("text")).alias("tokens"))
-    return metrics.value_stats(rows, "tokens", "component", digits=2)
+    parts = ("text", "source", "lang")
+    rows = _table(spark, sf_dir, "documents").select(*(text.token_estimate(F.col(c)).alias(c) for c in parts))
+    return metrics.component_stats(rows, list(parts))
 
 
 _CONF = """cast(count(*) as bigint) as output_count, cast(0 as bigint) as failure_count, cast(count(*) filter (where pred = true_label) as bigint) as correct_count,
@@ -243,7 +235,7 @@ def brace_spans(spark, sf_dir):
     return s.select("id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("spans"))
 
 
-@_query(f"""select id, case id % 8 when 0 then concat('step 1: d', id) when 5 then concat('step 1: d', id) else '' end as thought from ({_OUTPUTS}) o""")
+@_query(rf"""select id, regexp_extract(output, '(?s)\{{.*"thought_process":\s*"(.*?)",.*\}}', 1) as thought from ({_OUTPUTS}) o""")
 def thought_from_output(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", text.thought_from_output(F.col("output")).alias("thought"))
 
@@ -260,10 +252,14 @@ def inst_json(spark, sf_dir):
     return _inst(spark, sf_dir).select("id", text.inst_json(F.col("t")).alias("found"))
 
 
-@_query(f"select id, case when id % 8 = 0 then concat('step 1: d', id) else 'none' end as thought_process, case when id % 8 = 0 then cast(pred as bigint) when id % 8 = 6 then null else true_label end as predicted_label from ({_OUTPUTS}) o where id % 8 <> 6")
+@_query(
+    rf"""select id, case when json_exists(j, '$.thought_process') then json_extract_string(j, '$.thought_process') else 'none' end as thought_process,
+ case when not json_exists(j, '$.predicted_label') or j is null then true_label when json_type(j, '$.predicted_label') in ('UBIGINT', 'BIGINT') then cast(json_extract_string(j, '$.predicted_label') as bigint) end as predicted_label
+ from (select id, true_label, case when json_valid(x) then x end as j from (select id, true_label, regexp_replace(regexp_extract(split_part(t, '[/INST]', 2), '\{{.*\}}'), '^(\{{[^{{}}]*\}}).*', '\1') as x from ({_INST}) i) y) z"""
+)
 def inst_merge(spark, sf_dir):
-    """JSON behind the instruction mark set over the record's own fields. Variant 6 has a label of another type."""
-    rows = _inst(spark, sf_dir).filter("id % 8 <> 6").withColumn("thought_process", F.lit("none")).withColumn("predicted_label", F.col("true_label"))
+    """JSON behind the instruction mark set over the record's own fields; a label of another type becomes null."""
+    rows = _inst(spark, sf_dir).withColumn("thought_process", F.lit("none")).withColumn("predicted_label", F.col("true_label"))
     merged = prep.merge_json(rows, text.inst_json(F.col("t")), {"thought_process": "string", "predicted_label": "long"})
     return merged.select("id", "thought_process", "predicted_label")
 
@@ -286,10 +282,21 @@ def step3_section(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.step3_section(t).alias("section"))
 
 
-_LABEL = "case id % 8 when 0 then pred when 1 then pred when 2 then 0 when 3 then 1 when 4 then pred when 5 then pred when 6 then 0 else -1 end"
-_METHOD = "case id % 8 when 0 then 'json_predicted_label' when 1 then 'json_label' when 2 then 'conclusion_not_entailed' when 3 then 'conclusion_entailed' when 4 then concat('explicit_label_', pred) when 5 then 'json_predicted_label' when 6 then 'json_predicted_label' else 'extraction_failure' end"
-_STRICT_LABEL = "case id % 8 when 0 then pred when 1 then pred when 5 then pred when 6 then 0 end"
-_STRICT_METHOD = "case id % 8 when 0 then 'json_predicted_label' when 1 then 'json_label' when 5 then 'json_predicted_label' when 6 then 'json_predicted_label' else 'extraction_failure' end"
+#: Flat objects of an output, the first that gives a label, then phrases: the rules once more, in SQL. The two modes
+#: differ in what a string and a number may be.
+_TEXT = "case when v in ('0', 'no entailment') or {low} = 'false' then 0 when v in ('1', 'entailment') or {low} = 'true' then 1 when regexp_matches(v, '^\\s*[+-]?[0-9]+\\s*$') {more} then cast(trim(v) as bigint) end"
+_READ = "case k when 'VARCHAR' then {text} when 'BOOLEAN' then case v when 'true' then 1 else 0 end when 'NULL' then null else {number} end"
+_LOOSE = _READ.format(text=_TEXT.format(low="lower(v)", more=""), number="cast(trunc(try_cast(v as double)) as bigint)")
+_STRICT = _READ.format(text=_TEXT.format(low="v", more="and cast(trim(v) as bigint) in (0, 1)"), number="case when try_cast(v as double) in (0, 1) then cast(try_cast(v as double) as bigint) end")
+_SPANS = rf"""select id, n, case when json_exists(s, '$.predicted_label') then 'predicted_label' when json_exists(s, '$.label') then 'label' end as key,
+ coalesce(json_type(s, '$.predicted_label'), json_type(s, '$.label')) as k, case when json_exists(s, '$.predicted_label') then json_extract_string(s, '$.predicted_label') else json_extract_string(s, '$.label') end as v
+ from (select id, n, case when json_valid(s) then s end as s from (select id, unnest(regexp_extract_all(output, '\{{[^{{}}]*\}}')) as s, generate_subscripts(regexp_extract_all(output, '\{{[^{{}}]*\}}'), 1) as n from ({_OUTPUTS}) o) u) w"""
+_FOUND = "select id, min_by(label, n) as label, min_by(key, n) as key from (select id, n, key, {read} as label from (" + _SPANS + ") p where key is not null) r where label is not null group by id"
+_PHRASE = """case when contains(low, 'final label: 0') or contains(low, 'final prediction: 0') then 'explicit_label_0' when contains(low, 'final label: 1') or contains(low, 'final prediction: 1') then 'explicit_label_1'
+ when contains(low, 'not entailed') or contains(low, 'no entailment') then 'conclusion_not_entailed' when contains(low, 'is entailed') or contains(low, 'entailment') then 'conclusion_entailed' else 'extraction_failure' end"""
+_X = f"""select id, true_label, pred, output, cast(case when a.key is not null then a.label when phrase in ('explicit_label_0', 'conclusion_not_entailed') then 0 when phrase = 'extraction_failure' then -1 else 1 end as bigint) as label,
+ coalesce('json_' || a.key, phrase) as method, cast(b.label as bigint) as strict_label, coalesce('json_' || b.key, 'extraction_failure') as strict_method
+ from (select *, {_PHRASE} as phrase from (select *, lower(output) as low from ({_OUTPUTS}) o) l) m left join ({_FOUND.replace("{read}", _LOOSE)}) a using (id) left join ({_FOUND.replace("{read}", _STRICT)}) b using (id)"""
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,9 +306,6 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", "true_label", "pred", "output", F.col("x.label").alias("label"), F.col("x.method").alias("method"), F.col("s.label").alias("strict_label"), F.col("s.method").alias("strict_method"))
 
 
-_X = f"select id, true_label, pred, output, cast({_LABEL} as bigint) as label, {_METHOD} as method, cast({_STRICT_LABEL} as bigint) as strict_label, {_STRICT_METHOD} as strict_method from ({_OUTPUTS}) o"
-
-
 @_query(f"select id, label from ({_X}) x")
 def extract_standard(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", extract.standard(F.col("output"), use_cot=True).alias("label"))
@@ -322,6 +326,21 @@ def extract_default1(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", extract.with_default(F.col("output")).alias("label"))
 
 
+@_query(f"select id, 'standard' as mode, label, cast(null as varchar) as method from ({_X}) x union all select id, 'tracking', label, method from ({_X}) x union all select id, 'strict', strict_label, strict_method from ({_X}) x")
+def extract_by_mode(spark, sf_dir):
+    out = F.col("output")
+    modes = {"standard": {}, "tracking": {"track": True}, "strict": {"track": True, "strictly": True}}
+    found = F.array(*(F.struct(F.lit(name).alias("mode"), extract.by_mode(out, **mode).alias("x")) for name, mode in modes.items()))
+    return outputs(spark, sf_dir).select("id", F.explode(found).alias("r")).select("id", "r.mode", "r.x.label", "r.x.method")
+
+
+@_query(f"select method, cast(row_number() over (order by method) as integer) as place from (select method from ({_X}) x union select strict_method from ({_X}) y) z")
+def methods_by_name(spark, sf_dir):
+    """Names of methods that any mode used, in the order of their names."""
+    x = extracted(spark, sf_dir)
+    return metrics.ordered_names(x.select("method").union(x.select("strict_method")), "method")
+
+
 @_query(f"select method, cast(count(*) as bigint) as n, {_pct('count(*)', 'sum(count(*)) over ()')} as percent from ({_X}) x group by method")
 def method_counts(spark, sf_dir):
     return metrics.shares(extracted(spark, sf_dir), "method")
@@ -370,22 +389,35 @@ def model_compare(spark, sf_dir):
     return metrics.compare_methods(x.select(F.explode(both).alias("r")).select("r.model", F.col("r.m").alias("method")), ["standard", "strict"])
 
 
-_MODEL = "select '{m}' as model, {acc} as accuracy, {fail} as failure_rate, {sacc} as strict_accuracy from (select count(*) as n, count(*) filter (where {x} = true_label) as c, count(*) filter (where {x} is null or {x} = -1) as f from ({X}) x) z"
+_CLASS_OF = "select k, cast(count(*) filter (where {x} = k) as double) as n_pred, cast(count(*) filter (where true_label = k) as double) as n_true, cast(count(*) filter (where {x} = k and true_label = k) as double) as tp from ({X}) x, (select distinct true_label as k from ({X}) q union select distinct {x} from ({X}) q) c where {x} is not null and {x} <> -1 and k is not null and k <> -1 group by k"
+_F1 = "select round(avg(" + _ratio("2 * " + _ratio("tp", "n_pred") + " * " + _ratio("tp", "n_true"), _ratio("tp", "n_pred") + " + " + _ratio("tp", "n_true")) + "), 10) from (" + _CLASS_OF + ") c where n_pred + n_true > 0"
+_MODEL = "select '{m}' as model, {acc} as accuracy, {fail} as failure_rate, {sacc} as strict_accuracy, {f1} as macro_f1 from (select count(*) as n, count(*) filter (where {x} = true_label) as c, count(*) filter (where {x} is null or {x} = -1) as f from ({X}) x) z"
 
 
-@_query(_MODEL.format(m="standard", acc=_pct("c", "n"), fail=_pct("f", "n"), sacc="cast(null as double)", x="label", X=_X) + " union all " + _MODEL.format(m="strict", acc=_pct("c", "n"), fail=_pct("f", "n"), sacc=_pct("c", "n - f"), x="strict_label", X=_X))
+@_query(
+    _MODEL.format(m="standard", acc=_pct("c", "n"), fail=_pct("f", "n"), sacc="cast(null as double)", x="label", X=_X, f1="(" + _F1.format(x="label", X=_X) + ")")
+    + " union all "
+    + _MODEL.format(m="strict", acc=_pct("c", "n"), fail=_pct("f", "n"), sacc=_pct("c", "n - f"), x="strict_label", X=_X, f1="(" + _F1.format(x="strict_label", X=_X) + ")")
+    + " union all select 'prior', "
+    + _pct("count(*) filter (where pred = true_label)", "count(*)")
+    + f", cast(null as double), cast(null as double), cast(null as double) from ({_PRED}) p"
+)
 def model_table(spark, sf_dir):
+    """Models with the columns that each has; one that no model has is left out."""
     x = extracted(spark, sf_dir)
 
-    def row(c: str) -> DataFrame:
+    def row(c: str, *without: str) -> DataFrame:
         r = metrics.extraction_rates(x, old="pred", new=c)
-        return r.select(F.col("new_accuracy").alias("accuracy"), metrics.percent(F.col("failure"), F.col("total_samples")).alias("failure_rate"), "strict_accuracy")
+        r = r.select(F.col("new_accuracy").alias("accuracy"), metrics.percent(F.col("failure"), F.col("total_samples")).alias("failure_rate"), "strict_accuracy")
+        f1 = metrics.macro_metrics(x.filter(F.col(c) != -1), "true_label", c).select(F.round("f1_score", 10).alias("macro_f1"))
+        return r.crossJoin(F.broadcast(f1)).drop(*without)
 
-    return metrics.compare_models(standard=row("label").drop("strict_accuracy"), strict=row("strict_label")).select("model", "accuracy", "failure_rate", "strict_accuracy")
+    prior = metrics.extraction_rates(x, old="pred", new="label").select(F.col("original_accuracy").alias("accuracy"))
+    return metrics.compare_models(standard=row("label", "strict_accuracy"), strict=row("strict_label"), prior=prior)
 
 
-#: Responses to validate, eight kinds by id.
-_RESPONSES = """select doc_id as id, case doc_id % 8
+#: Responses to validate, twelve kinds by id.
+_RESPONSES = """select doc_id as id, case doc_id % 12
  when 0 then concat('Sure: {"thought_process": "T', doc_id, '", "predicted_label": 1}')
  when 1 then '{"thought_process": "t", "label": "0"}'
  when 2 then '{"thought_process": "t", "predicted_label": 3}'
@@ -393,7 +425,11 @@ _RESPONSES = """select doc_id as id, case doc_id % 8
  when 4 then 'no json at all'
  when 5 then '{"score": 4, "predicted_label": 1, "improved_thought_process": "i", "error_analysis": "e"}'
  when 6 then '{"score": "4", "predicted_label": 0, "improved_thought_process": "i", "error_analysis": "e"}'
- else '{"score": 9, "predicted_label": "1", "improved_thought_process": "i", "error_analysis": "e"}' end as response from labels"""
+ when 7 then '{"score": 9, "predicted_label": "1", "improved_thought_process": "i", "error_analysis": "e"}'
+ when 8 then '{"thought_process": "t", "predicted_label": "Yes", "score": 2.0, "improved_thought_process": 7}'
+ when 9 then '{"thought_process": null, "predicted_label": true, "score": 0, "improved_thought_process": "i"}'
+ when 10 then '[{"thought_process": "t", "predicted_label": 0.5, "error_analysis": "e", "improved_thought_process": "i"}]'
+ else concat('{"thought_process": "t", "predicted_label": ', doc_id % 2, ', "error_analysis": "e", "improved_thought_process": "i", "score": 2.5}') end as response from labels"""
 
 
 def _validated(spark, sf_dir, shape):
@@ -401,37 +437,56 @@ def _validated(spark, sf_dir, shape):
     return rows.select("id", "v.valid", "v.error_kind", "v.label", "v.score")
 
 
-def _verdicts(kinds: list[str | None], labels: list[int | None], scores: list[int | None]) -> str:
-    case = lambda xs: "case id % 8 " + " ".join(f"when {k} then {('null' if x is None else repr(x))}" for k, x in enumerate(xs)) + " end"
-    return f"select id, {case(kinds)} is null as valid, cast({case(kinds)} as varchar) as error_kind, cast({case(labels)} as integer) as label, cast({case(scores)} as integer) as score from (select doc_id as id from labels) r"
-
-
-_NO = [None] * 8
-
-
-@_query(_verdicts([None, None, "label", "json", "json", "json", "json", "json"], [1, 0, *[None] * 6], _NO))
+def _verdict_sql(texts: tuple[str, ...], score: bool, coerce: bool, alias: bool, keys_first: bool) -> str:
+    """The rules of a shape in SQL, over the cleaned response."""
+    clean = "case when instr(t, '{') > 0 and instr(t, '}') > 0 then substr(t, instr(t, '{'), length(t) - instr(reverse(t), '}') + 2 - instr(t, '{')) else t end"
+    rows = f"select id, case when json_valid(c) and left(c, 1) = '{{' then c end as j from (select id, {clean} as c from (select id, replace(lower(response), chr(10), '') as t from ({_RESPONSES}) r) q) w"
+    label = "case when json_exists(j, '$.predicted_label') then '$.predicted_label' else '$.label' end" if alias else "'$.predicted_label'"
+    raw = f"select id, j, json_type(j, {label}) as kl, json_extract_string(j, {label}) as vl, json_type(j, '$.score') as ks, json_extract_string(j, '$.score') as vs from ({rows}) x"
+    whole = lambda k, v, most: f"case when {k} = 'BOOLEAN' then case {v} when 'true' then 1 else 0 end when {k} in ('UBIGINT', 'BIGINT', 'DOUBLE') and cast({v} as double) = floor(cast({v} as double)) and cast({v} as double) between 0 and {most} then cast(cast({v} as double) as integer) end"
+    own = whole("kl", "vl", 1)
+    if coerce:
+        own = f"case when kl = 'VARCHAR' and vl in ('0', '1') then cast(vl as integer) else {own} end"
+    read = f"select *, {own} as label, {whole('ks', 'vs', 5) if score else 'cast(null as integer)'} as score from ({raw}) y"
+    error = "when j is null then 'json' "
+    if keys_first:
+        error += "".join(f"when not json_exists(j, '$.{k}') then 'keys' " for k in ("predicted_label", *texts))
+    error += "when kl = 'VARCHAR' and label is null then 'label' "
+    error += "when ks = 'VARCHAR' then 'score' " if score else ""
+    error += "when label is null then 'label' "
+    error += "when score is null then 'score' " if score else ""
+    error += "".join(f"when coalesce(json_type(j, '$.{k}'), '') <> 'VARCHAR' then '{'thought' if score else 'json'}' " for k in texts)
+    return f"select id, e is null as valid, e as error_kind, case when e is null then cast(label as integer) end as label, case when e is null then cast(score as integer) end as score from (select *, case {error} end as e from ({read}) z) v"
+
+
+_NLI = _verdict_sql(("thought_process",), False, True, True, False)
+
+
+@_query(_NLI)
 def validate_nli(spark, sf_dir):
     return _validated(spark, sf_dir, validate.NLI)
 
 
-@_query(_verdicts(["score", "label", "label", "score", "json", None, "score", "label"], [None] * 5 + [1, None, None], [None] * 5 + [4, None, None]))
+@_query(_verdict_sql(("improved_thought_process",), True, False, True, False))
 def validate_score(spark, sf_dir):
     return _validated(spark, sf_dir, validate.SCORE)
 
 
-@_query(_verdicts(["keys", "keys", "keys", "keys", "json", None, None, None], [None] * 5 + [1, 0, 1], _NO))
+@_query(_verdict_sql(("error_analysis", "improved_thought_process"), False, True, False, True))
 def validate_reflection(spark, sf_dir):
     return _validated(spark, sf_dir, validate.REFLECTION)
 
 
 @_query(
-    """select id, case id % 8 when 2 then 'The label ''3'' is not valid. Answer again with 0 or 1 as the label and nothing else.' when 0 then null when 1 then null
- else 'The reply was not a valid JSON object. Answer again in exactly this form: {}' end as message from (select doc_id as id from labels) r"""
+    f"""select id, case error_kind when 'label' then concat('The label ', chr(39), regexp_extract(response, '"predicted_label": "?([^",}}]*)"?', 1), chr(39), ' is not valid. Answer again with 0 or 1 as the label and nothing else.')
+ when 'json' then 'The reply was not a valid JSON object. Answer again in exactly this form: {{}}' end as message from ({_NLI}) v join ({_RESPONSES}) r using (id)"""
 )
 def reprompt_message(spark, sf_dir):
-    rows = _views(spark, sf_dir, _RESPONSES, "labels").withColumn("v", validate.validate(F.col("response"), validate.NLI))
-    value = F.get_json_object(text.clean_json(F.col("response")), "$.predicted_label")
-    return rows.select("id", validate.reprompt(F.col("v.error_kind"), value, "{}").alias("message"))
+    from ..operators.backends import checked
+
+    rows = checked(_views(spark, sf_dir, _RESPONSES, "labels"), "response", validate.NLI)
+    value = F.regexp_extract("response", '"predicted_label": "?([^",}]*)"?', 1)
+    return rows.select("id", validate.reprompt(F.col("checked.error_kind"), value, "{}").alias("message"))
 
 
 #: Thoughts with a three-valued `correct`, and reflections of the wrong ones.
@@ -532,12 +587,6 @@ def row_ids(spark, sf_dir):
     return prep.with_row_id(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", first=1)
 
 
-@_query(f"select case when score >= 4 then 'gold' else 'low' end as tier, cast(count(*) as bigint) as n from ({_PRED}) p group by 1")
-def gold_low_split(spark, sf_dir):
-    tier = F.when(F.col("score") >= 4, "gold").otherwise("low")
-    return predictions(spark, sf_dir).groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
-
-
 _EVENTS = "select user_id as run, event_id, row_number() over (partition by user_id order by ts, event_id) as step, cast(value as double) as loss, event_type from events"
 
 
@@ -628,32 +677,40 @@ def reflect_stub(spark, sf_dir):
     return reflect(wrong, _echo, F.concat(F.lit("item "), "id")).select("id", "predicted_label", "improved_thought_process", "error_analysis")
 
 
+def _judge():
+    """A backend that scores the number in the prompt, two more in each round."""
+    import json
+
+    from ..operators.backends import StubBackend
+
+    def reply(messages):
+        n, k = map(int, messages[0]["content"].split()[-2:])
+        return json.dumps({"score": min(n + 2 * k, 5), "predicted_label": n % 2, "improved_thought_process": f"i{n}"})
+
+    return StubBackend(reply)
+
+
 @_query(f"select id, cast(least(score + 2 * r, 5) as integer) as score, r as round, case when score + 2 * r >= 4 then 'gold' else 'low' end as tier from (select id, score, case when score >= 4 then 0 when score >= 2 then 1 else 2 end as r from ({_PRED}) p) q")
 def score_rounds(spark, sf_dir):
-    from ..operators.backends import score_rounds as rounds
-
-    once = lambda df, k: df.withColumn("score", F.least(F.col("first") + 2 * k, F.lit(5)).cast("int"))
-    got = rounds(predictions(spark, sf_dir).select("id", F.col("score").alias("first")), once)
-    return got.select("id", "score", "round", "tier")
+    from ..operators import backends
 
+    def once(df, k):
+        prompt = F.concat(F.lit("rate "), F.col("first").cast("string"), F.lit(f" {k}"))
+        got = backends.run_backend(df, _judge, prompt, "base", validate.SCORE.texts, score=True)
+        return df.join(got.select("id", "score"), "id")
 
-@_query("select doc_id, cast(0 as bigint) as bad from labels")
-def jsonl_tolerant(spark, sf_dir):
-    """Labels as JSON text, each line also in two broken forms; the reader's rule applied to a column."""
-    rows = _table(spark, sf_dir, "labels").select(F.to_json(F.struct("doc_id")).alias("j"))
-    rows = rows.select(F.explode(F.array(F.col("j"), F.concat("j", F.lit("{")), F.lit("{oops"))).alias("value"))
-    got = rows.select(readers.parse_line(F.col("value"), "struct<doc_id: bigint>").alias("r"))
-    return got.filter("r is not null").select("r.doc_id", F.lit(0).cast("long").alias("bad"))
+    got = backends.score_rounds(predictions(spark, sf_dir).select("id", F.col("score").alias("first")), once)
+    return got.select("id", "score", "round", "tier")
 
 
-@_query("select conv_id, cast(turn as bigint) as turn, role from conversations where turn = 0")
+@_query("select conv_id, cast(turn as bigint) as turn, role from conversations")
 def stream_resume(spark, sf_dir):
-    """First turns through the resumable stream, run twice: the second run finds nothing new."""
+    """All turns through the resumable stream, run twice: the second run finds nothing new."""
     from ..streaming import resume
 
     folder, source = resume.work_folder(spark, "stream"), f"{sf_dir}/conversations.parquet"
     schema = spark.read.parquet(source).schema
-    step = lambda df: df.filter("turn = 0").select("conv_id", "turn", "role")
+    step = lambda df: df.select("conv_id", "turn", "role")
     for _ in range(2):
         resume.process_new_files(spark, source + "*", schema, step, f"{folder}/out", f"{folder}/mark", file_format="parquet")
     return spark.read.schema("conv_id long, turn long, role string").json(f"{folder}/out").select("conv_id", "turn", "role")

@@ -199,3 +199,20 @@ def test_rolling_mean_of_a_null_run(spark):
     got = series.rolling_mean(df, "run", "step", "loss", parts=2).collect()
     assert {(r.run, r.step): r.rolling for r in got} == {(None, 1): 2.0, (None, 2): 4.0, ("a", 1): 0.5} and {r._s for r in got} == {7}
     assert {(r.run, r.loss) for r in series.as_percent(df, "run", "loss").collect()} == {(None, 2.0), (None, 4.0), ("a", 50.0)}
+
+
+def test_count_tokens(spark, sf_dir):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from sievewright.operators.tokens import count_tokens
+    from sievewright.plans import registry
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = [None, "", "It's  12 o'clock \U0001f600", "x" * 5000]
+    got = rows(count_tokens(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), path), "id")
+    assert got == [(i, len(tok.encode(t).ids) if t else 0) for i, t in enumerate(texts)]
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    want = {r.conv_id * 1000 + r.turn: len(tok.encode(r.text).ids) for r in turns}
+    assert dict(map(tuple, registry.QUERIES["token_count_model"](spark, sf_dir).collect())) == want
