@@ -144,7 +144,7 @@ def _pieces(path: str, end_id: int, window: int, with_ids: bool):
                         nth.append(seen[len(piece)])
                         seen[len(piece)] += 1
                 cols = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
-                cols += [pa.array(ids, pa.list_(pa.int64()) if with_ids else pa.int64()), pa.array(total, pa.int64())]
+                cols += [pa.array(ids, pa.list_(pa.int32()) if with_ids else pa.int64()), pa.array(total, pa.int64())]
                 cols += [pa.array([part] * len(doc), pa.int32()), pa.array(nth, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids" if with_ids else "ids_crc32", "doc_tokens", "part", "nth"])
 
@@ -232,22 +232,24 @@ def _place(rows: np.ndarray, window: int):
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, window: int = 2048, with_ids: bool = True) -> DataFrame:
     """Pack whole texts into sequences of at most `window` ids, a row for each piece.
 
-    Columns: doc_id, start, length, ids (array of long; ids_crc32 of their unsigned little-endian 32-bit form instead
+    Columns: doc_id, start, length, ids (array of int; ids_crc32 of their unsigned little-endian 32-bit form instead
     without with_ids), doc_tokens, sequence_id, offset. A text is its ids and end_id; it is cut into full windows and
     a rest. The lengths' histogram, at most `window` rows, is all that reaches the driver and is packed there by best
-    fit decreasing; each piece then finds its place from its rank among those of its length, so the job is two passes
-    without sorting and equal whatever the number of pieces.
+    fit decreasing; each piece then finds its place from its rank among those of its length: its number within its part,
+    and how many the parts before have.
 
-    Null and empty texts are one piece of end_id alone. Repeated rows are pieces of their own; null ids stay null.
+    Null and empty texts are one piece of end_id alone. Repeated rows are pieces of their own; null ids stay null; very
+    long texts are encoded in whole. Other columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    body = "ids array<long>" if with_ids else "ids_crc32 long"
+    body = "ids array<int>" if with_ids else "ids_crc32 long"
     schema = f"doc_id long, start long, length long, {body}, doc_tokens long, part int, nth long"
     pieces = stored(src.mapInArrow(_pieces(tokenizer, end_id, window, with_ids), schema), "pieces")
     counts = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     hist = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     rows, _ = best_fit_decreasing(hist, window)
     before = counts.selectExpr("part", "length", "sum(n) over (partition by length order by part) - n as before")
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("part", "nth", "before")
+    # By merging at every size: a row for each length of each part, which is no small table where there are many parts.
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("part", "nth", "before")
     ranked = ranked.select("doc_id", "start", "length", "ids" if with_ids else "ids_crc32", "doc_tokens", "rank")
     return ranked.mapInArrow(_place(rows, window), f"doc_id long, start long, length long, {body}, doc_tokens long, sequence_id long, offset long")
