@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import span_hash, text_chunks, window_hash, word_spans
 
+#: Limits by size, see Bands.
+DEFAULT = ((0, 0.0, 1.7), (200, 1.1, 1.75), (300, 1.25, 2.0), (500, 1.35, 2.15), (1000, 1.6, 2.25), (2000, 1.8, 2.4), (4096, 1.95, 2.5), (8192, 2.05, 2.6), (20_000, 2.15, 2.65))
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _WINDOW = 8
 _SYMBOL = np.zeros(256, bool)
@@ -21,22 +23,29 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
+#: Bytes from which on the limits of a band hold.
+SIZES = (0, 200, 300, 500, 1000, 2000, 4096, 8192, 20_000)
+
+
 @dataclass(frozen=True)
 class Bands:
     """Limits of raw size over zstandard size, by size in bytes: (from this size on, least, most) in ascending order.
 
-    Short texts hardly compress, so low ratios only count from 300 bytes on; long ones compress better.
+    Short texts hardly compress, so low ratios only count from 200 bytes on; long ones compress better. The limits are
+    those that calibrate() gives for labelled good texts, rounded outwards.
     """
 
-    limits: tuple[tuple[int, float, float], ...] = ((0, 0.0, 3.0), (300, 1.15, 4.5), (2000, 1.4, 5.0), (20_000, 1.5, 6.0))
+    limits: tuple[tuple[int, float, float], ...] = DEFAULT
     level: int = 3
     chunk: int = 4096
+    #: Chunks have the limits of texts of their size, so many times wider on either side.
+    chunk_slack: float = 1.1
     #: Reject when more than this share of a text's bytes lies in chunks outside their bands.
-    chunk_share: float = 0.34
+    chunk_share: float = 0.1
 
-    def inside(self, size: int, ratio: float) -> bool:
+    def inside(self, size: int, ratio: float, slack: float = 1.0) -> bool:
         _, low, high = next(x for x in reversed(self.limits) if size >= x[0])
-        return low <= ratio <= high
+        return low / slack <= ratio <= high * slack
 
     def judge(self, text: bytes, squeeze: Callable[[bytes], bytes]) -> tuple[float, float]:
         """Ratio of the whole text (1 if empty), and the share of its bytes in chunks outside their bands."""
@@ -44,14 +53,36 @@ class Bands:
             return 1.0, 0.0
         whole = len(text) / len(squeeze(text))
         if len(text) <= self.chunk:
-            return whole, float(not self.inside(len(text), whole))
+            return whole, float(not self.inside(len(text), whole, self.chunk_slack))
         bad = 0
         for k in range(0, len(text), self.chunk):
             piece = text[k : k + self.chunk]
-            bad += len(piece) * (not self.inside(len(piece), len(piece) / len(squeeze(piece))))
+            bad += len(piece) * (not self.inside(len(piece), len(piece) / len(squeeze(piece)), self.chunk_slack))
         return whole, bad / len(text)
 
 
+def calibrate(docs: DataFrame, good: DataFrame, rows: int = 20_000, margin: float = 0.06, id_col: str = "doc_id", text_col: str = "text") -> Bands:
+    """Bands fitted to labelled good texts: their 0.1 % and 99.9 % quantiles by size, widened by `margin`.
+
+    good has the ids of good texts; those `rows` with the smallest hashes are the sample, whose bound is this parameter.
+    Texts that the base rules reject don't count; a size without texts has the limits of the next smaller one. What
+    reaches the driver is a row for each size.
+    """
+    ids = good.select(F.col(id_col).cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id")
+    seen = quality_rules(some, bands=Bands()).filter("not base_failed")
+    sized = seen.join(some.select("doc_id", F.octet_length("text").alias("size")), "doc_id")
+    band = F.greatest(*(F.when(F.col("size") >= x, x).otherwise(0) for x in SIZES))
+    q = F.percentile("ratio", F.array(F.lit(0.001), F.lit(0.999)))
+    found = {r.band: r.q for r in sized.groupBy(band.alias("band")).agg(q.alias("q")).collect()}
+    limits, last = [], (0.0, float("inf"))
+    for x in SIZES:
+        if x in found:
+            last = (found[x][0] / (1 + margin) if x >= 200 else 0.0, found[x][1] * (1 + margin))
+        limits.append((x, *last))
+    return Bands(tuple(limits))
+
+
 def _sums(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])

@@ -119,3 +119,21 @@ def masked(text, spans):
             out += text[at:start] + "[REDACTED]"
         at = max(at, end)
     return out + text[at:]
+
+
+def compression_verdict(text, limits, slack, share, chunk=4096, level=3):
+    """Whether a text's size over its zstandard size lies within the limits of its size, and its chunks' too."""
+    import zstandard
+
+    raw = (text or "").encode()
+    pack = zstandard.ZstdCompressor(level=level, write_content_size=False).compress
+
+    def within(piece, wider):
+        if not piece:
+            return True
+        low, high = [(a, b) for size, a, b in limits if len(piece) >= size][-1]
+        return low / wider <= len(piece) / len(pack(piece)) <= high * wider
+
+    pieces = [raw[k : k + chunk] for k in range(0, len(raw), chunk)]
+    odd = sum(len(x) for x in pieces if not within(x, slack))
+    return within(raw, 1.0) and odd <= share * len(raw)

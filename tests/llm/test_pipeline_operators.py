@@ -131,22 +131,43 @@ def test_quality(spark, sf_dir, rows):
     for i, t in rows:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(t), i
-        assert not (r.kept and r.base_failed)
+        good = brute.compression_verdict(t, quality.DEFAULT, 1.1, 0.1)
+        assert r.kept == (good and not r.base_failed), i
+    assert any(not r.kept and not r.base_failed for r in got.values())
 
 
 def test_quality_edges(spark):
     got = quality.quality_rules(edge(spark)).collect()
     for r, (i, t) in zip(sorted(got), EDGE):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(t), i
-    clean = " ".join(f"word{k * 7919 % 1000} is" for k in range(60))
-    noise = zlib.crc32(b"") or "".join(chr(33 + x) for x in np.random.default_rng(1).integers(0, 90, 4000))
-    mixed = " ".join(noise[k : k + 40] for k in range(0, 4000, 40))
-    df = spark.createDataFrame([(1, clean), (2, mixed), (3, "same words here again and " * 100)], "doc_id long, text string")
-    assert [r.kept for r in sorted(quality.quality_rules(df).collect())] == [True, False, False]
-    assert [r.doc_id for r in quality.keep_quality(df).collect()] == [1]
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 10))) for _ in range(900)]
+    prose = lambda n: " ".join(words[i] for i in np.minimum(rng.zipf(1.35, n) - 1, 899))
+    noise = lambda n: " ".join("".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 60)) for _ in range(n))
+    junk = " ".join(f"item {k % 7} of the list, click here" for k in range(600))
+    texts = [prose(300), noise(70), "same words here again and " * 100, noise(25), prose(1500)[:7000] + " " + noise(70)[:4096], prose(1500)[:7000] + " " + junk[:4096], prose(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert [got[i].kept for i in range(7)] == [brute.compression_verdict(t, quality.DEFAULT, 1.1, 0.1) and not got[i].base_failed for i, t in enumerate(texts)]
+    assert not any(got[i].kept for i in range(1, 6)) and not got[4].base_failed and 0.1 < got[4].bad_share < 0.7
+    wide = quality.Bands(tuple((n, low, 9.0) for n, low, _ in quality.DEFAULT), chunk_share=0.7)
+    assert {r.doc_id for r in quality.quality_rules(df, bands=wide).collect() if r.kept} >= {0, 4, 6}
+    assert {r.doc_id for r in quality.keep_quality(df).collect()} == {i for i in got if got[i].kept}
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_calibrated_bands_keep_good_texts_they_have_not_seen(spark):
+    """Fitted on one table, held against the labels of another."""
+    read = lambda sf, t: spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet")
+    bands = quality.calibrate(read("sf0.01", "documents"), read("sf0.01", "labels").filter("quality = 1"), rows=300)
+    assert [x[0] for x in bands.limits] == list(quality.SIZES)
+    for b in (bands, quality.Bands()):
+        seen = quality.quality_rules(read("sf0.1", "documents"), bands=b).filter("not base_failed").join(read("sf0.1", "labels"), "doc_id")
+        lost = {r.quality: (r.n, r.gone) for r in seen.groupBy("quality").agg(F.count("*").alias("n"), F.expr("count_if(not kept)").alias("gone")).collect()}
+        assert lost[1][1] <= 0.02 * lost[1][0] and lost[0][1] >= 0.2 * lost[0][0], lost
+    assert quality.calibrate(read("sf0.01", "documents").limit(0), read("sf0.01", "labels")).limits[-1][1:] == (0.0, float("inf"))
+
+
 def test_secrets(spark, sf_dir, rows):
     got = {r.doc_id: r for r in queries.op6_secrets(spark, sf_dir).collect()}
     assert len(got) == len(rows)
