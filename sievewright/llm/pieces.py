@@ -15,6 +15,25 @@ from .shared import span_hash, text_chunks
 SPACE = "▁"
 #: Score of an unknown character below the worst piece, and distinct units whose ids a worker keeps.
 UNKNOWN, CACHE_UNITS = 10.0, 1_000_000
+#: Scores are whole multiples of 1 / GRAIN, so that sums are exact and don't depend on their order.
+GRAIN = 1 << 20
+#: What Zipf's law adds to a rank (Mandelbrot's form).
+ZIPF_SHIFT = 2.7
+
+
+def log_scores(scores: list[float]) -> list[float]:
+    """Log scores of pieces: the model's own, if it is a unigram model.
+
+    A model of merges has ranks 0, -1, -2, ... for scores (and large ones for pieces that no merge makes), whose sums mean
+    nothing. By Zipf's law a piece of rank r has a probability in proportion to 1 / (r + ZIPF_SHIFT), which needs no
+    corpus and no training; its logarithm is the score.
+    """
+    ranks = -np.array(scores, np.float64)
+    if len(ranks) < 2 or (ranks != np.floor(ranks)).any() or ranks.min() < 0:
+        return list(scores)
+    ranks = np.minimum(ranks, len(ranks))
+    weight = 1 / (ranks + ZIPF_SHIFT)
+    return np.log(weight / weight.sum()).tolist()
 
 
 class DoubleArray:
@@ -77,7 +96,7 @@ class Unigram:
         if any(SPACE in pieces[i].lstrip(SPACE) for i in ids):
             raise ValueError("a piece has white space inside: units can't be encoded alone")
         self.trie = DoubleArray([pieces[i].encode() for i in ids])
-        self.ids, self.scores = np.array(ids, np.uint32), np.array([scores[i] for i in ids], np.float64)
+        self.ids, self.scores = np.array(ids, np.uint32), np.round(np.array([scores[i] for i in ids], np.float64) * GRAIN) / GRAIN
         self.unknown = float(self.scores.min()) - UNKNOWN
         self.raw = [pieces[i].replace(SPACE, " ").encode() if i not in skip else b"" for i in range(len(pieces))]
         for b, i in enumerate(byte_ids):
@@ -93,7 +112,11 @@ class Unigram:
         names = [sp.id_to_piece(i) for i in range(n)]
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
-        return cls(names, [sp.get_score(i) for i in range(n)], byte_ids, skip)
+        own = [i for i in range(n) if i not in skip]
+        scores = [0.0] * n
+        for i, x in zip(own, log_scores([sp.get_score(i) for i in own])):
+            scores[i] = x
+        return cls(names, scores, byte_ids, skip)
 
     def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -131,12 +154,20 @@ class Unigram:
         t = np.concatenate([t, lead[odd] + width[odd]])
         score = np.concatenate([self.scores[w], np.full(int(odd.sum()), self.unknown)])
         w = np.concatenate([w, np.full(int(odd.sum()), -1)])
-        # Best sums by the distance from the unit's begin. Slot p + unit is position p of the joined bytes as a border.
+        # Every segmentation has a border where no arc crosses, so each stretch between two such places goes alone: a
+        # long unit takes as many steps as its longest stretch.
+        cover = np.zeros(len(data) + 1, np.int64)
+        np.add.at(cover, s + 1, 1)
+        np.add.at(cover, t, -1)
+        free = np.cumsum(cover)[:-1] == 0
+        whole, unit, begin = unit, np.cumsum(free) - 1, np.flatnonzero(free)
+        lens = np.diff(np.append(begin, len(data)))
+        # Best sums by the distance from the stretch's begin. Slot p + unit is position p of the joined bytes as a border.
         own = unit[s]
         far = t - begin[own]
         order = np.lexsort((s, own, far))
         s, t, w, score, own, far = (x[order] for x in (s, t, w, score, own, far))
-        best, back = np.zeros(len(data) + len(units) + 1), np.zeros(len(data) + len(units) + 1, np.int64)
+        best, back = np.zeros(len(data) + len(begin) + 1), np.zeros(len(data) + len(begin) + 1, np.int64)
         cut = np.append(np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1]))), len(far)) if len(far) else np.zeros(1, np.int64)
         for a, b in zip(cut[:-1], cut[1:]):
             v = best[s[a:b] + own[a:b]] + score[a:b]
@@ -167,7 +198,7 @@ class Unigram:
         unk = np.repeat(w[arc] < 0, n)
         where = np.repeat(s[arc] - ptr[:-1], n) + np.arange(ptr[-1])
         ids[unk] = self.byte_ids[data[where[unk]]]
-        return ids, np.bincount(np.repeat(owner, n), minlength=len(units))
+        return ids, np.bincount(np.repeat(whole[s[arc]], n), minlength=len(units))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (bytes and offsets) one behind the other, and where each text's begin.
@@ -219,7 +250,9 @@ class Unigram:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces with markers as spaces, byte pieces as bytes, without the leading space."""
-        raw = b"".join([self.raw[i] for i in ids])
+        if any(i is not None and not 0 <= i < len(self.raw) for i in ids):
+            raise ValueError(f"ids are from 0 to {len(self.raw) - 1}")
+        raw = b"".join([self.raw[i] for i in ids if i is not None])
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -241,7 +274,8 @@ def _model(path: str) -> Unigram:
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of each whole text, a row for each input row; no shuffle.
 
-    Null and empty texts have no ids, null ids stay null, repeated rows get equal results; other columns are not read.
+    Null and empty texts have no ids, null ids stay null, repeated rows get equal results; very long texts are encoded
+    in whole; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +290,11 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 
 def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of each row's ids; null ids give an empty text."""
+    """(doc_id, text) of each row's ids, a row for each input row.
+
+    Null ids arrays and empty ones give an empty text; a null id within one is passed over, one that no piece has is an
+    error. Null doc_ids stay null; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = _model(model)
@@ -264,7 +302,7 @@ def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_co
             texts = [uni.decode(x) if x else "" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def piece_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import json
 import math
 import pathlib
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -380,11 +381,28 @@ def test_pieces(uni, spark, sf_dir):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = queries.op9_sentencepiece(spark, sf_dir).collect()
     assert len(got) == len(rows) and all(r.exact for r in got)
-    for r in got[:60]:
-        want = viterbi(uni, rows[r.doc_id][:3000]) if len(rows[r.doc_id]) <= 3000 else None
-        if want is not None:
-            assert r.n_ids == len(want) and r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
-            assert r.text_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest()
+    for r in got:
+        want = viterbi(uni, rows[r.doc_id] or "")
+        assert r.n_ids == len(want) and r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+        assert r.text_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest()
+
+
+def test_log_scores(uni):
+    assert pieces.log_scores([-3.5, -1.25, -0.5]) == [-3.5, -1.25, -0.5]
+    zipf = pieces.log_scores([0.0, -2.0, -1.0])
+    assert zipf[0] > zipf[2] > zipf[1] and abs(sum(map(math.exp, zipf)) - 1) < 1e-9
+    # The likeliest segmentation has few pieces; sums of ranks would take common letters.
+    assert len(ids_of(uni, "the international organization")) <= 5
+
+
+def test_pieces_of_a_long_text_without_spaces(uni):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789日本語é"), 60_000))
+    began = time.monotonic()
+    got = ids_of(uni, text)
+    assert time.monotonic() - began < 10 and len(got) > 10_000
+    assert got[:1000] == viterbi(uni, text[:5000])[:1000]
+    assert uni.decode(np.array(got)) == text
 
 
 def test_piece_edges(uni, spark):
@@ -397,6 +415,10 @@ def test_piece_edges(uni, spark):
     back = {r.doc_id: r.text for r in pieces.decode_pieces(enc, model).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
     assert all(r.ids == viterbi(uni, texts[r.doc_id] or "") for r in enc.collect())
+    odd = spark.createDataFrame([(None, None), (1, [None, 1050, None]), (2, []), (2, [])], "doc_id long, ids array<int>")
+    assert sorted((tuple(r) for r in pieces.decode_pieces(odd, model).collect()), key=str) == sorted([(None, ""), (1, uni.decode(np.array([1050]))), (2, ""), (2, "")], key=str)
+    with pytest.raises(Exception, match="ids are from 0 to"):
+        pieces.decode_pieces(spark.createDataFrame([(1, [40_000])], "doc_id long, ids array<int>"), model).collect()
     assert pieces.encode_pieces(df.limit(0), model).count() == 0
 
 
