@@ -231,6 +231,35 @@ def test_digest_collisions(tmp_path, monkeypatch):
     assert [index.verdicts[index.verdict[k]] if k >= 0 else None for k in found] == ["allow", "block", None, "block"]
 
 
+def test_rules_in_several_files(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    hosts = [f"h{k}.example" for k in range(150)]
+    rules = [urls.Rule(h, str(rng.choice(["", "/a", "/a/b", "/long/path"])), str(rng.choice(["block", "allow", "look"]))) for h in hosts for _ in range(2)]
+    pages = [(i, f"http://www.{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/a/b/c', '/long/path?x'])}") for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    last = {r.host + r.path: r for r in rules}
+
+    def want(url):
+        host, path = urls.split_url(url)
+        fit = [r for r in last.values() if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fit, key=lambda r: len(r.host + r.path), default=None)
+        return (best.host + best.path, best.verdict) if best else (None, "allow")
+
+    for n in (7, 1000):
+        paths = urls.write_rules(spark, rules, n)
+        assert len(paths) == -(-len(last) // n)
+        monkeypatch.setattr(urls, "write_rules", lambda *a, paths=paths: paths)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark, df, rules).collect()} == {i: want(u) for i, u in pages}
+        monkeypatch.undo()
+    table = spark.createDataFrame([(r.host, r.path or None, r.verdict) for r in last.values()] + [(None, "/x", "block"), ("h", "/x", None)], "host string, path string, verdict string")
+    paths = urls.write_rules(spark, table, 40)
+    assert len(paths) > 4
+    monkeypatch.setattr(urls, "write_rules", lambda *a: paths)
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark, df, table).collect()} == {i: want(u) for i, u in pages}
+    monkeypatch.undo()
+    assert urls.filter_urls(spark, df, table.limit(0)).filter("verdict <> 'allow'").count() == 0
+
+
 # --- licences
 
 
