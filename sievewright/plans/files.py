@@ -299,6 +299,24 @@ def remaining_seconds(spark, sf_dir):
     return rows.join(last, "conv_id").select("conv_id", "turn", series.remaining_seconds(F.lit(10.0), F.col("turn") + 1, F.col("last") + 1).alias("seconds"))
 
 
+@query("select cast(user_id as varchar) as run, cast(event_id as bigint) as global_step, cast(value as double) as train_loss, cast(null as double) as eval_loss, case when event_type = 'click' then cast(0.25 as double) end as accuracy from events")
+def run_history(spark, sf_dir):
+    """A training history as JSON lines in its declared shape; series that a step lacks are null."""
+    path = fresh_path(spark, "history")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("global_step"), F.col("value").alias("train_loss"), F.when(F.col("event_type") == "click", 0.25).alias("accuracy"))
+    writers.overwrite_json(e, path)
+    return readers.read_json(spark, path, schemas.RUN_HISTORY)
+
+
+@query("select run, cast(step as integer) as step, loss as value from (select user_id as run, row_number() over (partition by user_id order by ts, event_id) as step, cast(value as double) as loss from events) e qualify row_number() over (partition by run order by loss desc, step) = 1")
+def largest_step(spark, sf_dir):
+    """The step of each run's largest value, the first on ties."""
+    from ..operators import series
+    from .catalog import runs
+
+    return series.best_step(runs(spark, sf_dir), "run", "step", "loss", largest=True)
+
+
 @query()
 def token_count_model(spark, sf_dir):
     """Tokens of all turns by a tokenizer file, which SQL can't express."""
