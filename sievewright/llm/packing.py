@@ -19,6 +19,9 @@ from .shared import lower_ascii, span_hash, text_chunks, word_spans
 
 #: Distinct words whose ids a worker keeps; it starts anew beyond.
 CACHE_WORDS = 1_000_000
+#: Rows of the counts by part and length up to which they are broadcast (some 24 bytes each); beyond, pieces and counts
+#: are merged.
+LOOKUP_ROWS = 100_000
 
 
 _ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -124,28 +127,41 @@ class WordIds:
 _cache: dict[str, WordIds] = {}
 
 
+def _words(path: str) -> WordIds:
+    """The tokenizer and its words, once a worker."""
+    if path not in _cache:
+        _cache[path] = WordIds(path)
+    return _cache[path]
+
+
 def _pieces(path: str, end_id: int, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _cache.setdefault(path, None) or _cache.update({path: WordIds(path)}) or _cache[path]
+        words = _words(path)
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column(1), 4 << 20):
                 flat, ptr = words.texts(data, offs)
-                doc, start, length, ids, total, nth = [], [], [], [], [], []
-                for d in range(hi - lo):
-                    own = np.append(flat[ptr[d] : ptr[d + 1]], np.uint32(end_id)).astype("<u4")
-                    for s in range(0, len(own), window):
-                        piece = own[s : s + window]
-                        doc.append(lo + d)
-                        start.append(s)
-                        length.append(len(piece))
-                        ids.append(piece if with_ids else zlib.crc32(piece.tobytes()))
-                        total.append(len(own))
-                        nth.append(seen[len(piece)])
-                        seen[len(piece)] += 1
-                cols = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
-                cols += [pa.array(ids, pa.list_(pa.int32()) if with_ids else pa.int64()), pa.array(total, pa.int64())]
-                cols += [pa.array([part] * len(doc), pa.int32()), pa.array(nth, pa.int64())]
+                # All ids of the run with end_id behind each text, and the borders of the pieces among them.
+                total = np.diff(ptr) + 1
+                first = np.append(0, np.cumsum(total))
+                ids = np.full(first[-1], end_id, "<u4")
+                ids[np.arange(len(flat)) + np.repeat(np.arange(hi - lo), np.diff(ptr))] = flat
+                n = -(-total // window)
+                doc = np.repeat(np.arange(hi - lo), n)
+                start = (np.arange(len(doc)) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)) * window
+                length = np.minimum(window, total[doc] - start)
+                at = first[doc] + start
+                # The number of each piece among those of its length in this part.
+                order = np.argsort(length, kind="stable")
+                size, begin, count = np.unique(length[order], return_index=True, return_counts=True)
+                nth = np.empty(len(doc), np.int64)
+                nth[order] = np.arange(len(doc)) - np.repeat(begin, count) + np.repeat(seen[size], count)
+                seen[size] += count
+                if with_ids:
+                    body = pa.ListArray.from_arrays(pa.array(np.append(at, first[-1]).astype(np.int32)), pa.array(ids.view(np.int32)))
+                else:
+                    body = pa.array([zlib.crc32(ids[x : x + k]) for x, k in zip(at.tolist(), length.tolist())], pa.int64())
+                cols = [batch.column(0).take(pa.array(lo + doc)), pa.array(start), pa.array(length), body, pa.array(total[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids" if with_ids else "ids_crc32", "doc_tokens", "part", "nth"])
 
     return run
@@ -249,7 +265,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     hist = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     rows, _ = best_fit_decreasing(hist, window)
     before = counts.selectExpr("part", "length", "sum(n) over (partition by length order by part) - n as before")
-    # By merging at every size: a row for each length of each part, which is no small table where there are many parts.
-    ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("part", "nth", "before")
+    # A row for each length of each part: no small table where there are many parts, so its size is looked at.
+    before = F.broadcast(before) if counts.count() <= LOOKUP_ROWS else before.hint("merge")
+    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("part", "nth", "before")
     ranked = ranked.select("doc_id", "start", "length", "ids" if with_ids else "ids_crc32", "doc_tokens", "rank")
     return ranked.mapInArrow(_place(rows, window), f"doc_id long, start long, length long, {body}, doc_tokens long, sequence_id long, offset long")

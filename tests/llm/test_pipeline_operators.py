@@ -249,9 +249,12 @@ def test_packing(spark, sf_dir, rows):
     assert brute.check_packing(rows, pieces, lambda t: tok.encode(t, add_special_tokens=False).ids) < 0.02
 
 
-def test_packing_edges(spark):
+@pytest.mark.parametrize("rows_at_most", [100_000, 0])
+def test_packing_edges(spark, monkeypatch, rows_at_most):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "LOOKUP_ROWS", rows_at_most)
+
     tok = Tokenizer.from_file(queries.tokenizer_path())
     got = packing.pack(edge(spark), queries.tokenizer_path(), window=64, with_ids=True).collect()
     pieces = [r.asDict() | {"ids_crc32": zlib.crc32(np.array(r.ids, "<u4").tobytes())} for r in got]
