@@ -303,6 +303,7 @@ def test_license_edges(spark):
         "z/none.c": (None, "none", None), "top.c": (None, "none", None), None: (None, "none", None), "long.c": ("MIT", "own", None),
     }
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+    assert {r.origin for r in licenses.scan_licenses(df, templates=()).collect()} == {"none"}
 
 
 MIT_TEXT = """MIT License
