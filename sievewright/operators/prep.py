@@ -119,14 +119,25 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def row_slice(df: DataFrame, key: str, start: int, end: int | None = None) -> DataFrame:
-    """Rows [start, end) in key order, nulls first.
+    """Rows [start, end) in key order, nulls first; which of equal keys fall on either side of a border is open.
 
-    Rows are numbered by ranges and filtered, so a slice far in costs no task more than its own range.
+    The key column alone is numbered, by ranges, to find the keys at both borders; then only the rows between them are
+    numbered with all their columns. So a slice far in costs no task more than its own range.
     """
     (place,) = unused(df, "_place")
-    at = F.col(place)
-    inside = at >= start if end is None else (at >= start) & (at < end)
-    return _numbered(df, key, place).filter(inside).drop(place)
+    keys, at = _numbered(df.select(key), key, place), F.col(place)
+    wanted = [start] if end is None else [start, max(start, end - 1)]
+    borders = {r[place]: r[key] for r in keys.filter(at.isin(wanted)).collect()}
+    if start not in borders or (end is not None and end <= start):
+        return df.limit(0)
+    low, first = borders[start], F.col(key)
+    inside = F.lit(True) if low is None else first >= low
+    if end is not None and end - 1 in borders:
+        high = borders[end - 1]
+        inside = inside & (first.isNull() if high is None else (first.isNull() | (first <= high)))
+    before = keys.filter(first.eqNullSafe(F.lit(low))).agg(F.min(place)).first()[0]
+    at = at + before
+    return _numbered(df.filter(inside), key, place).filter((at >= start) if end is None else (at >= start) & (at < end)).drop(place)
 
 
 def worker_chunks(df: DataFrame, key: str, workers: int) -> DataFrame:

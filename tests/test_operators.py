@@ -191,6 +191,10 @@ def test_numbering_keeps_every_column(spark):
     assert chunks.columns == ["k", "_id", "_row", "_place", "worker_id"]
     assert sorted(r.worker_id for r in chunks.collect()) == [0, 0, 0, 1, 1]
     assert {r._id for r in prep.row_slice(df, "k", 3).collect()} == {"b", "c"}
+    assert sorted(r.k or 0 for r in prep.row_slice(df, "k", 1, 4).collect()) == [0, 1, 2] and prep.row_slice(df, "k", 1, 2).first().k is None
+    assert prep.row_slice(df, "k", 5, 9).count() == 0 and prep.row_slice(df, "k", 4, 9).first()._id == "c" and prep.row_slice(df, "k", 0).count() == 5
+    ties = spark.range(40).select((F.col("id") % 4).alias("k"), "id")
+    assert sorted(r.k for r in prep.row_slice(ties, "k", 8, 22).collect()) == [0] * 2 + [1] * 10 + [2] * 2
     assert prep.keep_first(df.fillna(0), "k", "_row").count() == 4
 
 
