@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,14 @@ LEAF = 24
 _SLACK = 1e-6
 
 
+@lru_cache(8)
 def rotation(d: int) -> np.ndarray:
     """A fixed random rotation; it spreads distances evenly over the blocks."""
     q, r = np.linalg.qr(np.random.default_rng(1_000_003 + d).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
 
+@lru_cache(8)
 def cuts(d: int) -> list[tuple[int, int]]:
     """Coordinates of each block."""
     at = np.linspace(0, d, min(BLOCKS, d) + 1).astype(int)
@@ -169,7 +172,7 @@ def near_in_block(x: np.ndarray, y: np.ndarray, budget: float, leaf: int = LEAF)
     Each node of the tree has the box of its points and is split at the median of its widest side; only those x go on
     whose distance to the box is within the budget. What reaches a leaf is compared point by point.
     """
-    leaf, todo = max(leaf, 2 * x.shape[1]), [(np.arange(len(x)), np.arange(len(y)))]
+    leaf, todo = max(leaf, x.shape[1] // 2), [(np.arange(len(x)), np.arange(len(y)))]
     while todo:
         i, j = todo.pop()
         low, high = y[j].min(axis=0), y[j].max(axis=0)
@@ -260,9 +263,7 @@ def _pairs(t: pa.Table, kind: str, limit: float) -> tuple[np.ndarray, np.ndarray
                 if not len(p):
                     continue
                 np.add.at(count, p, n[r])
-                head = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-                for z, others in zip(p[head], np.split(r, head[1:])):
-                    labels.join(z, others)
+                labels.join_pairs(p, r)
     c, m = labels.stars()
     at = np.flatnonzero(count)
     return ids[at], count[at], ids[c], ids[m]

@@ -204,7 +204,11 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_cent
         take = np.repeat(ptr[s] - np.append(0, np.cumsum(lens)[:-1]), lens) + np.arange(lens.sum())
         both = np.bincount(owners[take], minlength=n)
         labels.join(i, np.flatnonzero(apart & (100 * both >= per_cent * (size + size[i] - both))))
-    return labels.stars()
+    c, m = labels.stars()
+    if known is not None and len(known):
+        new = ~(np.isin(c, known) & np.isin(m, known))
+        c, m = c[new], m[new]
+    return c, m
 
 
 def _confirm(width: int, per_cent: int):

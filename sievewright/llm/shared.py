@@ -212,6 +212,20 @@ class Labels:
         if len(found) > 1:
             self.of[np.isin(self.of, found)] = found[0]
 
+    def join_pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join a[k] with b[k] for every k: each label hooks to the smallest that it meets, until none is apart."""
+        while True:
+            x, y = self.of[a], self.of[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            to = np.arange(len(self.of))
+            np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(to, to[to]):
+                to = to[to]
+            self.of = to[self.of]
+
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """(centre, member) of each index that isn't its own label."""
         i = np.flatnonzero(self.of != np.arange(len(self.of)))
