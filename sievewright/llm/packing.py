@@ -19,9 +19,9 @@ from .shared import lower_ascii, span_hash, text_chunks, word_spans
 
 #: Distinct words whose ids a worker keeps; it starts anew beyond.
 CACHE_WORDS = 1_000_000
-#: Rows of the counts by part and length up to which they are broadcast (some 24 bytes each); beyond, pieces and counts
-#: are merged.
-LOOKUP_ROWS = 100_000
+#: Rows of the counts by part and length up to which they are broadcast (two numbers each, some 50 MB at most); beyond,
+#: pieces and counts are merged.
+LOOKUP_ROWS = 1_000_000
 
 
 _ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -264,9 +264,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     counts = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     hist = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     rows, _ = best_fit_decreasing(hist, window)
-    before = counts.selectExpr("part", "length", "sum(n) over (partition by length order by part) - n as before")
+    slot = F.col("part").cast("long") * (window + 1) + F.col("length")
+    before = counts.selectExpr("part", "length", "sum(n) over (partition by length order by part) - n as before").select(slot.alias("slot"), "before")
     # A row for each length of each part: no small table where there are many parts, so its size is looked at.
     before = F.broadcast(before) if counts.count() <= LOOKUP_ROWS else before.hint("merge")
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("part", "nth", "before")
+    ranked = pieces.withColumn("slot", slot).join(before, "slot").withColumn("rank", F.col("before") + F.col("nth"))
     ranked = ranked.select("doc_id", "start", "length", "ids" if with_ids else "ids_crc32", "doc_tokens", "rank")
     return ranked.mapInArrow(_place(rows, window), f"doc_id long, start long, length long, {body}, doc_tokens long, sequence_id long, offset long")
