@@ -39,7 +39,8 @@ def test_stages(spark, sf_dir):
 
 
 def test_stage_edges(spark):
-    text = " ".join(f"word{k * 7919 % 1000} is" for k in range(60))
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 10))) for _ in range(100))
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, text, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, text + " token=abcdefabcdefabcd9", "en", "s", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = docs
