@@ -17,10 +17,10 @@ from .shared import Labels, components, in_units, mix, partitions_of, whole_grou
 #: Blocks that the rotated vectors are cut into.
 BLOCKS = 8
 #: Vectors of a label that one cell of a block's space holds, about; from there on space is split.
-CELL = 2048
+CELL = 16_384
 #: Vectors of one part of a cell that holds many more, as its vectors lie too close to be split; and of those that have
 #: a neighbour, whose whole vectors are compared.
-PART, PART_NEAR = 4096, 512
+PART, PART_NEAR = 16_384, 512
 #: Vectors of a leaf of the tree that a task builds over a cell.
 LEAF = 24
 _SLACK = 1e-6
@@ -96,15 +96,19 @@ def _sums(kind: str):
 
 
 def _spread(reps: DataFrame, kind: str) -> DataFrame:
-    """(grp, size, mean, deviation) of the rotated coordinates of each group: a few numbers a group and batch, summed."""
-    sums = reps.select("grp", "dims", "vec").mapInArrow(_sums(kind), "grp long, n long, total array<double>, square array<double>")
+    """(grp, size, mean, deviation): the vectors of each group, and of those that are to be split the means and standard
+    deviations of their rotated coordinates, which are summed from a few numbers a group and batch."""
+    sizes = stored(reps.groupBy("grp").agg(F.count("*").alias("size")), "group-sizes")
+    large = reps.join(sizes.filter(F.col("size") > CELL).select("grp"), "grp", "left_semi")
+    sums = large.select("grp", "dims", "vec").mapInArrow(_sums(kind), "grp long, n long, total array<double>, square array<double>")
     long = sums.select("grp", "n", F.posexplode(F.arrays_zip("total", "square")).alias("k", "x")).groupBy("grp", "k").agg(
         F.sum("n").alias("n"), F.sum("x.total").alias("total"), F.sum("x.square").alias("square")
     )
     mean = F.col("total") / F.col("n")
     deviation = F.sqrt(F.greatest(F.col("square") / F.col("n") - mean * mean, F.lit(0.0)))
-    rows = long.groupBy("grp").agg(F.max("n").alias("size"), F.array_sort(F.collect_list(F.struct("k", mean.alias("mean"), deviation.alias("dev")))).alias("x"))
-    return stored(rows.select("grp", "size", F.col("x.mean").alias("mean"), F.col("x.dev").alias("deviation")), "spread")
+    rows = long.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", mean.alias("mean"), deviation.alias("dev")))).alias("x"))
+    rows = sizes.join(rows, "grp", "left").select("grp", "size", F.col("x.mean").alias("mean"), F.col("x.dev").alias("deviation"))
+    return stored(rows, "spread")
 
 
 #: Where a normal distribution has half, and the quarters, eighths and sixteenths of its mass.
@@ -155,7 +159,7 @@ def _cells(kind: str, limit: float):
                     size, mean, deviation = (t.column(c)[int(of[0])].as_py() for c in ("size", "mean", "deviation"))
                     for k, ((a, b), budget) in enumerate(zip(cuts(d), budgets(d, limit))):
                         bits = [0] * (b - a) if g is None else _bits(size, b - a, CELL)
-                        borders = [np.unique(mean[a + c] + deviation[a + c] * np.array(_BORDERS.get(n, ()))) for c, n in enumerate(bits)]
+                        borders = [np.unique(mean[a + c] + deviation[a + c] * np.array(_BORDERS[n])) if n else np.zeros(0) for c, n in enumerate(bits)]
                         row, cell, home = _dealt(r[of, a:b], borders, budget)
                         cell = mix(cell ^ mix(group[of][row].view(np.uint64) + np.uint64(k + 1)))
                         at = pa.array([x.tobytes() for x in r[of, a:b].astype("<f4")], pa.binary()).take(pa.array(row))
