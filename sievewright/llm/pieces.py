@@ -250,9 +250,9 @@ class Unigram:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces with markers as spaces, byte pieces as bytes, without the leading space."""
-        if any(i is not None and not 0 <= i < len(self.raw) for i in ids):
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.raw):
             raise ValueError(f"ids are from 0 to {len(self.raw) - 1}")
-        raw = b"".join([self.raw[i] for i in ids if i is not None])
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -299,7 +299,7 @@ def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni = _model(model)
         for b in batches:
-            texts = [uni.decode(x) if x else "" for x in b.column(1).to_pylist()]
+            texts = [uni.decode(np.array([i for i in x or () if i is not None], np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
