@@ -353,6 +353,16 @@ def test_whole_files_of_many_licences(spark):
         assert got[f"{k}/src/deep/x1.c"] == (want, "inherited"), k
 
 
+def test_wrapped_headers(spark):
+    """Notices wrapped in comments, above code, that differ in a word or a number."""
+    by = {"GPL-3.0": ("program", ":", "", ",", "3"), "GPL-2.0": ("program", ";", "", ";", "2"), "LGPL-2.1": ("library", ";", "Lesser ", ";", "2.1"), "LGPL-3.0": ("library", ":", "Lesser ", ",", "3"), "AGPL-3.0": ("program", ":", "Affero ", ",", "3")}
+    notice = "/*\n * This {} is free software{} you can redistribute it and/or\n * modify it under the terms of the GNU {}General Public License as\n * published by the Free Software Foundation{} either version {} of the\n * License, or (at your option) any later version.\n */\n\nint main(void) {{ return 0; }}\n"
+    apache = '# Copyright 2020 Jane Roe\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#     http://www.apache.org/licenses/LICENSE-2.0\nimport os\n'
+    rows = [(k, notice.format(*v)) for k, v in by.items()] + [("Apache-2.0", apache), ("none", "int main(void) { return 0; }\n// see the manual for the terms of use of this software and its copies\n")]
+    got = {r.path: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {k: k for k in [*by, "Apache-2.0"]} | {"none": None}
+
+
 def test_root_licence(spark):
     apache = "Licensed under the Apache License, Version 2.0"
     rows = [("LICENSE", MIT_TEXT), ("setup.cfg", "x"), ("src/x.c", "int;"), ("src/a/b/y.c", None), ("lib/LICENSE", apache), ("lib/z/z.c", "int;"), (None, "text")]
