@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored, unused
-from .shared import Labels, components, in_units, mix, partitions_of, shingle_sets, text_chunks, whole_groups
+from .shared import Labels, components, in_units, mix, partitions_of, shingle_sets, text_chunks, tidy, whole_groups
 
 #: Each of two collections has SIDE tuples of ROWS minhashes; the SIDE * SIDE tables take a tuple of each as their
 #: key. A pair of similarity 0.85 shares a table but for 2 * (1 - 0.85**ROWS)**SIDE = 2e-5.
@@ -55,6 +55,7 @@ def _sign(width: int):
                     low.append(minhashes(s).tobytes() if len(s) else None)
             cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(low, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "node", "low"])
+        tidy()
 
     return run
 
@@ -140,6 +141,7 @@ def _candidates(limit: int):
             found = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
             none = len(found)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
+        tidy()
 
     return run
 
@@ -224,6 +226,7 @@ def _confirm(width: int, per_cent: int):
             left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
             c, m = linked(sets, *sorted((left, right), key=len), per_cent, known)
             yield pa.RecordBatch.from_arrays([pa.array(ids[c]), pa.array(ids[m])], ["a", "b"])
+        tidy()
 
     return run
 

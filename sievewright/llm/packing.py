@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .shared import lower_ascii, span_hash, text_chunks, word_spans
+from .shared import lower_ascii, span_hash, text_chunks, tidy, word_spans
 
 #: Distinct words whose ids a worker keeps; it starts anew beyond.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Rows of the counts by part and length up to which they are broadcast (two numbers each, some 50 MB at most); beyond,
 #: pieces and counts are merged.
 LOOKUP_ROWS = 1_000_000
@@ -70,17 +70,17 @@ class WordIds:
         return out
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def add(self, keys: np.ndarray, words: list[str]) -> None:
         got = self.encode(words)
-        size = np.array([len(x) for x in got], np.int64)
+        size = np.array([len(x) for x in got], np.int32)
         ids = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        at = self.used + np.append(0, np.cumsum(size)[:-1])
+        at = (self.used + np.append(0, np.cumsum(size)[:-1])).astype(np.int32)
         self.used += len(ids)
         self.keys, self.at, self.size = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.size, size)))
         order = np.argsort(self.keys, kind="stable")
@@ -120,7 +120,7 @@ class WordIds:
             self.add(keys[some], [data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in index[some]])
         at = np.searchsorted(self.keys, keys)[which]
         size = self.size[at]
-        ptr = np.append(0, np.cumsum(size))
+        ptr = np.append(0, np.cumsum(size, dtype=np.int64))
         return self.flat[np.repeat(self.at[at] - ptr[:-1], size) + np.arange(ptr[-1])], ptr[first]
 
 
@@ -139,7 +139,7 @@ def _pieces(path: str, end_id: int, window: int, with_ids: bool):
         words = _words(path)
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(1), 4 << 20):
+            for lo, hi, data, offs in text_chunks(batch.column(1)):
                 flat, ptr = words.texts(data, offs)
                 # All ids of the run with end_id behind each text, and the borders of the pieces among them.
                 total = np.diff(ptr) + 1
@@ -163,6 +163,7 @@ def _pieces(path: str, end_id: int, window: int, with_ids: bool):
                     body = pa.array([zlib.crc32(ids[x : x + k]) for x, k in zip(at.tolist(), length.tolist())], pa.int64())
                 cols = [batch.column(0).take(pa.array(lo + doc)), pa.array(start), pa.array(length), body, pa.array(total[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids" if with_ids else "ids_crc32", "doc_tokens", "part", "nth"])
+        tidy()
 
     return run
 

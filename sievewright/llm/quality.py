@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import span_hash, text_chunks, window_hash, word_spans
+from .shared import span_hash, text_chunks, tidy, window_hash, word_spans
 
 #: Limits by size, see Bands.
 DEFAULT = ((0, 0.0, 1.7), (200, 1.1, 1.75), (300, 1.25, 2.0), (500, 1.35, 2.15), (1000, 1.6, 2.25), (2000, 1.8, 2.4), (4096, 1.95, 2.5), (8192, 2.05, 2.6), (20_000, 2.15, 2.65))
@@ -155,6 +155,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             m = measure(b.column(1), bands)
             names = [*_STATS, "ratio", "bad_share", "base_failed", "kept"]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m[k]) for k in names)], ["doc_id", *names])
+        tidy()
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in _STATS) + ", ratio double, bad_share double, base_failed boolean, kept boolean"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -168,5 +169,6 @@ def keep_quality(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(measure(b.column(at), bands)["kept"]))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
