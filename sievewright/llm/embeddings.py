@@ -21,7 +21,8 @@ CELL = 16_384
 #: Vectors of one part of a cell that holds many more, as its vectors lie too close to be split; and of those that have
 #: a neighbour, whose whole vectors are compared.
 PART, PART_NEAR = 16_384, 512
-#: Vectors of a leaf of the tree that a task builds over a cell.
+#: Vectors of a leaf of the tree that a task builds over a cell: fewer in blocks of more than 8 dimensions, where a box
+#: of many points reaches far.
 LEAF = 24
 _SLACK = 1e-6
 
@@ -176,7 +177,7 @@ def near_in_block(x: np.ndarray, y: np.ndarray, budget: float, leaf: int = LEAF)
     Each node of the tree has the box of its points and is split at the median of its widest side; only those x go on
     whose distance to the box is within the budget. What reaches a leaf is compared point by point.
     """
-    leaf, todo = max(leaf, x.shape[1] // 2), [(np.arange(len(x)), np.arange(len(y)))]
+    leaf, todo = min(leaf, max(8, 8 * leaf // x.shape[1])), [(np.arange(len(x)), np.arange(len(y)))]
     while todo:
         i, j = todo.pop()
         low, high = y[j].min(axis=0), y[j].max(axis=0)
