@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import stored, unused
+from .scan import numbered
 
-def _numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with `name`, the number of each row from 0 in key order, nulls first.
 
-    Rows are dealt to key ranges, one for each shuffle partition, and numbered within theirs; a range then begins where
-    those before it end. The dealt rows are written first: a range partitioner samples anew, and perhaps differently,
-    each time it runs, and the counts and the numbers must come from the same ranges. Rows with an equal key, or none,
-    may fill several ranges, told apart by their content; their order among each other is open.
-    """
-    part, n, before = unused(df, "_part", "_n", "_before")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _in_order(df: DataFrame, key: str) -> list[Column]:
+    """By the key, nulls first; rows of an equal key by their content, so that they can fill several ranges."""
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    content = F.xxhash64(*(F.col(f"`{c}`") for c in plain or [key]))
-    dealt = df.repartitionByRange(parts, F.col(key).asc_nulls_first(), content).withColumn(part, F.spark_partition_id())
-    dealt = stored(dealt, "ranges")
-    # One row for each range; their running sum is the only window without a key.
-    counts = dealt.groupBy(part).agg(F.count("*").alias(n))
-    starts = counts.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(before))
-    own = F.row_number().over(Window.partitionBy(part).orderBy(F.col(key).asc_nulls_first())) - 1
-    return dealt.withColumn(name, own.cast("long")).join(starts, part).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
+    return [F.col(f"`{key}`").asc_nulls_first(), F.xxhash64(*(F.col(f"`{c}`") for c in plain or [key]))]
 
 
 def with_row_id(df: DataFrame, key: str, first: int = 0, name: str = "id") -> DataFrame:
     """Number rows by a key from `first` on, nulls first, keeping ids that are there. All other columns stay."""
     (place,) = unused(df, "_place")
-    out = _numbered(df, key, place)
+    out = numbered(df, place, _in_order(df, key))
     at = F.col(place) + F.lit(first)
     return out.withColumn(name, F.coalesce(F.col(name), at) if name in df.columns else at).drop(place)
 
@@ -125,7 +112,8 @@ def row_slice(df: DataFrame, key: str, start: int, end: int | None = None) -> Da
     numbered with all their columns. So a slice far in costs no task more than its own range.
     """
     (place,) = unused(df, "_place")
-    keys, at = _numbered(df.select(key), key, place), F.col(place)
+    only = df.select(key)
+    keys, at = stored(numbered(only, place, _in_order(only, key)), "places"), F.col(place)
     wanted = [start] if end is None else [start, max(start, end - 1)]
     borders = {r[place]: r[key] for r in keys.filter(at.isin(wanted)).collect()}
     if start not in borders or (end is not None and end <= start):
@@ -137,16 +125,15 @@ def row_slice(df: DataFrame, key: str, start: int, end: int | None = None) -> Da
         inside = inside & (first.isNull() if high is None else (first.isNull() | (first <= high)))
     before = keys.filter(first.eqNullSafe(F.lit(low))).agg(F.min(place)).first()[0]
     at = at + before
-    return _numbered(df.filter(inside), key, place).filter((at >= start) if end is None else (at >= start) & (at < end)).drop(place)
+    return numbered(df.filter(inside), place, _in_order(df, key)).filter((at >= start) if end is None else (at >= start) & (at < end)).orderBy(place).drop(place)
 
 
 def worker_chunks(df: DataFrame, key: str, workers: int) -> DataFrame:
     """Contiguous chunks of ceil(n / workers) rows in key order, as worker_id from 0."""
     place, total = unused(df, "_place", "_total")
-    numbered = _numbered(df, key, place)
-    n = df.agg(F.count("*").alias(total))
+    rows = numbered(df, place, _in_order(df, key), total=total)
     size = F.greatest(F.ceil(F.col(total) / workers), F.lit(1))
-    return numbered.crossJoin(F.broadcast(n)).withColumn("worker_id", F.floor(F.col(place) / size).cast("int")).drop(place, total)
+    return rows.withColumn("worker_id", F.floor(F.col(place) / size).cast("int")).drop(place, total)
 
 
 def concat_splits(**splits: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import unused
+from .scan import running
 
 
 def drop_gaps(df: DataFrame, value: str) -> DataFrame:
@@ -16,16 +17,15 @@ def drop_gaps(df: DataFrame, value: str) -> DataFrame:
 def rolling_mean(df: DataFrame, run: str, step: str, value: str, parts: int = 10) -> DataFrame:
     """Trailing mean over max(1, rows of the run // parts) rows of the run in step order; NaN and null are passed over.
 
-    The width differs between runs, so running sums are taken and the sum before the window is looked up by row
-    number: two windows over one sort and a join, whatever the width. A null run is a run like another.
+    The width differs between runs, so running sums are taken in two levels (a run of any length fills many tasks), and
+    the sum before the window is looked up by row number, a join that a single run spreads as well as many. A null run
+    is a run like another; rows of an equal step are in an open order.
     """
     rn, n, w, total, count, at, total0, count0, run0 = unused(df, "_rn", "_n", "_w", "_s", "_c", "_at", "_s0", "_c0", "_run")
     clean = F.when(~F.isnan(value), F.col(value))
-    order = Window.partitionBy(run).orderBy(step)
-    rows = df.select("*", F.row_number().over(order).alias(rn), F.count("*").over(Window.partitionBy(run)).alias(n))
+    sums = {total: clean.cast("decimal(30,8)"), count: F.when(clean.isNotNull(), 1).otherwise(0)}
+    rows = running(df, sums, [F.col(step).asc_nulls_first()], by=[run], number=rn, total=n)
     rows = rows.withColumn(w, F.greatest(F.lit(1), F.floor(F.col(n) / parts)))
-    frame = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn(total, F.sum(clean.cast("decimal(30,8)")).over(frame)).withColumn(count, F.count(clean).over(frame))
     past = rows.select(F.col(run).alias(run0), F.col(rn).alias(at), F.col(total).alias(total0), F.col(count).alias(count0))
     out = rows.join(past, F.col(run).eqNullSafe(F.col(run0)) & (F.col(rn) - F.col(w) == F.col(at)), "left")
     own = F.coalesce(total, F.lit(0)) - F.coalesce(total0, F.lit(0))
@@ -54,10 +54,14 @@ def latest_runs(runs: DataFrame, n: int = 3) -> DataFrame:
 
 
 def progress(df: DataFrame, run: str, step: str, correct: str) -> DataFrame:
-    """Accuracy so far in percent, in step order."""
-    frame = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.sum(F.col(correct).cast("long")).over(frame)
-    return df.withColumn("accuracy_so_far", 100.0 * hit.cast("double") / F.count("*").over(frame).cast("double"))
+    """Accuracy so far in percent, in step order; null until a row of the run is judged.
+
+    Running sums in two levels, so one run of all rows fills as many tasks as many runs.
+    """
+    hit, rn = unused(df, "_hit", "_rn")
+    rows = running(df, {hit: F.col(correct).cast("long")}, [F.col(step).asc_nulls_first()], by=[run], number=rn)
+    so_far = 100.0 * F.col(hit).cast("double") / (F.col(rn) + 1).cast("double")
+    return rows.withColumn("accuracy_so_far", so_far).drop(hit, rn)
 
 
 def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:

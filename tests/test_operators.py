@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.operators import backends, metrics, prep, series
+from sievewright.operators import backends, metrics, prep, scan, series
 from sievewright.streaming import resume
 
 
@@ -220,3 +220,24 @@ def test_count_tokens(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     want = {r.conv_id * 1000 + r.turn: len(tok.encode(r.text).ids) for r in turns}
     assert dict(map(tuple, registry.QUERIES["token_count_model"](spark, sf_dir).collect())) == want
+
+
+def test_numbers_and_running_sums_in_ranges(spark):
+    n = 5000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.when(F.col("id") % 10 == 0, None).otherwise(F.lit("a")).alias("g"), F.lit("x").alias("_part"))
+    got = scan.numbered(df, "at", [F.col("k")], by=["g"], total="of").collect()
+    for g in (None, "a"):
+        some = sorted((r for r in got if r.g == g), key=lambda r: r.k)
+        assert [r["at"] for r in some] == list(range(len(some))) and {r.of for r in some} == {len(some)} and {r._part for r in some} == {"x"}
+    sums = scan.running(df, {"s": F.col("k"), "none": F.when(F.col("k") < 0, 1)}, [F.col("k")], number="at")
+    assert all(r.s == r.k * (r.k + 1) // 2 and r["at"] == r.k and r.none is None for r in sums.collect())
+    assert scan.numbered(df.limit(0), "at", [F.col("k")]).count() == 0 and scan.running(df.limit(0), {"s": F.col("k")}, [F.col("k")], by=["g"]).count() == 0
+
+
+def test_one_run_of_all_rows_fills_many_tasks(spark):
+    df = spark.range(4000).select(F.lit("r").alias("run"), F.col("id").alias("step"), F.lit(1.5).alias("loss"), (F.col("id") % 2 == 0).alias("ok"))
+    assert {r.rolling for r in series.rolling_mean(df, "run", "step", "loss").collect()} == {1.5}
+    far = {r.step: r.accuracy_so_far for r in series.progress(df, "run", "step", "ok").collect()}
+    assert far[0] == 100.0 and far[1] == 50.0 and far[3999] == 50.0
+    spread = scan.ordered(df, [F.col("run"), F.col("step")])[0]
+    assert spread.groupBy("_part").count().count() == 4
