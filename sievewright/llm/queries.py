@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, licenses, minhash, packing, pieces, quality, secrets, sql, urls, warc
+from . import chat, embeddings, licenses, merkle, minhash, packing, pieces, quality, secrets, sql, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = (op1_packing, op2_minhash, op3_warc, op4_embeddings, op5_quality, op6_secrets, op7_urls, op8_licenses, op9_sentencepiece, op10_chat)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth row or so is tampered with: the letters A-Z of its text are lower-cased, for its check alone."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = merkle.leaf_hash(*(lowered if c == "text" else F.col(c) for c in columns))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(docs, columns, carry={"changed": F.when(tampered, changed)})
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root")
+    rows = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded)
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_ALL = (op1_packing, op2_minhash, op3_warc, op4_embeddings, op5_quality, op6_secrets, op7_urls, op8_licenses, op9_sentencepiece, op10_chat, op11_merkle)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = sql.SQL

@@ -66,4 +66,37 @@ OP10 = r"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce
  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
  cast(sum(9 + role_size + 1 + text_size + 4) as bigint) as formatted_chars from z group by conv_id"""
 
-SQL = {"op2_minhash": OP2, "op3_warc": OP3, "op4_embeddings": OP4, "op7_urls": OP7, "op8_licenses": OP8, "op10_chat": OP10}
+def _merkle(levels: int) -> str:
+    """SQL of op11: `levels` levels of 16, a node that is alone staying as it is. Each row folds up by its own path."""
+    field = lambda x: f"case when {x} is null then '-' else octet_length(encode(cast({x} as varchar))) || ':' || {x} end"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bits = "flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: list_transform(range(0, 8), lambda k: (ascii(c) >> k) & 1)))"
+    crc = f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [
+        f"d as (select doc_id, source, {leaf('text')} as leaf, {leaf(lower)} as other, {crc} % 5 = 0 as tampered, row_number() over () as r from documents)",
+        "p0 as (select r, source as g, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n, leaf as h, case when tampered then other else leaf end as f, '' as proof from d)",
+    ]
+    name = "p0"
+    for tree in ("s", "t"):
+        for k in range(levels):
+            new, children = f"{tree}{k}", f"{tree}{k}c"
+            out.append(f"{children} as (select g, i // 16 as j, list(h order by i) as hs from (select distinct g, i, h from {name} where n > 1) group by all)")
+            out.append(
+                f"{new} as (select r, {name}.g, coalesce(j, 0) as i, (n + 15) // 16 as n, case when n > 1 then sha256(array_to_string(hs, '')) else h end as h, "
+                "case when n > 1 then sha256(array_to_string(hs[:i % 16], '') || f || array_to_string(hs[i % 16 + 2:], '')) else f end as f, "
+                f"case when n > 1 then proof || array_to_string(hs[:i % 16], '') || array_to_string(hs[i % 16 + 2:], '') else proof end as proof from {name} left join {children} on {name}.g is not distinct from {children}.g and j = i // 16 and n > 1)"
+            )
+            name = new
+        if tree == "s":
+            out.append(f"subroots as (select g, any_value(h) as h from {name} group by g)")
+            out.append("places as (select g, row_number() over (order by g nulls first) - 1 as i, count(*) over () as n from subroots)")
+            out.append(f"tops as (select r, '' as g, places.i, places.n, h, f, proof, h as subroot from {name} join places on {name}.g is not distinct from places.g)")
+            name = "tops"
+    out.append(f"folded as (select d.doc_id, leaf, tops.subroot, {name}.h as root, sha256({name}.proof) as proof_sha256, {name}.f as folded_root from {name} join d using (r) join tops using (r))")
+    return "with " + ",\n ".join(out) + "\n select *, folded_root = root as verified from folded"
+
+
+OP11 = _merkle(5)
+
+SQL = {"op2_minhash": OP2, "op3_warc": OP3, "op4_embeddings": OP4, "op7_urls": OP7, "op8_licenses": OP8, "op10_chat": OP10, "op11_merkle": OP11}
