@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, licenses, merkle, minhash, packing, pieces, quality, secrets, sql, urls, warc
+from . import alignment, chat, embeddings, licenses, merkle, minhash, mixing, packing, pieces, quality, secrets, sql, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-_ALL = (op1_packing, op2_minhash, op3_warc, op4_embeddings, op5_quality, op6_secrets, op7_urls, op8_licenses, op9_sentencepiece, op10_chat, op11_merkle)
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), with_groups=False)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+_ALL = (op1_packing, op2_minhash, op3_warc, op4_embeddings, op5_quality, op6_secrets, op7_urls, op8_licenses, op9_sentencepiece, op10_chat, op11_merkle, op12_alignment, op13_mixing)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = sql.SQL
