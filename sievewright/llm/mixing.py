@@ -84,7 +84,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     rows = stored(rows, "sizes")
     plan = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **options).withColumnRenamed("source", "of"), "targets")
     rows = rows.join(plan.select("of", "source_size", "target", "copies"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    along = [F.col("half"), F.when(F.col("half"), F.col("size")).otherwise(-F.col("size")), F.col("id").asc_nulls_first(), F.col("mark"), F.col("salt")]
+    along = [F.col("half"), F.when(F.col("half"), -F.col("size")).otherwise(F.col("size")), F.col("id").asc_nulls_first(), F.col("mark"), F.col("salt")]
     rows = running(rows, {"until": F.col("copies")}, along, by=["source"])
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("")))), 1, 8), 16, 10)
     offset = (drawn.cast("decimal(10,0)") / F.lit(2**32).cast("decimal(10,0)")).cast(EXACT)

@@ -109,7 +109,7 @@ OP13 = r"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesc
  t as (select o.source, o.source_size, case when f.heavy is null or f.rest * o.w >= o.bound * f.heavy then cast(o.bound as double) else cast(f.rest * o.w as double) / cast(f.heavy as double) end as target from o left join f on true),
  e as (select *, cast(case when source_size = 0 then 0.0 else least(target / source_size, 3.0) end as decimal(17, 15)) as copies, cast(cast(('0x' || substr(md5('1:' || coalesce('+' || source, '')), 1, 8)) as bigint) / 4294967296 as decimal(17, 15)) as u from t),
  h as (select d.*, e.source_size, e.target, e.copies, e.u, md5('1:' || coalesce(cast(doc_id as varchar), '-') || ':' || mark) < '8' as half from d join e on d.source is not distinct from e.source),
- s as (select *, sum(copies) over (partition by source order by half, case when half then size else -size end, doc_id nulls first, mark rows between unbounded preceding and current row) + u as upto from h)
+ s as (select *, sum(copies) over (partition by source order by half, case when half then -size else size end, doc_id nulls first, mark rows between unbounded preceding and current row) + u as upto from h)
  select doc_id, size, source_size, target, cast(size * (floor(upto) - floor(upto - copies)) as bigint) as taken from s"""
 
 SQL = {"op2_minhash": OP2, "op3_warc": OP3, "op4_embeddings": OP4, "op7_urls": OP7, "op8_licenses": OP8, "op10_chat": OP10, "op11_merkle": OP11, "op13_mixing": OP13}
