@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import extract, templates, text, validate
 from ..operators import metrics, prep, series
@@ -706,6 +707,7 @@ def score_rounds(spark, sf_dir):
 @_query("select conv_id, cast(turn as bigint) as turn, role from conversations")
 def stream_resume(spark, sf_dir):
     """All turns through the resumable stream, run twice: the second run finds nothing new."""
+    from ..sources.log import AppendLog
     from ..streaming import resume
 
     folder, source = resume.work_folder(spark, "stream"), f"{sf_dir}/conversations.parquet"
@@ -713,4 +715,5 @@ def stream_resume(spark, sf_dir):
     step = lambda df: df.select("conv_id", "turn", "role")
     for _ in range(2):
         resume.process_new_files(spark, source + "*", schema, step, f"{folder}/out", f"{folder}/mark", file_format="parquet")
-    return spark.read.schema("conv_id long, turn long, role string").json(f"{folder}/out").select("conv_id", "turn", "role")
+    kept = T.StructType().add("conv_id", "long").add("turn", "long").add("role", "string")
+    return AppendLog(spark, f"{folder}/out", kept).read()

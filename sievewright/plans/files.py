@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from ..functions import templates, text
 from ..operators import metrics, prep
 from ..sources import readers, schemas, writers
-from ..storage import fresh_path
+from ..sources import lines as source_lines
+from ..sources.log import AppendLog
+from ..storage import fresh_path, put
 from ..streaming import resume
 from .catalog import _LENGTHS, _OUTPUTS, _PRED, _pct, _ratio, lengths, outputs, predictions
 from .registry import query, table
@@ -20,21 +22,18 @@ from .registry import query, table
 
 def _put(spark: SparkSession, path: str, body: str) -> None:
     """A small file of a given name, which Spark's writers can't choose."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(body.encode()))
-    out.close()
+    put(spark, path, body)
 
 
 _TURN = T.StructType().add("conv_id", "long").add("turn", "long").add("role", "string").add("text", "string")
 _TURNS = "select conv_id, turn, role, text from conversations"
 
 
-@query(f"{_TURNS} where text <> ''")
+@query(_TURNS)
 def csv_scan(spark, sf_dir):
-    """All turns with their line ends and quotes through a CSV file."""
+    """All turns with their line ends and quotes through a CSV file; an empty text is quoted, a null one is not there."""
     path = fresh_path(spark, "csv")
-    table(spark, sf_dir, "conversations").filter("text <> ''").select("conv_id", "turn", "role", "text").write.csv(path, header=True, escape='"', quoteAll=True)
+    table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").write.csv(path, header=True, escape='"')
     return readers.read_csv(spark, path, _TURN)
 
 
@@ -66,10 +65,67 @@ def jsonl_tolerant(spark, sf_dir):
     return readers.read_jsonl(spark, path, _TURN).unionByName(bad)
 
 
-@query("select 'good' as file, cast(count(*) as bigint) as n from conversations union all select 'bad', 0")
+@query(
+    """select 'good' as side, conv_id, turn, role, text, cast(null as varchar) as error, cast(count(*) over () as bigint) as n from conversations
+ union all select 'dead', null, null, null, v, 'malformed', cast(count(*) over () as bigint) from (select unnest(['{oops', '[1]']) as v from conversations where turn = 0) b"""
+)
+def routed_lines(spark, sf_dir):
+    """Good lines and dead letters of one pass, with the counts that were observed as it ran."""
+    path, out = fresh_path(spark, "jsonl"), fresh_path(spark, "routed")
+    rows = table(spark, sf_dir, "conversations").select("turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("j"))
+    forms = F.when(F.col("turn") == 0, F.array("j", F.lit("{oops"), F.lit(""), F.lit("[1]"))).otherwise(F.array("j"))
+    rows.select(F.explode(forms).alias("value")).write.text(path)
+    n = source_lines.route_lines(spark, path, _TURN, out)
+    letter = T.StructType().add("file", "string").add("line", "long").add("value", "string").add("error", "string")
+    good, dead = source_lines.read_routed(spark, out, _TURN, letter)
+    dead = dead.select(F.lit("dead").alias("side"), F.col("value").alias("text"), "error", F.lit(n["dead"]).cast("long").alias("n"))
+    return good.select(F.lit("good").alias("side"), "*", F.lit(n["good"]).cast("long").alias("n")).unionByName(dead, allowMissingColumns=True)
+
+
+#: Files by the rest of the conversation's number; lines in the order of conversation and turn, those of turn 0 also as a
+#: blank and a malformed line, and every third without an id.
+_FILES, _BAD_FILE = 4, 2
+
+
+def _numbered_files(spark: SparkSession, sf_dir: str) -> str:
+    path = fresh_path(spark, "numbered")
+    rows = table(spark, sf_dir, "conversations").withColumn("f", F.pmod("conv_id", F.lit(_FILES)))
+    with_id, without = F.to_json(F.struct(F.col("conv_id").alias("id"), "turn", "role")), F.to_json(F.struct("turn", "role"))
+    j = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, without).otherwise(with_id)
+    forms = F.when(F.col("turn") == 0, F.array(F.lit(""), F.lit("{oops"), j)).otherwise(F.array(j))
+    rows = rows.select("f", "conv_id", "turn", F.posexplode(forms).alias("k", "value")).repartition(_FILES, "f").sortWithinPartitions("f", "conv_id", "turn", "role", "k")
+    rows.select("f", "value").write.partitionBy("f").text(path)
+    return path
+
+
+_NUMBERED = f"""select conv_id, turn, role, f, k, row_number() over (partition by f order by conv_id, turn, role, k) as line from
+ (select conv_id, turn, role, (conv_id % {_FILES} + {_FILES}) % {_FILES} as f, unnest(case when turn = 0 then [0, 1, 2] else [2] end) as k from conversations) x"""
+
+
+@query(f"select case when (conv_id + turn) % 3 = 0 then line else conv_id end as id, turn, role from ({_NUMBERED}) n where k = 2")
+def line_ids(spark, sf_dir):
+    """Records that lack an id get the number of their line; blank and malformed lines count."""
+    schema = T.StructType().add("id", "long").add("turn", "long").add("role", "string")
+    return source_lines.read_numbered(spark, _numbered_files(spark, sf_dir), schema)
+
+
+@query(f"select f as file, line, k = 1 as malformed from ({_NUMBERED}) n where k <> 0")
+def line_numbers(spark, sf_dir):
+    """Each line that isn't blank by its file and number, and whether it is malformed."""
+    rows = source_lines.parsed_lines(spark, _numbered_files(spark, sf_dir), T.StructType().add("turn", "long")).filter("trim(value) <> ''")
+    return rows.select(F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("long").alias("file"), "line", F.col("record").isNull().alias("malformed"))
+
+
+@query(f"{_TURNS} where (conv_id % {_FILES} + {_FILES}) % {_FILES} <> {_BAD_FILE}")
 def jsonl_or_nothing(spark, sf_dir):
-    count = lambda name, bad: readers.read_jsonl_or_nothing(spark, _lines(spark, sf_dir, bad), _TURN).agg(F.count("*").alias("n")).select(F.lit(name).alias("file"), "n")
-    return count("good", False).unionByName(count("bad", True))
+    """A folder of files, one of them with a malformed line in its midst: all rows of the others, none of its own."""
+    path = fresh_path(spark, "whole")
+    rows = table(spark, sf_dir, "conversations").withColumn("f", F.pmod("conv_id", F.lit(_FILES)))
+    j = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    broken = (F.col("f") == _BAD_FILE) & (F.col("turn") == 0)
+    rows = rows.select("f", F.explode(F.when(broken, F.array(j, F.lit("{oops"))).otherwise(F.array(j))).alias("value")).repartition(_FILES, "f")
+    rows.write.partitionBy("f").text(path)
+    return readers.read_jsonl_or_nothing(spark, path, _TURN)
 
 
 @query("select conv_id, cast(null as bigint) as role, text from conversations")
@@ -167,29 +223,60 @@ def splits_scan(spark, sf_dir):
 
 @query(f"select id, pred from ({_PRED}) p")
 def append_and_dedup(spark, sf_dir):
-    """Records appended twice, the second time with other predictions: the first of each id counts."""
+    """Records appended twice, each batch with every id three times in a row: the first of each id counts."""
     path = fresh_path(spark, "append")
     rows = predictions(spark, sf_dir).select("id", "pred")
-    writers.append_json(rows, path)
-    writers.append_json(rows.withColumn("pred", F.col("pred") + 7), path)
+    again = lambda k: rows.select("id", F.explode(F.array(*(F.col("pred") + k + i for i in range(3)))).alias("pred"))
+    writers.append_json(again(0), path)
+    writers.append_json(again(7), path)
     return resume.read_appended(spark, path, T.StructType().add("id", "long").add("pred", "long"))
 
 
+_ENTRY = T.StructType().add("conv_id", "long").add("turn", "long").add("text", "string").add("version", "long")
+
+
+def _turn_log(spark: SparkSession, sf_dir: str) -> AppendLog:
+    """All turns appended in three batches, the second of which comes twice and holds turns of the first again."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    log = AppendLog(spark, fresh_path(spark, "log"), _ENTRY)
+    # The last batch is written first, and stays unseen: its commit never comes.
+    rows.withColumn("version", F.lit(9).cast("long")).write.json(f"{log.path}/batch={'0' * 32}")
+    for version, some in ((1, "conv_id % 2 = 0"), (2, "conv_id % 3 = 0"), (2, "conv_id % 3 = 0"), (3, "true")):
+        log.append(rows.filter(some).withColumn("version", F.lit(version).cast("long")), f"batch {version}")
+    return log
+
+
+@query("select conv_id, turn, text, cast(unnest(case when conv_id % 2 = 0 and conv_id % 3 = 0 then [1, 2, 3] when conv_id % 2 = 0 then [1, 3] when conv_id % 3 = 0 then [2, 3] else [3] end) as bigint) as seq from conversations")
+def append_log(spark, sf_dir):
+    """All records of a log with the numbers of their commits."""
+    return _turn_log(spark, sf_dir).read_in_order().select("conv_id", "turn", "text", "seq")
+
+
+@query("select conv_id, cast(count(*) as bigint) as turns, cast(case when conv_id % 2 = 0 then 1 when conv_id % 3 = 0 then 2 else 3 end as bigint) as version from conversations group by conv_id")
+def append_log_first(spark, sf_dir):
+    """Of the records of each turn the first in the order of commits, by conversation."""
+    log = _turn_log(spark, sf_dir)
+    keyed = AppendLog(spark, log.path, _ENTRY).read_in_order().withColumn("key", F.struct("conv_id", "turn", "text"))
+    first = prep.keep_first(keyed.withColumn("at", F.struct("seq", "file", "line")), "key", "at")
+    return first.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("version").alias("version"))
+
+
 _FAILED = f"select id, cast(id as varchar) as premise, true_label, case when id % 4 = 1 then concat('no, \"valid\" reply', chr(10), id) end as error_info from ({_PRED}) p"
 
 
 @query(f"select 'good' as side, id, premise, true_label, cast(null as varchar) as hypothesis, cast(null as varchar) as error_info from ({_FAILED}) f where error_info is null union all select 'dead', id, premise, true_label, 'N/A', error_info from ({_FAILED}) f where error_info is not null")
 def dead_letters(spark, sf_dir):
-    """Rows with an error go to a CSV of fixed fields, the others to JSON lines."""
-    good, dead = fresh_path(spark, "good"), fresh_path(spark, "dead")
+    """Rows with an error go to a CSV of fixed fields, the others to JSON lines, in one write; what was there is gone."""
+    path = fresh_path(spark, "letters")
     rows = predictions(spark, sf_dir).select("id", F.col("id").cast("string").alias("premise"), "true_label", F.when(F.col("id") % 4 == 1, F.concat(F.lit('no, "valid" reply\n'), "id")).alias("error_info"))
-    for _ in range(2):  # both are overwritten
-        writers.write_split_failures(rows, good, dead, fields=("id", "premise", "hypothesis", "true_label"))
-    left = readers.read_json(spark, good, T.StructType().add("id", "long").add("premise", "string").add("true_label", "long"))
+    fields = ("id", "premise", "hypothesis", "true_label")
+    for some in (rows.limit(1), rows):
+        source_lines.write_routed(some, path, fields=fields)
+    good = T.StructType().add("id", "long").add("premise", "string").add("true_label", "long")
+    dead = T.StructType().add("id", "long").add("premise", "string").add("hypothesis", "string").add("true_label", "long").add("error_info", "string")
+    left, right = source_lines.read_routed(spark, path, good, dead)
     left = left.select(F.lit("good").alias("side"), "*", F.lit(None).cast("string").alias("hypothesis"), F.lit(None).cast("string").alias("error_info"))
-    schema = T.StructType().add("id", "long").add("premise", "string").add("hypothesis", "string").add("true_label", "long").add("error_info", "string")
-    right = readers.read_csv(spark, dead, schema).select(F.lit("dead").alias("side"), "id", "premise", "true_label", "hypothesis", "error_info")
-    return left.unionByName(right)
+    return left.unionByName(right.select(F.lit("dead").alias("side"), "id", "premise", "true_label", "hypothesis", "error_info"))
 
 
 @query(f"select 'm' as model, a as accuracy, cast(i as bigint) as position, id, pred from (select {_pct('count(*) filter (where pred = true_label)', 'count(*)')} as a from ({_PRED}) p) x, (select id, pred, row_number() over (order by id) - 1 as i from ({_PRED}) q) y")

@@ -35,9 +35,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, bad_lines: bo
 
 
 def read_jsonl_or_nothing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSON lines of one file; a single malformed line makes the whole of it empty."""
-    bad = read_jsonl(spark, path, schema, bad_lines=True).agg((F.count("*") > 0).alias("bad"))
-    return read_jsonl(spark, path, schema).crossJoin(F.broadcast(bad)).filter(~F.col("bad")).drop("bad")
+    """JSON lines of whole files; a single malformed line makes its file empty, and no other of the folder."""
+    from .lines import read_whole_files
+
+    return read_whole_files(spark, path, schema)
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

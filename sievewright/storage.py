@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,6 +35,53 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def put(spark: SparkSession, path: str, body: str) -> None:
+    """A small file of this name."""
+    at, fs = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+
+
+def publish(spark: SparkSession, path: str, body: str) -> bool:
+    """Write a small file of this name unless there is one; False if there is.
+
+    The body is written under another name, which readers pass over, and then takes the name in one step that fails
+    where the name is taken: of several writers exactly one succeeds, and no reader sees a part of it.
+    """
+    at, fs = _at(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    put(spark, draft.toString(), body)
+    try:
+        if fs.getUri().getScheme() == "file":
+            # A rename replaces what is there; a link doesn't.
+            os.link(draft.toUri().getPath(), at.toUri().getPath())
+            return True
+        jvm = spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(draft), fs.makeQualified(at), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.toString():
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.prep import keep_first
-from ..storage import fresh_path, unused
+from ..sources.lines import parsed_lines
+from ..sources.log import AppendLog
+from ..storage import exists, fresh_path, unused
 
 
 def process_new_files(spark: SparkSession, source: str, schema: StructType, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 16, file_format: str = "json") -> int:
-    """Run `step` over files that came since the last call and append its rows; returns the batches run.
+    """Run `step` over files that came since the last call and append its rows to the log `out`; returns the batches run.
 
-    The checkpoint remembers the files; a batch that runs again after a failure overwrites its own folder, so rows are
-    neither lost nor doubled.
+    The checkpoint remembers the files. A batch is committed under the checkpoint's name and its own number, so one that
+    runs again after a failure, or at the same time elsewhere, is neither lost nor doubled, and one that was killed
+    halfway is never seen.
     """
     ran = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        step(batch).write.mode("overwrite").json(f"{out}/batch={batch_id}")
+        rows = step(batch)
+        AppendLog(spark, out, rows.schema).append(rows, f"{checkpoint}#{batch_id}")
         ran.append(batch_id)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(file_format).load(source)
@@ -36,8 +40,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def read_appended(spark: SparkSession, path: str, schema: StructType, key: str = "id") -> DataFrame:
-    """Appended records with one row for each key, the first by file time and name."""
-    df = spark.read.schema(schema).json(path)
-    (at,) = unused(df, "_at")
-    df = df.withColumn(at, F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
-    return keep_first(df, key, at).drop(at)
+    """Appended records with one row for each key, the first: in the order of the commits where path is an append log,
+    else by the files' times, their names, and the lines in them."""
+    if exists(spark, f"{path}/_commits"):
+        return AppendLog(spark, path, schema).read_first(key)
+    rows = parsed_lines(spark, path, schema).filter("record is not null")
+    (at,) = unused(spark.createDataFrame([], schema), "_at")
+    return keep_first(rows.select("record.*", F.struct("modified", "file", "line").alias(at)), key, at).drop(at)

@@ -6,7 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievewright import storage
+from sievewright.sources import lines as source_lines
 from sievewright.sources import readers, schemas, writers
+from sievewright.sources.log import AppendLog
+from sievewright.streaming import resume
 
 S = T.StructType().add("id", "long").add("v", "string")
 
@@ -81,3 +85,89 @@ def test_writers(spark, tmp_path):
     assert (m.a, m.b) == (1, 3)
     text = writers.summary_text({"accuracy": 50.0, "output_count": 2, "quartiles": [1, 2, 3]}, [{"bucket": "167+", "n": 1, "correct": 1}, {"bucket": "0-112", "n": 0, "correct": 0}], "Run", workers=[{"worker_id": 0, "output_count": 1, "correct_count": 1, "accuracy": 100.0}], seconds=1.5)
     assert text.index("0-112") < text.index("167+") and "accuracy: 50.00%" in text and "worker 0" in text
+
+
+def _put(path, body):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(body.encode())
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    lines_of = {f"f{k}.jsonl": [json.dumps({"id": i % 5, "v": f"{k}-{i}"}) if i % 7 else ("" if i % 2 else "{oops") for i in range(n)] for k, n in enumerate((900, 1, 400))}
+    for name, some in lines_of.items():
+        _put(tmp_path / "in" / name, "\n".join(some) + "\n")
+    _put(tmp_path / "in" / "empty.jsonl", "")
+    size, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = source_lines.read_lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    want = {(name, k + 1, x) for name, some in lines_of.items() for k, x in enumerate(some)}
+    assert {(r.file.rsplit("/", 1)[-1], r.line, r.value) for r in got} == want and len(got) == len(want)
+    # Nothing else than the order of lines tells which of the repeats of an id comes first.
+    first = resume.read_appended(spark, str(tmp_path / "in" / "f0.jsonl"), S)
+    good = [json.loads(x) for x in lines_of["f0.jsonl"] if x.startswith('{"')]
+    assert {r.id: r.v for r in first.collect()} == {i: next(x["v"] for x in good if x["id"] == i) for i in range(5)}
+
+
+def test_default_ids(spark, tmp_path):
+    _put(tmp_path / "a.jsonl", '{"v": "one"}\n\n{"id": null, "v": "null"}\n{oops\n{"v": "five"}\n  {"id": 9, "v": "nine"}\n')
+    got = source_lines.read_numbered(spark, str(tmp_path / "a.jsonl"), S).collect()
+    assert {(r.id, r.v) for r in got} == {(1, "one"), (None, "null"), (5, "five"), (9, "nine")}
+
+
+def test_whole_files(spark, tmp_path):
+    _put(tmp_path / "d" / "a.jsonl", '{"id": 1, "v": "a"}\n{"id": 2, "v": "b"}\n')
+    _put(tmp_path / "d" / "b.jsonl", '{"id": 3, "v": "a"}\n{"id": 4, "v"\n')
+    _put(tmp_path / "d" / "c.jsonl", '{"id": 5, "v": "a"}\n\n{"id": 6, "v": "b"}\n')
+    _put(tmp_path / "d" / "e.jsonl", "")
+    got = readers.read_jsonl_or_nothing(spark, str(tmp_path / "d"), S)
+    assert sorted(r.id for r in got.collect()) == [1, 2]
+
+
+def test_routed_lines(spark, tmp_path):
+    _put(tmp_path / "a.jsonl", '{"id": 1, "v": "a"}\n\n{"id": 2, "v": "say \\"x\\"\\nend"}\n{"id": "3\n[4]\n')
+    out = str(tmp_path / "out")
+    assert source_lines.route_lines(spark, str(tmp_path / "a.jsonl"), S, out) == {"good": 2, "dead": 2}
+    letter = T.StructType().add("file", "string").add("line", "long").add("value", "string").add("error", "string")
+    good, dead = source_lines.read_routed(spark, out, S, letter)
+    assert {(r.id, r.v) for r in good.collect()} == {(1, "a"), (2, 'say "x"\nend')}
+    assert {(r.line, r.value, r.error) for r in dead.collect()} == {(4, '{"id": "3', "malformed"), (5, "[4]", "malformed")}
+    df = spark.createDataFrame([(1, 'a "b",\nc', None)], "id long, verdict string, error_info string")
+    assert source_lines.write_routed(df, out) == {"good": 1, "dead": 0}
+    good, dead = source_lines.read_routed(spark, out, T.StructType().add("id", "long").add("verdict", "string"), letter)
+    assert [tuple(r) for r in good.collect()] == [(1, 'a "b",\nc')] and dead.count() == 0
+    assert source_lines.write_routed(df.limit(0), out) == {"good": 0, "dead": 0}
+    assert [x.count() for x in source_lines.read_routed(spark, out, S, letter)] == [0, 0]
+
+
+def test_append_log(spark, tmp_path):
+    log = AppendLog(spark, str(tmp_path / "log"), S)
+    row = lambda i, v: spark.createDataFrame([(i, v), (i, v + "2"), (None, v)], S)
+    assert log.read().count() == log.read_in_order().count() == log.read_first().count() == 0
+    # A batch that was killed before its commit, one that comes twice, and one without a name, which may.
+    row(1, "killed").write.json(f"{log.path}/batch={'f' * 32}")
+    assert [log.append(row(1, "a"), "t1"), log.append(row(1, "b"), "t2"), log.append(row(1, "other"), "t1"), log.append(row(2, "c"))] == [1, 2, 1, 3]
+    assert [(r.seq, r.v) for r in log.read_in_order().orderBy("seq", "file", "line").collect()] == [(k, v) for k, x in ((1, "a"), (2, "b"), (3, "c")) for v in (x, x + "2", x)]
+    assert {(r.id, r.v) for r in log.read_first().collect()} == {(1, "a"), (2, "c"), (None, "a")} and log.read().count() == 9
+
+
+def test_concurrent_appends(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "log")
+    one = lambda k: AppendLog(spark, path, S).append(spark.createDataFrame([(k, "x")], S), f"t{k % 6}")
+    with ThreadPoolExecutor(4) as pool:
+        seqs = list(pool.map(one, range(12)))
+    log = AppendLog(spark, path, S)
+    assert sorted(r.seq for r in log.commits().collect()) == list(range(1, 7)) and len({r.token for r in log.commits().collect()}) == 6
+    assert all(seqs[k] == seqs[k + 6] for k in range(6)) and log.read().count() == 6
+
+
+def test_publish_once(spark, tmp_path):
+    at = str(tmp_path / "deep" / "x.json")
+    assert storage.publish(spark, at, "one") and not storage.publish(spark, at, "two")
+    assert (tmp_path / "deep" / "x.json").read_text() == "one" and [p.name for p in (tmp_path / "deep").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
