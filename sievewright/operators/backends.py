@@ -7,12 +7,12 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.validate import NLI, REFLECTION, SCORE, Shape, validate
-from ..storage import stored
+from ..storage import stored, unused
 
 
 class Backend(Protocol):
@@ -105,27 +105,38 @@ def escalate(n: int, model: str, sixth: str | None = None, ninth: str | None = N
     return sixth if sixth and k % 6 == 0 else model
 
 
-_OUT = "id long, predicted_label int, thought_process string, score int, error_analysis string, reprompt_counts int, error_info string"
+_OUT = "predicted_label int, thought_process string, score int, error_analysis string, reprompt_counts int, error_info string"
 
 
-def run_backend(df: DataFrame, make: Callable[[], Backend], prompt: Column, model: str, texts: tuple[str, ...], score: bool = False, id_col: str = "id", **options) -> DataFrame:
-    """One reply for each row, keyed by id. A backend is made once for a partition; failures come back with error_info.
+def run_backend(df: DataFrame, make: Callable[[], Backend], prompt: Column, model: str, texts: tuple[str, ...], score: bool = False, id_col: str = "id", keep: tuple[str, ...] = (), at_once: int = 1, **options) -> DataFrame:
+    """One reply for each row, with its id and the columns `keep`; a row without an id, or with that of another, is a row
+    like any. A backend is made once for a partition and has at most at_once rows under way; failures come back with
+    error_info.
 
     Tasks may run more than once, so keep one row for each id when the output is appended somewhere.
     """
+    from .attempts import in_flight
 
-    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    (asked,) = unused(df.select(*(f"`{c}`" for c in keep)), "_prompt")
+    names = [x.split()[0] for x in _OUT.split(", ")]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = make()
-        for frame in frames:
-            rows = []
-            for row_id, text in zip(frame["id"], frame["prompt"]):
-                got = ask(backend, text, model, texts, score, **options)
-                r = got["reply"]
-                rows.append((row_id, r.get("predicted_label", -1), r.get(texts[-1]), r.get("score"), r.get("error_analysis"), got["reprompts"], got["error"]))
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in _OUT.split(", ")])
-            yield out.astype({"score": "Int32"})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), prompt.alias("prompt")).mapInPandas(step, _OUT)
+        def one(text: str) -> tuple:
+            got = ask(backend, text, model, texts, score, **options)
+            r = got["reply"]
+            return r.get("predicted_label", -1), r.get(texts[-1]), r.get("score"), r.get("error_analysis"), got["reprompts"], got["error"]
+
+        for b in batches:
+            rows = list(in_flight(b.column(asked).to_pylist(), one, at_once))
+            kinds = [pa.string() if x.endswith("string") else pa.int32() for x in _OUT.split(", ")]
+            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns - 1)), *cols], [*b.schema.names[:-1], *names])
+
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), *(f"`{c}`" for c in keep), prompt.alias(asked))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    return src.mapInArrow(step, f"{kinds}, {_OUT}")
 
 
 def generate(df: DataFrame, make: Callable[[], Backend], prompt: Column, model: str = "base", **options) -> DataFrame:
@@ -134,11 +145,14 @@ def generate(df: DataFrame, make: Callable[[], Backend], prompt: Column, model:
 
 
 def reflect(df: DataFrame, make: Callable[[], Backend], prompt: Column, true_label: str = "true_label", model: str = "base", **options) -> DataFrame:
-    """Improved thoughts for wrong rows; a failed one keeps the true label and its error."""
-    got = run_backend(df, make, prompt, model, REFLECTION.texts, **options)
-    both = got.join(df.select(F.col("id").cast("long").alias("id"), F.col(true_label).alias("_t")), "id")
-    label = F.when(F.col("error_info").isNotNull(), F.col("_t")).otherwise(F.col("predicted_label"))
-    return both.withColumn("predicted_label", label.cast("int")).withColumnRenamed("thought_process", "improved_thought_process").drop("_t")
+    """Improved thoughts for wrong rows; a failed one keeps the true label and its error.
+
+    A row for each row of df, in whatever number its id is there or is null: the label travels with its row.
+    """
+    (known,) = unused(df, "_true")
+    got = run_backend(df.withColumn(known, F.col(f"`{true_label}`")), make, prompt, model, REFLECTION.texts, keep=(known,), **options)
+    label = F.when(F.col("error_info").isNotNull(), F.col(known)).otherwise(F.col("predicted_label"))
+    return got.withColumn("predicted_label", label.cast("int")).withColumnRenamed("thought_process", "improved_thought_process").drop(known)
 
 
 def score_rounds(df: DataFrame, score_once: Callable[[DataFrame, int], DataFrame], rounds: int = 3, least: int = 4) -> DataFrame:

@@ -678,6 +678,78 @@ def reflect_stub(spark, sf_dir):
     return reflect(wrong, _echo, F.concat(F.lit("item "), "id")).select("id", "predicted_label", "improved_thought_process", "error_analysis")
 
 
+@_query(f"select case when id % 3 = 0 then null when id % 3 = 1 then cast(id % 10 as bigint) else id end as id, case when id % 4 = 0 then cast(7 as integer) else cast(id % 2 as integer) end as predicted_label, case when id % 4 <> 0 then concat('i', id) end as improved_thought_process, id % 4 = 0 as failed from ({_PRED}) p")
+def reflect_every_row(spark, sf_dir):
+    """Rows without an id and rows that share one: each comes back once, those whose reply stays invalid with the label that
+    they brought along."""
+    from ..operators.backends import reflect
+
+    rows = predictions(spark, sf_dir).select("id").withColumn("n", F.col("id"))
+    rows = rows.withColumn("id", F.when(F.col("n") % 3 == 0, None).when(F.col("n") % 3 == 1, F.col("n") % 10).otherwise(F.col("n")))
+    got = reflect(rows.withColumn("true_label", F.lit(7)), _silent, F.concat(F.lit("item "), "n"), retries=1)
+    return got.select("id", "predicted_label", "improved_thought_process", F.col("error_info").isNotNull().alias("failed"))
+
+
+def _silent():
+    """As _echo, but every fourth never answers validly."""
+    import json
+
+    from ..operators.backends import StubBackend
+
+    def reply(messages):
+        n = int(messages[0]["content"].split()[-1])
+        return "let me think" if n % 4 == 0 else json.dumps({"predicted_label": n % 2, "error_analysis": f"e{n}", "improved_thought_process": f"i{n}"})
+
+    return StubBackend(reply)
+
+
+def _picky():
+    """A backend of which some rows need another model, some several rounds, and some never satisfy."""
+    import json
+
+    class Picky:
+        def generate(self, messages, model, **options):
+            n, round_ = map(int, messages[0]["content"].split()[-2:])
+            kind = n % 6
+            if (kind, model) not in ((0, model), (1, "mid"), (2, "big"), (3, model), (4, model)):
+                return "no idea"
+            score = {0: 5, 1: 4, 2: 4, 3: 4 if round_ == 2 else 1, 4: round_ % 4}[kind]
+            return json.dumps({"score": score, "predicted_label": n % 2, "improved_thought_process": str(round_ + 1)})
+
+    return Picky()
+
+
+@_query(
+    """select doc_id as id, case doc_id % 6 when 0 then 'base' when 1 then 'base base base base base mid' when 2 then 'base base base base base mid mid mid big' when 3 then 'base mid mid' when 4 then 'base mid mid mid mid'
+ else 'base base base base base mid mid mid big big big mid' end as models, case doc_id % 6 when 4 then 'low' when 5 then 'failed' else 'done' end as status, cast(case doc_id % 6 when 3 then 2 when 4 then 4 else 0 end as integer) as depth,
+ cast(case doc_id % 6 when 0 then 5 when 4 then 0 when 5 then null else 4 end as integer) as score, cast(case doc_id % 6 when 1 then 5 when 2 then 8 when 5 then 12 else 0 end as integer) as reprompts from labels"""
+)
+def attempt_models(spark, sf_dir):
+    """The model of each attempt at each row, and how it ended: replies stay invalid until the model is changed, are scored
+    low until the thought was improved twice, or never do."""
+    from ..operators import attempts
+
+    rows = predictions(spark, sf_dir).select("id").withColumn("thought", F.lit("0"))
+    prompt = lambda thought: F.concat_ws(" ", F.lit("rate"), F.col("id"), thought)
+    policy = attempts.Policy(retries=4, sixth="mid", ninth="big", again="mid")
+    got = attempts.run(rows, _picky, prompt, validate.SCORE, "base", thought="thought", policy=policy, at_once=4)
+    return got.select("id", F.array_join("attempt.models", " ").alias("models"), "attempt.status", "attempt.depth", "attempt.score", "attempt.reprompts")
+
+
+@_query(
+    """select doc_id as id, lang, concat('t', doc_id) as thought_process, cast(doc_id % 2 as integer) as predicted_label, doc_id % 2 = n_chars % 2 as correct, cast(case when doc_id % 4 = 0 then 1 else 0 end as integer) as reprompt_counts,
+ case when doc_id % 4 = 0 then 'user assistant user assistant' else 'user assistant' end as roles from documents"""
+)
+def generation_records(spark, sf_dir):
+    """Generations with the row's own columns and the conversation that led to them."""
+    from ..operators import attempts
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", (F.col("n_chars") % 2).alias("true_label"))
+    got = attempts.run(docs, _echo, lambda _: F.concat(F.lit("item "), "id"), validate.NLI, "base")
+    records = attempts.generation_record(got)
+    return records.withColumn("roles", F.array_join(F.transform("chat_history", lambda m: m["role"]), " ")).select("id", "lang", "thought_process", "predicted_label", "correct", "reprompt_counts", "roles")
+
+
 def _judge():
     """A backend that scores the number in the prompt, two more in each round."""
     import json

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.operators import backends, metrics, prep, scan, series
+from sievewright.functions import validate
+from sievewright.operators import attempts, backends, metrics, prep, scan, series
 from sievewright.streaming import resume
 
 
@@ -241,3 +242,110 @@ def test_one_run_of_all_rows_fills_many_tasks(spark):
     assert far[0] == 100.0 and far[1] == 50.0 and far[3999] == 50.0
     spread = scan.ordered(df, [F.col("run"), F.col("step")])[0]
     assert spread.groupBy("_part").count().count() == 4
+
+
+def test_reflect_keeps_every_row(spark):
+    df = spark.createDataFrame([(None, 1, "x"), (2, 0, "y"), (2, 1, "z")], "id long, true_label int, _true string")
+    make = lambda: backends.StubBackend(lambda m: "no" if m[0]["content"].endswith("z") else json.dumps({"error_analysis": "e", "improved_thought_process": "i", "predicted_label": 0}))
+    got = backends.reflect(df, make, F.concat(F.lit("row "), "_true"), retries=1).select("id", "predicted_label", "error_info").collect()
+    assert sorted(map(tuple, got), key=repr) == [(2, 0, None), (2, 1, "json"), (None, 0, None)]
+
+
+class Watch:
+    """Counts how many calls are under way at once."""
+
+    def __init__(self, seconds):
+        import threading
+
+        self.seconds, self.now, self.most, self.lock = seconds, 0, 0, threading.Lock()
+
+    def __call__(self, x):
+        import time
+
+        with self.lock:
+            self.now += 1
+            self.most = max(self.most, self.now)
+        time.sleep(self.seconds)
+        with self.lock:
+            self.now -= 1
+        return x * 10
+
+
+def test_requests_in_flight():
+    import time
+
+    watch, drawn = Watch(0.05), []
+
+    def items():
+        for k in range(24):
+            drawn.append(k)
+            yield k
+
+    began, got = time.monotonic(), []
+    for x in attempts.in_flight(items(), watch, 6):
+        got.append(x)
+        assert len(drawn) <= len(got) + 6
+    took = time.monotonic() - began
+    assert got == [10 * k for k in range(24)] and watch.most == 6 and took < 24 * 0.05 / 2
+    slow = Watch(0)
+    assert list(attempts.in_flight(range(3), slow, 1)) == [0, 10, 20] and slow.most == 1
+    now, slept = [0.0], []
+    bucket = attempts.TokenBucket(2.0, 3, clock=lambda: now[0], sleep=slept.append)
+    for _ in range(5):
+        bucket.take()
+    assert slept == [0.5, 1.0]
+    now[0] = 10.0
+    bucket.take()
+    assert len(slept) == 2
+
+
+def test_calls_in_batches(spark):
+    class Many:
+        def generate_many(self, messages, models, **options):
+            if len(messages) > 4:
+                raise ValueError("too many")
+            if any(m[0]["content"] == "7" for m in messages):
+                raise backends.RateLimited("slow down")
+            return [f"{m[0]['content']}:{n}:{len(messages)}" for m, n in zip(messages, models)]
+
+    df = spark.range(10).coalesce(1).select("id", F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("m"), F.lit("base").alias("text"))
+    got = {r.id: (r.t, r.e) for r in attempts.ask_once(df, Many, "m", "text", "t", "e", at_once=2, batch=4).collect()}
+    assert got[0] == ("0:base:4", None) and got[9] == ("9:base:2", None) and got[5] == (None, "rate limit: slow down")
+
+
+def test_attempts_with_limits_and_failures(spark, tmp_path):
+    """A backend that keeps a row off twice, raises for one, and answers others at once; the clock is turned by waiting."""
+    folder = str(tmp_path)
+
+    class Limited:
+        def generate(self, messages, model, **options):
+            import os
+            import uuid
+
+            n = messages[-1]["content"].split()[1]
+            open(f"{folder}/{n}-{uuid.uuid4().hex}", "w").close()
+            calls = len([x for x in os.listdir(folder) if x.startswith(f"{n}-")])
+            if n == "1" and calls < 3:
+                raise backends.RateLimited("later")
+            if n == "2":
+                raise ValueError("broken")
+            return json.dumps({"thought_process": f"t{n}", "predicted_label": 1})
+
+    now, slept = [100.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "c"), (None, None)], "id long, _state string")
+    prompt = lambda _: F.concat_ws(" ", F.lit("item"), F.coalesce("id", F.lit(0)))
+    got = attempts.run(df, Limited, prompt, validate.NLI, "base", system="be brief", policy=attempts.Policy(retries=1), clock=lambda: now[0], sleep=sleep)
+    out = sorted(got.collect(), key=repr)
+    by = {r.id: r.attempt for r in out}
+    assert sorted((r.id or 0, r._state or "") for r in out) == [(0, ""), (1, "a"), (2, "b"), (3, "c"), (3, "c")]
+    assert slept == [2.0, 4.0] and by[1].status == "done" and by[1].calls == 3 and by[1].label == 1 and by[1].reprompts == 0
+    assert by[2].status == "failed" and by[2].calls == 3 and by[2].error == "broken" and by[2].reprompts == 3
+    assert by[3].calls == 1 and [t.role for t in by[3].turns] == ["system", "user", "assistant"] and by[3].reply["thought_process"] == "t3"
+    records = {r.id: r for r in attempts.generation_record(got.withColumn("true_label", F.lit(1))).collect()}
+    assert records[2].predicted_label == -1 and not records[2].correct and records[1].correct and records[1].chat_history[-1].role == "assistant"
+    assert attempts.run(df.limit(0), Limited, prompt, validate.NLI, "base").count() == 0
