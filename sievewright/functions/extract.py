@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import brace_spans, step3_section
+from .text import brace_spans, let, step3_section
 
 _PLAIN = {"allowSingleQuotes": "false"}
 #: All digits of Unicode, and the digits that they stand for.
@@ -18,11 +18,6 @@ _ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 _INT = r"(?U)^\s*([+-]?\d+(?:_\d+)*)\s*$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def parsed(text: Column) -> Column:
     """Fields of a text that is one JSON object, array<struct<key, kind, value>> with the last first; null where it is none.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,28 +16,37 @@ def clean_json(text: Column) -> Column:
     return F.when((first > 0) & (back > 0), F.substring(low, first, F.greatest(last - first + 1, F.lit(0)))).otherwise(low)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def brace_spans(text: Column) -> Column:
     """Texts of the top-level brace spans, in order.
 
     A plain depth count: braces within strings count too, and a stray } takes the depth below zero, where openings
-    start nothing until it is balanced again. Unclosed spans give nothing.
+    start nothing until it is balanced again. Unclosed spans give nothing; null gives none.
+
+    Time grows with the text, whatever its braces. Of the braces, numbered from 0, the k-th opening one at place i has k
+    openings and i - k closings before it, so the depth there is 2k - i; behind the k-th closing one it is i - 2k - 1. A
+    span opens where the one is zero and closes where the other is; the n-th closing belongs to the n-th opening.
     """
-    tokens = F.split(text, r"(?<=[{}])|(?=[{}])", -1)
     none = F.expr("cast(array() as array<string>)")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("open"), none.alias("out"))
+    tokens = F.split(text, r"(?<=[{}])|(?=[{}])", -1)
+
+    def at_zero(braces: Column, brace: str, depth: Callable[[Column, Column], Column]) -> Column:
+        """Places among the tokens of those braces of this kind where the depth is zero."""
+        own = F.filter(F.transform(braces, lambda b, i: F.struct(b["token"], b["at"], i.alias("i"))), lambda b: b["token"] == brace)
+        own = F.transform(own, lambda b, k: F.struct(b["at"].alias("at"), depth(b["i"], k).alias("depth")))
+        return F.transform(F.filter(own, lambda b: b["depth"] == 0), lambda b: b["at"])
 
-    def step(acc: Column, tok: Column) -> Column:
-        opens, closes = tok == "{", tok == "}"
-        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        span = F.substring(text, acc["open"] + 1, acc["at"] + 1 - acc["open"])
-        return F.struct(
-            (acc["at"] + F.length(tok)).alias("at"),
-            depth.alias("depth"),
-            F.when(opens & (acc["depth"] == 0), acc["at"]).otherwise(acc["open"]).alias("open"),
-            F.when(closes & (depth == 0), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+    def spans(tokens: Column) -> Column:
+        placed = F.transform(tokens, lambda t, j: F.struct(t.alias("token"), j.alias("at")))
+        braces = F.filter(placed, lambda b: b["token"].isin("{", "}"))
+        ends = let(braces, lambda b: F.struct(at_zero(b, "{", lambda i, k: 2 * k - i).alias("opens"), at_zero(b, "}", lambda i, k: i - 2 * k - 1).alias("closes")))
+        return let(ends, lambda e: F.transform(e["closes"], lambda c, n: F.array_join(F.slice(tokens, F.get(e["opens"], n) + 1, c - F.get(e["opens"], n) + 1), "")))
 
-    return F.when(F.instr(text, "{") > 0, F.aggregate(tokens, start, step, lambda a: a["out"])).otherwise(none)
+    return F.when(F.instr(text, "{") > 0, let(tokens, spans)).otherwise(none)
 
 
 def token_estimate(text: Column) -> Column:
@@ -75,9 +86,15 @@ def bucket_floor(label: Column) -> Column:
     return F.regexp_extract(label, r"^(\d+)", 1).cast("long")
 
 
+#: What the parts of a prompt and of its reply are told by.
+_THOUGHT = r'(?s)\{.*"thought_process":\s*"(.*?)",.*\}'
+_PREMISE = r"(?s)Premise:(.*?)(?=\n|Hypothesis:)"
+_HYPOTHESIS = r"(?s)Hypothesis:(.*?)(?=\n|\[|\]|Use)"
+
+
 def thought_from_output(output: Column) -> Column:
     """The last "thought_process" value within braces that more keys follow, or an empty text."""
-    return F.regexp_extract(output, r'(?s)\{.*"thought_process":\s*"(.*?)",.*\}', 1)
+    return F.regexp_extract(output, _THOUGHT, 1)
 
 
 def inst_json(text: Column) -> Column:
@@ -88,12 +105,12 @@ def inst_json(text: Column) -> Column:
 
 
 def premise_of(text: Column) -> Column:
-    return F.trim(F.regexp_extract(text, r"(?s)Premise:(.*?)(?=\n|Hypothesis:)", 1))
+    return F.trim(F.regexp_extract(text, _PREMISE, 1))
 
 
 def hypothesis_of(text: Column) -> Column:
     """Up to a line end, a bracket or the word "Use", also where that begins a longer word."""
-    return F.trim(F.regexp_extract(text, r"(?s)Hypothesis:(.*?)(?=\n|\[|\]|Use)", 1))
+    return F.trim(F.regexp_extract(text, _HYPOTHESIS, 1))
 
 
 def step3_section(text: Column) -> Column:

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .extract import field, let, parsed
-from .text import clean_json
+from .extract import field, parsed
+from .text import clean_json, let
 
 
 @dataclass(frozen=True)

@@ -236,6 +236,32 @@ def brace_spans(spark, sf_dir):
     return s.select("id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("spans"))
 
 
+def _spans_sql(rows: str) -> str:
+    """Spans of rows (id, t): every brace by its place, depths as running sums, the n-th closing with the n-th opening."""
+    return f"""with r as ({rows}), c as (select id, t, unnest(string_split(t, '')) as c, generate_subscripts(string_split(t, ''), 1) as p from r where contains(t, '{{')),
+ b as (select *, sum(case c when '{{' then 1 else -1 end) over (partition by id order by p) as after from c where c in ('{{', '}}')),
+ o as (select id, p, row_number() over (partition by id order by p) as n from b where c = '{{' and after = 1), e as (select id, p, t, row_number() over (partition by id order by p) as n from b where c = '}}' and after = 0),
+ s as (select id, n, substr(e.t, o.p, e.p - o.p + 1) as span from e join o using (id, n))
+ select id, cast(count(n) as bigint) as n, coalesce(string_agg(span, chr(30) order by n), '') as spans from r left join s using (id) group by id"""
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    s = rows.withColumn("s", text.brace_spans(F.col("t")))
+    return s.select("id", F.size("s").cast("long").alias("n"), F.array_join("s", "\x1e").alias("spans"))
+
+
+@_query(_spans_sql("select page_id as id, translate(coalesce(html, ''), '<>\"=', '{}{}') as t from pages"))
+def brace_spans_pages(spark, sf_dir):
+    """All pages, their tags and attributes as braces, nested, stray and unclosed."""
+    return _spans(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.translate(F.coalesce("html", F.lit("")), '<>"=', "{}{}").alias("t")))
+
+
+@_query(_spans_sql("select doc_id as id, translate(coalesce(text, ''), 'aex.', '{}}{{') as t from documents"))
+def brace_spans_documents(spark, sf_dir):
+    """All documents, some letters as braces, so depths wander on both sides of zero."""
+    return _spans(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.translate(F.coalesce("text", F.lit("")), "aex.", "{}}{{").alias("t")))
+
+
 @_query(rf"""select id, regexp_extract(output, '(?s)\{{.*"thought_process":\s*"(.*?)",.*\}}', 1) as thought from ({_OUTPUTS}) o""")
 def thought_from_output(spark, sf_dir):
     return outputs(spark, sf_dir).select("id", text.thought_from_output(F.col("output")).alias("thought"))
