@@ -36,6 +36,15 @@ def get_prompt(kind: str) -> tuple[str, tuple[str, ...]]:
     return PROMPTS[kind]
 
 
+def prompt_of(kind: Column) -> Column:
+    """struct(text, keys) of the prompt of this type, null for a type that there is not."""
+    out = None
+    for name, (text, keys) in PROMPTS.items():
+        one = F.struct(F.lit(text).alias("text"), F.array(*map(F.lit, keys)).alias("keys"))
+        out = F.when(kind == name, one) if out is None else out.when(kind == name, one)
+    return out
+
+
 def json_string(text: Column) -> Column:
     """A JSON string literal in ASCII: what is outside prints as \\uXXXX, pairs of them beyond the basic plane."""
     code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))

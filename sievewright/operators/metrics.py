@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FIXED_BUCKETS, fixed_bucket, quartile_bucket
+from ..storage import unused
+from .quantiles import exact
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -89,11 +91,21 @@ def class_report(df: DataFrame, true: str, pred: str, labels: tuple[int, ...] =
     return named.unionByName(macro).unionByName(weighted.select(F.lit("weighted avg").alias("name"), *m, "support"))
 
 
-def value_stats(df: DataFrame, value: str, *by: str, digits: int | None = None, whole_quartiles: bool = False) -> DataFrame:
-    """Average, least, most and exact quartiles (linear between neighbours); 0 where there are no rows."""
+def value_stats(df: DataFrame, value: str, *by: str, digits: int | None = None, whole_quartiles: bool = False, refined: bool = False) -> DataFrame:
+    """Average, least, most and exact quartiles (linear between neighbours); 0 where there are no rows.
+
+    refined: find the quartiles by histograms (quantiles.exact), for values that are mostly distinct, whose aggregation
+    buffers would hold every one of them.
+    """
     shown = lambda c: c if digits is None else F.round(c, digits)
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("avg"), F.coalesce(F.min(value), F.lit(0)).cast("long").alias("min"), F.coalesce(F.max(value), F.lit(0)).cast("long").alias("max"), q.alias("q"))
+    own = [F.coalesce(F.avg(value), F.lit(0.0)).alias("avg"), F.coalesce(F.min(value), F.lit(0)).cast("long").alias("min"), F.coalesce(F.max(value), F.lit(0)).cast("long").alias("max")]
+    if refined:
+        out, found = df.groupBy(*by).agg(*own), exact(df, value, (0.25, 0.5, 0.75), by=by)
+        (other,) = unused(out, "_q")
+        found = found.select(F.struct(*by).alias(other), "q") if by else found
+        out = out.join(found, F.struct(*by).eqNullSafe(F.col(other)), "left").drop(other) if by else out.crossJoin(F.broadcast(found))
+    else:
+        out = df.groupBy(*by).agg(*own, F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     out = out.withColumn("avg", shown(F.col("avg")))
     for k, name in enumerate(("q1", "q2", "q3")):
         x = F.coalesce(F.col("q")[k], F.lit(0.0))
@@ -133,11 +145,19 @@ def overall_accuracy(buckets: DataFrame) -> DataFrame:
     return buckets.agg(F.sum("n").cast("long").alias("n"), percent(F.sum("correct"), F.sum("n")).alias("accuracy"))
 
 
-def quartile_bucket_accuracy(df: DataFrame, tokens: str, correct: str) -> DataFrame:
-    """Accuracy by quartile bucket: quartiles first, truncated, as one broadcast row; then one aggregation."""
-    q = df.agg(F.transform(F.percentile(tokens, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), lambda x: F.floor(x)).alias("q"))
-    rows = df.crossJoin(F.broadcast(q)).withColumn("bucket", quartile_bucket(F.col(tokens), F.col("q")))
-    got = rows.groupBy("bucket").agg(F.count("*").alias("n"), _n(F.col(correct)).alias("correct"))
+def quartile_bucket_accuracy(df: DataFrame, tokens: str, correct: str, refined: bool = False) -> DataFrame:
+    """Accuracy by quartile bucket: quartiles first, truncated, as one broadcast row; then one aggregation.
+
+    refined: find the quartiles by histograms (quantiles.exact), for values that are mostly distinct. Only the two columns
+    are read, so no name of another can clash.
+    """
+    rows = df.select(F.col(f"`{tokens}`").alias("tokens"), F.col(f"`{correct}`").alias("correct"))
+    if refined:
+        q = exact(rows, "tokens", (0.25, 0.5, 0.75)).select(F.transform("q", lambda x: F.floor(x)).alias("q"))
+    else:
+        q = rows.agg(F.transform(F.percentile("tokens", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), lambda x: F.floor(x)).alias("q"))
+    rows = rows.crossJoin(F.broadcast(q)).withColumn("bucket", quartile_bucket(F.col("tokens"), F.col("q")))
+    got = rows.groupBy("bucket").agg(F.count("*").alias("n"), _n(F.col("correct")).alias("correct"))
     return got.withColumn("accuracy", percent(F.col("correct"), F.col("n")))
 
 
@@ -187,9 +207,11 @@ def ordered_names(df: DataFrame, name: str) -> DataFrame:
 
 
 def compare_models(**metrics: DataFrame) -> DataFrame:
-    """One row for each model; columns that only some have are null for the others."""
+    """One row for each model; columns that only some have are null for the others, one named model is an error."""
     out = None
     for name, df in metrics.items():
+        if "model" in (c.lower() for c in df.columns):
+            raise ValueError(f"{name} has a column model already")
         df = df.withColumn("model", F.lit(name))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out

@@ -137,8 +137,11 @@ def worker_chunks(df: DataFrame, key: str, workers: int) -> DataFrame:
 
 
 def concat_splits(**splits: DataFrame) -> DataFrame:
+    """All rows of the splits with a column split; a column that a split lacks is null there, one of that name an error."""
     out = None
     for name, df in splits.items():
+        if "split" in (c.lower() for c in df.columns):
+            raise ValueError(f"{name} has a column split already")
         df = df.withColumn("split", F.lit(name))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
@@ -149,9 +152,10 @@ def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 
 
-def output_name(model: str, data: str, labelled: bool) -> str:
-    base = lambda p: p.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    return f"{model.rstrip('/').rsplit('/', 1)[-1]}-{base(data)}-{'labelled' if labelled else 'unlabelled'}"
+def output_name(model: Column, data: Column, labelled: Column) -> Column:
+    """model-data-labelled, of the last parts of both paths, the data's without its ending."""
+    last = lambda path: F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+    return F.concat_ws("-", last(model), F.regexp_replace(last(data), r"\.[^.]*$", ""), F.when(labelled, "labelled").otherwise("unlabelled"))
 
 
 #: Fixed value: metadata that a result document keeps.

@@ -148,6 +148,22 @@ def quartile_bucket_accuracy(spark, sf_dir):
     return metrics.quartile_bucket_accuracy(lengths(spark, sf_dir), "tokens", "correct")
 
 
+@_query("select l_returnflag as flag, l_linestatus as status, unnest([quantile_cont(price, 0.1), quantile_cont(price, 0.25), quantile_cont(price, 0.5), quantile_cont(price, 0.999)]) as q, unnest([0, 1, 2, 3]) as k from (select l_returnflag, l_linestatus, cast(l_extendedprice as double) as price from lineitem) x group by 1, 2")
+def price_quantiles(spark, sf_dir):
+    """Exact quantiles of values that are mostly distinct, by two columns, found by narrowing histograms."""
+    from ..operators.quantiles import exact
+
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("price"))
+    return exact(rows, "price", (0.1, 0.25, 0.5, 0.999), by=("flag", "status")).select("flag", "status", F.posexplode("q").alias("k", "q"))
+
+
+@_query(_stats_sql("select doc_id as id, source, cast(floor(coalesce(length(text), 0) / 4) as bigint) as tokens from documents", by="source", digits=2))
+def token_quartiles_refined(spark, sf_dir):
+    """Length statistics of all documents, their quartiles found by narrowing histograms."""
+    docs = _table(spark, sf_dir, "documents").select("source", text.token_estimate(F.col("text")).alias("tokens"))
+    return metrics.value_stats(docs, "tokens", "source", digits=2, refined=True)
+
+
 _PARTS = "select doc_id, cast(floor(length(text) / 4) as bigint) as text, cast(floor(length(source) / 4) as bigint) as source, cast(floor(length(lang) / 4) as bigint) as lang from documents"
 
 
@@ -378,6 +394,12 @@ def methods_by_label(spark, sf_dir):
     return metrics.method_counts(extracted(spark, sf_dir), "method", "true_label")
 
 
+@_query(f"select true_label, method, cast(count(*) as bigint) as n, {_pct('count(*)', 'sum(count(*)) over (partition by true_label)')} as percent from ({_X}) x group by 1, 2")
+def method_shares_by_label(spark, sf_dir):
+    """How often each method found the label, in percent of the rows of each true label."""
+    return metrics.shares(extracted(spark, sf_dir), "true_label", "method", within=("true_label",))
+
+
 @_query(f"select method, cast(count(*) as bigint) as n, cast(row_number() over (order by count(*) desc, method) as integer) as place from ({_X}) x group by method")
 def methods_ranked(spark, sf_dir):
     from pyspark.sql import Window
@@ -573,6 +595,20 @@ def label_coerce(spark, sf_dir):
     return t.select("id", label.alias("label"), (F.col("correct").isNotNull() & label.isNotNull()).alias("usable"))
 
 
+@_query(
+    """select doc_id as id, case when quality = 1 then 1 else 0 end as from_whole, case doc_id % 4 when 0 then 0 when 1 then 1 when 2 then null else 0 end as from_number, case when doc_id % 3 = 0 then null when toxic = 1 then 1 else 0 end as from_boolean,
+ case doc_id % 5 when 0 then 0 when 1 then 1 when 2 then null when 3 then null else 1 end as from_text from labels"""
+)
+def label_kinds(spark, sf_dir):
+    """Labels of all kinds as 0 or 1: whole numbers, numbers cut off, booleans, and texts; nulls and others are null."""
+    i = F.col("doc_id")
+    number = F.when(i % 4 == 0, 0.9).when(i % 4 == 1, 1.2).when(i % 4 == 2, 2.0).otherwise(-0.5)
+    words = F.element_at(F.array(*map(F.lit, (" 0", "1", "yes", "1.0", "+1 "))), (i % 5 + 1).cast("int"))
+    boolean = F.when(i % 3 != 0, F.col("toxic") == 1)
+    kinds = {"from_whole": (F.col("quality"), T.LongType()), "from_number": (number, T.DoubleType()), "from_boolean": (boolean, T.BooleanType()), "from_text": (words, T.StringType())}
+    return _table(spark, sf_dir, "labels").select(i.alias("id"), *(prep.coerce_label(c, kind).alias(name) for name, (c, kind) in kinds.items()))
+
+
 @_query(f"select id, coalesce(cast(predicted_label as varchar) = cast(true_label as varchar), correct, false) as right_one from (select id, true_label, correct, case when predicted_label = 'x' then null else predicted_label end as predicted_label from ({_THOUGHTS}) q) t")
 def correctness(spark, sf_dir):
     t = thoughts(spark, sf_dir)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import templates, text
-from ..operators import metrics, prep
+from ..operators import metrics, prep, scan
 from ..sources import readers, schemas, writers
 from ..sources import lines as source_lines
 from ..sources.log import AppendLog
@@ -290,23 +290,39 @@ def result_document(spark, sf_dir):
     return back.select("d.model", "d.accuracy", F.posexplode("d.results").alias("position", "r")).select("model", "accuracy", F.col("position").cast("long").alias("position"), "r.id", "r.pred")
 
 
-@query(f"select pred as prediction, cast(count(*) as bigint) as n from ({_PRED}) p group by pred")
+@query("select conv_id, turn, role, text, cast(row_number() over (order by conv_id, turn, role, text) - 1 as bigint) as line from conversations")
+def document_of_all_turns(spark, sf_dir):
+    """All turns as one JSON document in several files, joined by name, and where each stands in it."""
+    path = fresh_path(spark, "document")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    key = F.struct("conv_id", "turn", "role", "text")
+    writers.write_document(rows.withColumn("key", key), {"model": "m"}, path, "key")
+    # Files by name, lines by number: each line's place in the whole text.
+    lines = source_lines.read_lines(spark, f"{path}/part-*").withColumn("value", F.regexp_replace("value", "^,", ""))
+    placed = scan.numbered(lines, "place", [F.col("file"), F.col("line")])
+    return placed.select(F.from_json("value", _TURN).alias("r"), F.col("place").alias("line")).select("r.*", "line")
+
+
+@query(f"select pred as prediction, cast(row_number() over (order by id) as bigint) as line from ({_PRED}) p")
 def predictions_csv(spark, sf_dir):
+    """Predictions alone, in input order: each one's place over the files by name, headers left out."""
     path = fresh_path(spark, "predictions")
     writers.write_predictions(predictions(spark, sf_dir).withColumn("prediction", F.col("pred")), path, "id")
-    return readers.read_csv(spark, path, T.StructType().add("prediction", "long")).groupBy("prediction").agg(F.count("*").alias("n"))
+    lines = source_lines.read_lines(spark, f"{path}/part-*").filter("line > 1")
+    placed = scan.numbered(lines, "place", [F.col("file"), F.col("line")])
+    return placed.select(F.col("value").cast("long").alias("prediction"), (F.col("place") + 1).alias("line"))
 
 
 @query(f"select 'm' as model, cast(0.5 as double) as precision, {_pct('correct_count', 'output_count')} as accuracy from ({_COUNT}) c")
 def metric_update(spark, sf_dir):
-    """One key of a metrics document set anew; the others stay."""
-    path, again = fresh_path(spark, "document"), fresh_path(spark, "document")
-    writers.overwrite_json(spark.sql("select 'm' as model, named_struct('accuracy', 0.0D, 'precision', 0.5D) as metrics"), path)
-    schema = "model string, metrics struct<accuracy: double, precision: double>"
-    doc = spark.read.schema(schema).json(path)
-    acc = metrics.binary_metrics(metrics.confusion(predictions(spark, sf_dir), "true_label", "pred")).select(F.col("accuracy").alias("_a"))
-    writers.overwrite_json(writers.with_metric(doc.crossJoin(F.broadcast(acc)), "metrics", "accuracy", F.col("_a")).drop("_a"), again)
-    return spark.read.schema(schema).json(again).select("model", "metrics.precision", "metrics.accuracy")
+    """One key of a metrics document set anew, by two writers; the others stay."""
+    document = writers.Versions(spark, fresh_path(spark, "metrics"))
+    accuracy = metrics.binary_metrics(metrics.confusion(predictions(spark, sf_dir), "true_label", "pred")).first().accuracy
+    with_metric = lambda k, v: lambda d: d | {"metrics": d.get("metrics", {}) | {k: v}}
+    for change in (lambda d: {"model": "m"}, with_metric("accuracy", 0.0), with_metric("precision", 0.5), with_metric("accuracy", accuracy)):
+        document.update(change)
+    found = document.read()[1]
+    return spark.createDataFrame([(found["model"], found["metrics"]["precision"], found["metrics"]["accuracy"])], "model string, precision double, accuracy double")
 
 
 @query(f"select id, score, case when score >= 4 then 'gold' else 'low' end as tier from ({_PRED}) p")
@@ -359,8 +375,8 @@ def reasoning_alias(spark, sf_dir):
 def output_names(spark, sf_dir):
     """Names of result files, for each source and language."""
     pairs = table(spark, sf_dir, "documents").select("source", "lang").distinct()
-    rows = [(r.source, r.lang, prep.output_name("org/m-7b", f"data/{r.source}.csv", r.lang == "en")) for r in pairs.collect()]
-    return spark.createDataFrame(rows, "source string, lang string, name string")
+    name = prep.output_name(F.lit("org/m-7b"), F.concat(F.lit("data/"), "source", F.lit(".csv")), F.col("lang") == "en")
+    return pairs.select("source", "lang", name.alias("name"))
 
 
 @query("select role, coalesce(cast(count(*) as double) / nullif(cast(sum(turn) as double), 0), 0.0) as samples_per_second from conversations group by role")
@@ -370,10 +386,16 @@ def throughput(spark, sf_dir):
     return rows.select("role", metrics.throughput(F.col("n"), F.col("s")).alias("samples_per_second"))
 
 
-@query("select * from (values ('finetune', 'thought_process, predicted_label'), ('initial_generation', 'thought_process, predicted_label'), ('reflection', 'error_analysis, improved_thought_process, predicted_label'), ('scoring', 'analysis, score, improved_thought_process, predicted_label')) p(kind, keys)")
+@query(
+    """select kind, keys, cast(count(*) as bigint) as n from (select doc_id, ['finetune', 'initial_generation', 'reflection', 'scoring', 'unheard_of'][doc_id % 5 + 1] as kind from documents) d left join
+ (values ('finetune', 'thought_process, predicted_label'), ('initial_generation', 'thought_process, predicted_label'), ('reflection', 'error_analysis, improved_thought_process, predicted_label'), ('scoring', 'analysis, score, improved_thought_process, predicted_label')) p(kind, keys) using (kind) group by all"""
+)
 def prompt_registry(spark, sf_dir):
-    """The prompts' types and the keys that their replies have."""
-    return spark.createDataFrame([(k, ", ".join(templates.get_prompt(k)[1])) for k in templates.PROMPTS], "kind string, keys string")
+    """The keys that the replies to each row's prompt have, looked up by the prompt's type; an unknown type has none."""
+    kinds = F.array(*map(F.lit, ("finetune", "initial_generation", "reflection", "scoring", "unheard_of")))
+    rows = table(spark, sf_dir, "documents").select(F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("kind"))
+    keys = F.array_join(templates.prompt_of(F.col("kind"))["keys"], ", ")
+    return rows.groupBy("kind", keys.alias("keys")).agg(F.count("*").alias("n"))
 
 
 @query("select conv_id, cast(turn as bigint) as turn, cast(10 as double) / (turn + 1) * (max(turn) over (partition by conv_id) - turn) as seconds from conversations")

@@ -66,6 +66,13 @@ def explode_results(documents: DataFrame) -> DataFrame:
     return documents.select(*keep, F.posexplode("results").alias("position", "r")).select(*keep, "position", *(F.col(f"r.{f.name}").alias(f"{f.name}" if f.name not in keep else f"result_{f.name}") for f in documents.schema["results"].dataType.elementType.fields))
 
 
+def read_document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The results of a document of several files (writers.write_document), a row each, read by as many tasks as there
+    are ranges."""
+    lines = spark.read.text(f"{path}/part-*").select(F.ltrim(F.regexp_replace("value", "^,", "")).alias("value"))
+    return lines.select(parse_line(F.col("value"), schema).alias("r")).select("r.*")
+
+
 def read_model_metrics(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Metrics of each *_results.json: from stats, else summary.stats, else worked out from the counts."""
     from ..operators.metrics import ratio

@@ -54,6 +54,22 @@ def put(spark: SparkSession, path: str, body: str) -> None:
     out.close()
 
 
+def get(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    at, fs = _at(spark, path)
+    source = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(source)).decode()
+    finally:
+        source.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it isn't there."""
+    at, fs = _at(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def publish(spark: SparkSession, path: str, body: str) -> bool:
     """Write a small file of this name unless there is one; False if there is.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievewright.functions import validate
-from sievewright.operators import attempts, backends, metrics, prep, scan, series
+from sievewright.operators import attempts, backends, metrics, prep, quantiles, scan, series
 from sievewright.streaming import resume
 
 
@@ -349,3 +349,40 @@ def test_attempts_with_limits_and_failures(spark, tmp_path):
     records = {r.id: r for r in attempts.generation_record(got.withColumn("true_label", F.lit(1))).collect()}
     assert records[2].predicted_label == -1 and not records[2].correct and records[1].correct and records[1].chat_history[-1].role == "assistant"
     assert attempts.run(df.limit(0), Limited, prompt, validate.NLI, "base").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["ties", "doubles", "far", "odd"])
+def test_exact_quantiles(spark, kind):
+    import random
+
+    rng = random.Random(3)
+    draw = {
+        "ties": lambda: float(rng.choice([1, 2, 2, 2, 5])),
+        "doubles": rng.random,
+        "far": lambda: rng.choice([1e308, -1e308, 1e-300, rng.random(), 3.0, 3.0000000000000004]),
+        "odd": lambda: rng.choice([float("inf"), float("-inf"), float("nan"), 1.5, -2.5, rng.random()]),
+    }[kind]
+    data = [(rng.choice(["a", "b", None]), draw()) for _ in range(3000)] + [("one", 7.0), ("none", None), ("a", None)]
+    df = spark.createDataFrame(data, "q string, v double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    want = {r.q: r.p for r in df.groupBy("q").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("p")).collect()}
+    got = {r[0]: r[1] for r in quantiles.exact(df.withColumnRenamed("q", "g"), "v", probs, by=["g"]).collect()}
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
+    whole = df.agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("p")).first().p
+    assert repr(quantiles.exact(df, "v", probs).first().q) == repr(whole)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "g string, v long")
+    assert [r.q for r in quantiles.exact(df, "v", (0.5,)).collect()] == [None] and quantiles.exact(df, "v", (0.5,), by=["g"]).count() == 0
+    assert metrics.value_stats(df, "v", refined=True).collect() == metrics.value_stats(df, "v").collect()
+    some = spark.createDataFrame([(3, True, 1, "x"), (5, False, 2, "y"), (9, True, 3, "z")], "tokens long, ok boolean, q int, bucket string")
+    assert rows(metrics.quartile_bucket_accuracy(some, "tokens", "ok", refined=True), "bucket") == rows(metrics.quartile_bucket_accuracy(some, "tokens", "ok"), "bucket")
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "s")], "id long, split string")
+    with pytest.raises(ValueError):
+        prep.concat_splits(a=df)
+    with pytest.raises(ValueError):
+        metrics.compare_models(a=df.withColumnRenamed("split", "model"))

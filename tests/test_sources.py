@@ -171,3 +171,36 @@ def test_publish_once(spark, tmp_path):
     at = str(tmp_path / "deep" / "x.json")
     assert storage.publish(spark, at, "one") and not storage.publish(spark, at, "two")
     assert (tmp_path / "deep" / "x.json").read_text() == "one" and [p.name for p in (tmp_path / "deep").iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+
+
+def test_documents_of_many_rows(spark, tmp_path):
+    path = str(tmp_path / "doc")
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("line\n\""), "id")).alias("v"))
+    df = df.union(df.filter("id < 3")).withColumn("id", F.when(F.col("id") != 7, F.col("id")))
+    # Small ranges would be put together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert writers.write_document(df, {"model": "m", "metrics": {"accuracy": 0.5}}, path) == 503
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(p.name for p in (tmp_path / "doc").iterdir() if not p.name.startswith((".", "_")))
+    whole = json.loads("".join((tmp_path / "doc" / n).read_text() for n in names))
+    assert whole["model"] == "m" and whole["metrics"] == {"accuracy": 0.5} and len(names) > 4
+    ids = [r["id"] for r in whole["results"]]
+    assert ids == sorted(ids, key=lambda i: -1 if i is None else i) and len(ids) == 503 and ids[0] is None
+    back = readers.read_document(spark, path, S)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    assert writers.write_document(df.limit(0), {}, path) == 0
+    names = sorted(p.name for p in (tmp_path / "doc").iterdir() if not p.name.startswith((".", "_")))
+    assert json.loads("".join((tmp_path / "doc" / n).read_text() for n in names)) == {"results": []}
+
+
+def test_two_writers_of_one_document(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "metrics")
+    assert writers.Versions(spark, path).read() == (0, {})
+    count = lambda k: writers.Versions(spark, path).update(lambda d: d | {"n": d.get("n", 0) + 1, f"by{k}": d.get(f"by{k}", 0) + 1})
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(count, [k % 4 for k in range(24)]))
+    assert writers.Versions(spark, path).read() == (24, {"n": 24} | {f"by{k}": 6 for k in range(4)})
