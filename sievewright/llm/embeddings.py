@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .shared import Labels, components, in_units, mix, partitions_of, whole_groups
 
-#: Blocks that the rotated vectors are cut into.
-BLOCKS = 8
+#: Dimensions of a block at most, for vectors of up to 64 dimensions and for wider ones; the number of blocks follows.
+#: A ball reaches 0.2 * sqrt(these) deviations of a coordinate, whatever the vectors' width, so cells split space well. In
+#: wide vectors a block of 8 lets through some false neighbours in every label of a million, in each of many blocks; one of
+#: 16 hardly any.
+NARROW, WIDE = 8, 16
 #: Vectors of a label that one cell of a block's space holds, about; from there on space is split.
-CELL = 16_384
+CELL = 65_536
 #: Vectors of one part of a cell that holds many more, as its vectors lie too close to be split; and of those that have
 #: a neighbour, whose whole vectors are compared.
-PART, PART_NEAR = 16_384, 512
+PART, PART_NEAR = 65_536, 512
 #: Vectors of a leaf of the tree that a task builds over a cell: fewer in blocks of more than 8 dimensions, where a box
 #: of many points reaches far.
 LEAF = 24
@@ -37,7 +40,7 @@ def rotation(d: int) -> np.ndarray:
 @lru_cache(8)
 def cuts(d: int) -> list[tuple[int, int]]:
     """Coordinates of each block."""
-    at = np.linspace(0, d, min(BLOCKS, d) + 1).astype(int)
+    at = np.linspace(0, d, -(-d // (NARROW if d <= 64 else WIDE)) + 1).astype(int)
     return list(zip(at[:-1].tolist(), at[1:].tolist()))
 
 
@@ -287,8 +290,8 @@ def _join(kind: str, limit: float):
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", limit: float = 0.98) -> DataFrame:
     """Vectors linked by cosine >= limit within a label: (vec_id, n_links, component_id, kept), a row for each input row.
 
-    Unit vectors with cosine c lie sqrt(2 - 2c) apart. After a fixed rotation they are cut into BLOCKS blocks, and the
-    squared distance is budgeted in proportion: linked vectors keep within the budget of one block at least. Each
+    Unit vectors with cosine c lie sqrt(2 - 2c) apart. After a fixed rotation they are cut into blocks of a few
+    dimensions, and the squared distance is budgeted in proportion: linked vectors keep within the budget of one block at least. Each
     block is a range join over all its coordinates: the space of a label's block is split at the quantiles of its
     coordinates into cells of about CELL vectors, a vector is at home in one and is sent to every cell that its ball
     reaches, and within a cell a tree over the members prunes what lies beyond the budget. Only ids and a block's

@@ -193,6 +193,37 @@ def test_block_join_prunes():
     assert shares[0] > shares[1] > shares[2] and shares[0] < 1 and shares[2] < 0.4
 
 
+@pytest.mark.parametrize("d", [64, 384, 768])
+def test_copies_in_cells_do_not_grow_with_the_width(d):
+    """Random unit vectors, the worst case: how many cells a vector's ball reaches in a block, by the size of its label."""
+    blocks = embeddings.cuts(d)
+    assert max(b - a for a, b in blocks) <= (embeddings.NARROW if d <= 64 else embeddings.WIDE) and (blocks[0][0], blocks[-1][1]) == (0, d)
+    x = np.random.default_rng(1).standard_normal((500, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    deviation = x.std(axis=0)
+    for size, most in ((embeddings.CELL, 1), (1 << 17, 2), (1 << 20, 6), (1 << 24, 25)):
+        copies = 0
+        for (a, b), budget in zip(blocks, embeddings.budgets(d, 0.98)):
+            bits = embeddings._bits(size, b - a, embeddings.CELL)
+            borders = [deviation[a + c] * np.array(embeddings._BORDERS[n]) if n else np.zeros(0) for c, n in enumerate(bits)]
+            row, _, home = embeddings._dealt(x[:, a:b], borders, budget)
+            assert home.sum() == len(x)
+            copies += len(row)
+        assert copies <= most * len(blocks) * len(x), (size, copies / len(blocks) / len(x))
+
+
+def test_wide_vectors(spark, monkeypatch):
+    """All links of vectors of many blocks, their space split and their cells in parts."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((60, 200))
+    rows = [(i, i % 2, (base[i % 60] + rng.choice([0.05, 0.12, 0.15]) * rng.standard_normal(200)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(embeddings, "CELL", 16)
+    monkeypatch.setattr(embeddings, "PART", 8)
+    got = {tuple(r) for r in embeddings.near_vectors(df).collect()}
+    assert got == vectors_want(rows) and any(r[1] for r in got) and not all(r[1] for r in got)
+
+
 # --- URLs
 
 
