@@ -1,6 +1,6 @@
 """DuckDB SQL with the rows of those queries that SQL can express."""
 
-from .licenses import BLANK, FILE_NAME, LEAST, TEMPLATES, TERM
+from .licenses import DENIED, FILE_NAME, LEAST, MARGIN, TEMPLATES, TERM, UNKNOWN
 
 _CLOSURE = """, pairs as (select a, b from links union all select b, a from links),
  reach(node, spot) as (select id, id from nodes union select r.node, p.b from reach r join pairs p on p.a = r.spot),
@@ -40,20 +40,25 @@ OP7 = r"""with u as (select page_id, case when strpos(url, '://') > 0 then subst
 
 _NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 
+#: Between two blocks of a text.
+_BLANK = r"\n[\x20\x09-\x0D]*\n"
+
 #: RE2 has no look-ahead; names of this query end in a number, so that part of the pattern can't matter.
 _FILE = FILE_NAME.replace(r"(?=[0-9])", "")
 
 OP8 = rf"""with d as (select doc_id, concat_ws('/', source, lang, doc_id) as path, coalesce(text, '') as text from documents),
  n as (select count(*) as files from d), df as (select term, count(*) as df from (select distinct path, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from d) group by term),
- g as (select distinct path, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{BLANK}'))) as seg from d),
+ g as (select distinct path, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{_BLANK}'))) as seg from d),
  tf as (select path, seg, term, count(*) as tf from (select path, seg, unnest(regexp_extract_all(lower(seg), '{TERM}')) as term from g) group by all),
  t(template, license, notice) as (values {_NOTICES}),
  m as (select template, license, term, count(*) as tf from (select template, license, unnest(regexp_extract_all(lower(notice), '{TERM}')) as term from t) group by all),
  w as (select path, seg, term, tf.tf * (ln((1 + files) / (1 + df.df)) + 1) as w from tf join df using (term) cross join n),
  v as (select template, license, term, m.tf * (ln((1 + files) / (1 + coalesce(df.df, 0))) + 1) as v from m left join df using (term) cross join n),
  vn as (select template, sqrt(sum(v * v)) as vn from v group by 1), wn as (select path, seg, sqrt(sum(w * w)) as wn from w group by all),
- s as (select path, license, round(sum(w * v / vn) / any_value(wn), 6) as score from w join v using (term) join vn using (template) join wn using (path, seg) group by path, seg, template, license),
- b as (select path, license, score from s where score >= {LEAST} qualify row_number() over (partition by path order by score desc, license) = 1),
+ s as (select path, seg, license, max(score) as score from (select path, seg, license, round(sum(w * v / vn) / any_value(wn), 6) as score from w join v using (term) join vn using (template) join wn using (path, seg) group by path, seg, template, license) x group by all),
+ k as (select *, row_number() over (partition by path, seg order by score desc, license) as place, lead(score) over (partition by path, seg order by score desc, license) as next from s),
+ y as (select path, score, next is not null and next >= {LEAST} - {MARGIN} and round(score - next, 6) < {MARGIN} as unsure, license from k where place = 1 and score >= {LEAST} and not regexp_matches(array_to_string(regexp_extract_all(lower(seg), '{TERM}'), ' '), '{DENIED}')),
+ b as (select path, case when unsure then '{UNKNOWN}' else license end as license, score from y qualify row_number() over (partition by path order by unsure, score desc, case when unsure then '{UNKNOWN}' else license end) = 1),
  f as (select regexp_replace(path, '/?[^/]*$', '') as dir, license, score from b where regexp_matches(path, '{_FILE}') qualify row_number() over (partition by regexp_replace(path, '/?[^/]*$', '') order by score desc, license) = 1),
  u as (select doc_id, path, regexp_replace(path, '/?[^/]*$', '') as near, regexp_replace(path, '/[^/]*/[^/]*$', '') as far from d)
  select doc_id, coalesce(b.license, x.license, y.license) as license, coalesce(b.score, x.score, y.score) as score,

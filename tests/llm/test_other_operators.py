@@ -303,11 +303,19 @@ def licence_want(files, templates=licenses.TEMPLATES):
     marks, out = [(name, weigh(t)) for name, t in templates], {}
     for path, text in files:
         found = []
-        for seg in {*(text or "").split("\n"), *re.split(r"\n[\x20\x09-\x0D]*\n", text or "")}:
-            w = weigh(seg)
-            found += [(-round(sum(x * v.get(k, 0) for k, x in w.items()) / (norm(w) * norm(v)), 6), name) for name, v in marks if set(w) & set(v)]
-        best = min(found, default=(0, None))
-        out[path] = (best[1], -best[0]) if -best[0] >= 0.5 else (None, None)
+        segments = {*(text or "").split("\n"), *re.split(r"\n[\x20\x09-\x0D]*\n", text or "")}
+        if re.search(licenses.FILE_NAME, str(path)):
+            segments.add(text or "")
+        for seg in segments:
+            w, near = weigh(seg), {}
+            for name, v in marks:
+                if set(w) & set(v):
+                    near[name] = max(near.get(name, 0), round(sum(x * v.get(k, 0) for k, x in w.items()) / (norm(w) * norm(v)), 6))
+            ranked = sorted(((-x, name) for name, x in near.items()), key=lambda y: y)
+            if ranked and -ranked[0][0] >= 0.5 and not re.search(r"\b(not|never|cannot|isn t|aren t|no longer) (\S+ ){0,2}(licensed|relicensed|released|dedicated)\b", " ".join(terms(seg))):
+                unsure = len(ranked) > 1 and round(ranked[1][0] - ranked[0][0], 6) < 0.02
+                found.append((unsure, ranked[0][0], "unknown" if unsure else ranked[0][1]))
+        out[path] = (min(found)[2], -min(found)[1]) if found else (None, None)
     return out
 
 
@@ -334,6 +342,7 @@ def test_license_edges(spark):
         "z/none.c": (None, "none", None), "top.c": (None, "none", None), None: (None, "none", None), "long.c": ("MIT", "own", None),
     }
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+    assert {r.origin for r in licenses.scan_licenses(df, templates=df.select(F.lit("").alias("license"), F.lit("").alias("notice")).limit(0)).collect()} == {"none"}
     assert {r.origin for r in licenses.scan_licenses(df, templates=()).collect()} == {"none"}
 
 
@@ -394,6 +403,113 @@ def test_wrapped_headers(spark):
     assert got == {k: k for k in [*by, "Apache-2.0"]} | {"none": None}
 
 
+ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by
+a source language processor.
+"""
+ZLIB = """Copyright (c) 1999 Jane Roe
+
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+BSD_2 = """Copyright (c) 2020, Jane Roe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE"""
+
+
+def test_licences_that_resemble_others(spark, sf_dir):
+    """Whole files among ordinary documents: each is told from those that share its sentences."""
+    isc = ZERO_BSD.replace("granted.", "granted, provided that the above\ncopyright notice and this permission notice appear in all copies.")
+    files = {"0BSD": ZERO_BSD, "ISC": isc, "BSL-1.0": BOOST, "Zlib": ZLIB, "MIT": MIT_TEXT, "BSD-2-Clause": BSD_2, "BSD-3-Clause": BSD_2.replace("THIS SOFTWARE", THIRD, 1)}
+    rows = [(f"{k}/LICENSE", t) for k, t in files.items()] + [(f"{k}/src/x.c", "int main;") for k in files]
+    comment = lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint main;\n"
+    rows += [(f"head/{k}.c", comment(t)) for k, t in files.items()]
+    denied = ["This file is not licensed under the Apache License, Version 2.0", "It is no longer released under the MIT License.", "This isn't released under the MIT License"]
+    rows += [(f"denied/{k}.txt", t) for k, t in enumerate(denied)] + [("both.txt", denied[0] + "\nReleased under the MIT License")]
+    rows += [(f"docs/{r.doc_id}", r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for k in files:
+        assert (got[f"{k}/LICENSE"].license, got[f"{k}/LICENSE"].origin) == (k, "own") and (got[f"{k}/src/x.c"].license, got[f"{k}/src/x.c"].origin) == (k, "inherited"), k
+        assert got[f"head/{k}.c"].license == k and got[f"{k}/LICENSE"].score > 0.85, k
+    assert [got[f"denied/{k}.txt"].license for k in range(3)] == [None] * 3 and got["both.txt"].license == "MIT"
+    want = licence_want(rows)
+    assert all((want[p][0], "own" if want[p][0] else got[p].origin) == (got[p].license if got[p].origin == "own" else None, got[p].origin) for p, _ in rows)
+    assert all(want[p][0] is None or abs(want[p][1] - got[p].score) < 2e-6 for p, _ in rows)
+
+
+def test_near_several_licences(spark, monkeypatch):
+    rows = [("x/LICENSE", "may be copied freely by all"), ("x/y.c", "int;"), ("z.c", "may be copied freely by none")]
+    some = [("A", "may be copied freely"), ("B", "may be copied freely"), ("C", "copied by none freely")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan_licenses(df, templates=some).collect()}
+    assert got == {"x/LICENSE": ("unknown", "own"), "x/y.c": ("unknown", "inherited"), "z.c": ("C", "own")}
+    table = spark.createDataFrame([*some, some[0]], "license string, notice string")
+    monkeypatch.setattr(licenses, "LOOKUP_ROWS", 0)
+    assert {r.path: (r.license, r.origin) for r in licenses.scan_licenses(df, templates=table).collect()} == got
+
+
 def test_root_licence(spark):
     apache = "Licensed under the Apache License, Version 2.0"
     rows = [("LICENSE", MIT_TEXT), ("setup.cfg", "x"), ("src/x.c", "int;"), ("src/a/b/y.c", None), ("lib/LICENSE", apache), ("lib/z/z.c", "int;"), (None, "text")]
