@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path, stored
 from .packing import _byte_letters
-from .shared import filesystem, partitions_of, span_hash, text_chunks, tidy
+from .shared import filesystem, mapped, partitions_of, span_hash, text_chunks, tidy
 
 SPACE = "▁"
 #: Distinct units, and links of them, that a worker keeps; it starts anew beyond.
@@ -342,18 +341,6 @@ def _shards(folder: str, n_b: int):
     return run
 
 
-def _mapped(uri: str, size: int) -> np.ndarray:
-    """An array of a shard: mapped where the shared folder is mounted, else from a file of no name that ends with the worker."""
-    store, path = filesystem(uri)
-    if store.type_name == "local":
-        return np.memmap(path, "<i8", "r", shape=(size,))
-    with tempfile.TemporaryFile() as own, store.open_input_stream(path) as f:
-        while block := f.read(1 << 22):
-            own.write(block)
-        own.flush()
-        return np.memmap(own, "<i8", "r", shape=(size,))
-
-
 class Lookup:
     """Counts of packed pairs in the sorted shards, by binary search; a shard is opened when a pair falls into it."""
 
@@ -373,8 +360,8 @@ class Lookup:
         cut = np.append(np.searchsorted(found, self.lows), len(found))
         for s in np.flatnonzero(np.diff(cut)):
             if s not in self.open:
-                at, _, _, size = self.shards[s]
-                self.open[s] = _mapped(f"{at}.keys", size), _mapped(f"{at}.counts", size)
+                at = self.shards[s][0]
+                self.open[s] = mapped(f"{at}.keys").view("<i8"), mapped(f"{at}.counts").view("<i8")
             known, counts = self.open[s]
             some = found[cut[s] : cut[s + 1]]
             spot = np.minimum(np.searchsorted(known, some), len(known) - 1)

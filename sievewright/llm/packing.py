@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -15,13 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .shared import lower_ascii, span_hash, text_chunks, tidy, word_spans
+from .shared import LOOKUP_ROWS, lower_ascii, span_hash, text_chunks, tidy, word_spans
 
 #: Distinct words whose ids a worker keeps; it starts anew beyond.
 CACHE_WORDS = 500_000
-#: Rows of the counts by part and length up to which they are broadcast (two numbers each, some 50 MB at most); beyond,
-#: pieces and counts are merged.
-LOOKUP_ROWS = 1_000_000
 
 
 _ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -38,12 +36,29 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: Fixed value: how a tokenizer of whole words splits a text, white space being dropped.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_words(spec: dict) -> bool:
+    """Whether the file says that a text is lower-cased, split as by _SPLIT, and merged within the parts alone, each after
+    normal forms and white space have been made even: nothing else may look across a part's border."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    even = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " ") for x in steps)
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["pattern"] == {"Regex": _SPLIT} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    plain = split and parts[1]["type"] == "ByteLevel" and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    model = spec["model"]
+    return even and any(x["type"] == "Lowercase" for x in steps) and bool(plain) and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation")
+
+
 class WordIds:
     """Ids of each word, kept in flat arrays by the word's 64-bit hash.
 
     For a tokenizer that lower-cases, drops white space, and whose tokens span neither white space nor the border from
     a letter or digit to a punctuation mark: a text's ids then are those of its parts in order, and each distinct part
-    is encoded once for a worker. Another tokenizer gives itself away on a probe, and then whole texts are encoded.
+    is encoded once for a worker. Whether a tokenizer does so is read from its file (see _splits_words); with any other,
+    and where a probe disagrees, whole texts are encoded.
     """
 
     PROBE = "Ab  Cd, efÉ. It's 12!\nx-y (z) ... ü"
@@ -55,7 +70,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.clear()
-        self.whole = False
+        with open(path, encoding="utf-8") as f:
+            self.whole = not _splits_words(json.load(f))
+        if self.whole:
+            return
         raw = self.PROBE.encode()
         ids, _ = self.texts(np.frombuffer(raw + bytes(8), np.uint8), np.array([0, len(raw)]))
         self.whole = ids.tolist() != self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids

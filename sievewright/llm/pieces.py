@@ -36,6 +36,48 @@ def log_scores(scores: list[float]) -> list[float]:
     return np.log(weight / weight.sum()).tolist()
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a serialized message; a value is a number or bytes."""
+
+    def number(at: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            out |= (message[at] & 0x7F) << shift
+            at, shift = at + 1, shift + 7
+            if message[at - 1] < 0x80:
+                return out, at
+
+    at = 0
+    while at < len(message):
+        tag, at = number(at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = message[at : at + size], at + size
+        yield tag >> 3, value
+
+
+#: Numbers of fields in a model's file, and of the type of a piece that a user defined.
+_PIECE, _NORMALIZER, _TYPE, _USER_DEFINED = 1, 3, 3, 4
+_CHARS, _DUMMY_PREFIX, _NO_EXTRA_SPACE, _ESCAPE = 2, 3, 4, 5
+
+
+def check_model(serialized: bytes) -> None:
+    """Raise where a model does to a text what the encoder here doesn't: replaces characters, adds no space before a text,
+    drops extra spaces, keeps them unescaped, or has pieces that a user defined, which are cut out first."""
+    odd = []
+    for field, value in _fields(serialized):
+        if field == _NORMALIZER:
+            spec = {_DUMMY_PREFIX: 1, _NO_EXTRA_SPACE: 1, _ESCAPE: 1} | dict(_fields(value))
+            odd += [what for what, is_so in (("replaces characters", spec.get(_CHARS)), ("adds no space before a text", not spec[_DUMMY_PREFIX]), ("drops extra spaces", spec[_NO_EXTRA_SPACE]), ("keeps spaces unescaped", not spec[_ESCAPE])) if is_so]
+        elif field == _PIECE and dict(_fields(value)).get(_TYPE) == _USER_DEFINED:
+            odd.append("has pieces that a user defined")
+    if odd:
+        raise ValueError(f"the model {', '.join(dict.fromkeys(odd))}: its ids would be others")
+
+
 class DoubleArray:
     """A trie over bytes in two arrays: the child of state s by byte b is base[s] + b + 1 if check there is s."""
 
@@ -108,6 +150,7 @@ class Unigram:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_model(sp.serialized_model_proto())
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -274,6 +317,9 @@ def _model(path: str) -> Unigram:
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of each whole text, a row for each input row; no shuffle.
 
+    The model's file must leave texts as they are, but for a space before them that is added here too, and have no pieces
+    that a user defined; another is an error (check_model).
+
     Null and empty texts have no ids, null ids stay null, repeated rows get equal results; very long texts are encoded
     in whole; other columns are not read.
     """

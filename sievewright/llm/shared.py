@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,28 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+def mapped(uri: str) -> np.memmap:
+    """The bytes of a file of the shared folder: mapped where it lies if the folder is mounted, else from a copy without a
+    name, which takes no room once the worker lets go of it."""
+    store, path = filesystem(uri)
+    if store.type_name == "local":
+        return np.memmap(path, np.uint8, "r")
+    with tempfile.TemporaryFile() as own, store.open_input_stream(path) as f:
+        while block := f.read(1 << 22):
+            own.write(block)
+        own.flush()
+        return np.memmap(own, np.uint8, "r")
+
+
+#: Rows up to which a table of a few numbers a row is broadcast, some 50 to 100 MB; beyond, it is merged.
+LOOKUP_ROWS = 1_000_000
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows as a side of a join: its size is looked at first."""
+    return F.broadcast(df) if df.count() <= LOOKUP_ROWS else df.hint("merge")
+
+
 def tidy() -> None:
     """Give memory that is free back to the system. Workers live on between tasks and stages, beside the executor."""
     pa.default_memory_pool().release_unused()

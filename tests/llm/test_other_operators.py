@@ -253,6 +253,23 @@ def test_url_edges(spark):
     assert {r.verdict for r in urls.filter_urls(spark, df, []).collect()} == {"allow"}
 
 
+def test_rules_that_no_url_fits(spark):
+    for host, path in (("a.com/x", ""), ("a.com?", ""), ("a#", "/x"), ("a.co", "m/x")):
+        with pytest.raises(ValueError):
+            urls.Rule(host, path)
+    df = spark.createDataFrame([(1, "http://a.com/x/y"), (2, "http://b.a.com/z")], "page_id long, url string")
+    table = spark.createDataFrame([("a.com", "/x", "block"), ("a.com/x", None, "look"), ("a.co", "m/x", "look")], "host string, path string, verdict string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark, df, table).collect()} == {1: ("a.com/x", "block"), 2: (None, "allow")}
+
+
+def test_only_lengths_under_a_host_are_probed(tmp_path):
+    path = tmp_path / "d.bin"
+    rules = [urls.Rule("a.com", "/" + "x" * k) for k in range(50)] + [urls.Rule("b.com", "/yy"), urls.Rule("c.com")]
+    path.write_bytes(urls.DigestArray.pack(rules))
+    found = urls.RuleFiles([str(path)]).path_lengths(["a.com", "b.com", "c.com", "com", "d.com"])
+    assert found == {"a.com": list(range(1, 51)), "b.com": [3], "c.com": [0]}
+
+
 def test_digest_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh3_64_intdigest", lambda b: len(b))
     path = tmp_path / "d.bin"
@@ -532,6 +549,19 @@ def test_licence_file_names():
 # --- pieces
 
 
+def test_models_that_change_texts():
+    field = lambda number, kind, body: bytes([number << 3 | kind]) + (bytes([len(body)]) + body if kind == 2 else body)
+    piece = lambda kind: field(1, 2, field(1, 2, b"ab") + field(2, 5, bytes(4)) + field(3, 0, bytes([kind])))
+    plain = field(4, 0, b"\x00")
+    pieces.check_model(piece(1) + piece(6) + field(3, 2, field(1, 2, b"identity") + plain))
+    odd = {"replaces": field(2, 2, b"xyz") + plain, "no space": field(3, 0, b"\x00") + plain, "extra": field(1, 2, b"identity"), "unescaped": plain + field(5, 0, b"\x00")}
+    for what, spec in odd.items():
+        with pytest.raises(ValueError, match=what):
+            pieces.check_model(piece(1) + field(3, 2, spec))
+    with pytest.raises(ValueError, match="user"):
+        pieces.check_model(piece(4) + field(3, 2, plain))
+
+
 @pytest.fixture(scope="module")
 def uni():
     return pieces.Unigram.load(queries.tokenizer_path("piece_bpe_32k.model"))

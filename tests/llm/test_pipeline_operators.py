@@ -286,3 +286,30 @@ def test_best_fit_matches_one_by_one():
         counts = {n: lengths.count(n) for n in set(lengths)}
         rows, used = packing.best_fit_decreasing(counts, 32)
         assert used == len(bins)
+
+
+def test_words_alone_or_whole_texts(tmp_path):
+    """Which tokenizers encode words alone is read from their files; others get whole texts, with the same ids."""
+    import copy
+    import json
+
+    from sievewright.llm import packing
+
+    spec = json.load(open(queries.tokenizer_path()))
+    assert packing._splits_words(spec) and not packing.WordIds(queries.tokenizer_path()).whole
+    cased, split, dropout, byte = (copy.deepcopy(spec) for _ in range(4))
+    cased["normalizer"]["normalizers"].pop()
+    split["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\\S+"
+    dropout["model"]["dropout"] = 0.1
+    byte["normalizer"] = None
+    assert not any(map(packing._splits_words, (cased, split, dropout, byte)))
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(cased))
+    texts = ["Ab  Cd, efÉ. It's 12!\nx-y", "", "plain words"]
+    raw = [t.encode() for t in texts]
+    import numpy as np
+
+    words = packing.WordIds(str(path))
+    ids, ptr = words.texts(np.frombuffer(b"".join(raw) + bytes(8), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+    want = [x.ids for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert words.whole and [ids[a:b].tolist() for a, b in zip(ptr, ptr[1:])] == want
