@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,15 +18,23 @@ _ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 _INT = r"(?U)^\s*([+-]?\d+(?:_\d+)*)\s*$"
 
 
-def parsed(text: Column) -> Column:
+def parsed(text: Column, keys: Sequence[str] = ("predicted_label", "label")) -> Column:
     """Fields of a text that is one JSON object, array<struct<key, kind, value>> with the last first; null where it is none.
 
     One parse gives both: kind is the JSON type (STRING, BIGINT, BOOLEAN, VOID, DECIMAL..., OBJECT...), value the string
-    or what stands for it. Keys may repeat, though not within a field's own value.
+    or what stands for it. Keys may repeat. Where they do so within a field's own value, that parse gives up, and another
+    reads the fields of `keys` alone, the last of each, passing over all others.
     """
-    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>", _PLAIN)
-    fields = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), F.schema_of_variant(e["value"]).alias("kind"), e["value"].cast("string").alias("value")))
-    return let(one, lambda x: F.when(F.size(x) == 1, F.reverse(fields(F.get(x, F.lit(0))))))
+    names = list(dict.fromkeys(keys))
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    read = lambda kind: F.from_json(wrapped, f"array<{kind}>", _PLAIN)
+    only = lambda x, body: F.when(F.size(x) == 1, body(F.get(x, F.lit(0))))
+    shown = lambda key, v: F.struct(key.alias("key"), F.schema_of_variant(v).alias("kind"), v.cast("string").alias("value"))
+    every = lambda m: F.reverse(F.transform(F.map_entries(m), lambda e: shown(e["key"], e["value"])))
+    some = lambda s: F.filter(F.array(*(F.when(s[k].isNotNull(), shown(F.lit(k), s[k])) for k in names)), lambda f: f.isNotNull())
+    plain = let(read("map<string,variant>"), lambda x: only(x, every))
+    nested = F.instr(F.substring(text, F.instr(text, "{") + 1, 1 << 30), "{") > 0
+    return F.coalesce(plain, F.when(nested, let(read(f"struct<{', '.join(f'`{k}`: variant' for k in names)}>"), lambda x: only(x, lambda s: F.when(s.isNotNull(), some(s))))))
 
 
 def field(fields: Column, key: str) -> Column:

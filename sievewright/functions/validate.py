@@ -78,7 +78,7 @@ def validate(response: Column, shape: Shape, clean: bool = True) -> Column:
 
     text = clean_json(response) if clean else response
     found = lambda fields: F.struct(fields.isNotNull().alias("json"), fields.alias("fields"), *(field(fields, k).alias(k) for k in dict.fromkeys(keys)))
-    return let(parsed(text), lambda fields: let(found(fields), judged))
+    return let(parsed(text, keys), lambda fields: let(found(fields), judged))
 
 
 def reprompt(error_kind: Column, value: Column, form: str) -> Column:

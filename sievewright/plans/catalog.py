@@ -384,6 +384,20 @@ def methods_by_name(spark, sf_dir):
     return metrics.ordered_names(x.select("method").union(x.select("strict_method")), "method")
 
 
+@_query(f"select id, cast(case id % 5 when 0 then pred when 1 then pred when 2 then 1 when 3 then 0 else -1 end as bigint) as label, case id % 5 when 2 then 'json_label' when 4 then 'extraction_failure' else 'json_predicted_label' end as method from ({_PRED}) p")
+def extract_repeated_keys(spark, sf_dir):
+    """Labels of objects that repeat keys, at the top and within other fields' values: numbers, texts, booleans, cut off
+    numbers and null."""
+    p = F.col("pred").cast("string")
+    inner = F.lit('{"notes": {"x": 1, "x": [{"y": 1, "y": 2}]}, ')
+    forms = (
+        F.concat(inner, F.lit('"predicted_label": 5, "predicted_label": '), p, F.lit("}")), F.concat(inner, F.lit('"predicted_label": "'), p, F.lit('"}')),
+        F.concat(inner, F.lit('"label": true}')), F.concat(inner, F.lit('"predicted_label": 0.7, "label": 1}')), F.concat(inner, F.lit('"predicted_label": null, "label": 1}')),
+    )
+    rows = predictions(spark, sf_dir).select("id", F.element_at(F.array(*forms), (F.col("id") % 5 + 1).cast("int")).alias("output"))
+    return rows.select("id", extract.tracking(F.col("output")).alias("x")).select("id", "x.label", "x.method")
+
+
 @_query(f"select method, cast(count(*) as bigint) as n, {_pct('count(*)', 'sum(count(*)) over ()')} as percent from ({_X}) x group by method")
 def method_counts(spark, sf_dir):
     return metrics.shares(extracted(spark, sf_dir), "method")

@@ -133,3 +133,18 @@ def test_a_reply_is_parsed_once(spark):
     for c in (validate.validate(F.col("t"), validate.SCORE), validate.validate(F.col("t"), validate.REFLECTION), extract.tracking(F.col("t")), extract.strict(F.col("t"))):
         plan = df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
         assert plan.count("from_json") + plan.count("jsontostructs") <= 2, plan[:3000]
+
+
+def test_keys_that_repeat_within_values(spark):
+    inner = '{"a": {"x": 1, "x": 2}, '
+    want = {
+        inner + '"predicted_label": 1}': 1, inner + '"predicted_label": "0"}': 0, inner + '"label": true, "b": null}': 1, inner + '"predicted_label": null, "label": 1}': -1,
+        inner + '"predicted_label": 0.7}': 0, inner + '"predicted_label": {"y": {}}} {"label": 1}': 1, inner + '"predicted_label": 1, ...}': -1, inner + '"predicted_label": 3}': 3,
+        '{"predicted_label": 1, "predicted_label": 0, "z": [{"q": 1, "q": 2}]}': 0, inner + '"predicted_label": "1", "predicted_label": false}': 0, inner + '"predicted_label": "NaN"}': -1,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.x for r in df.select("t", extract.tracking(F.col("t"))["label"].alias("x")).collect()} == want
+    got = df.limit(1).select(validate.validate(F.lit(inner + '"predicted_label": 1, "thought_process": "t"}'), validate.NLI).alias("v")).first().v
+    assert got.valid and got.label == 1 and got.fields["thought_process"] == "t"
+    got = df.limit(1).select(validate.validate(F.lit(inner + '"predicted_label": 1, "thought_process": 5}'), validate.NLI).alias("v")).first().v
+    assert not got.valid and got.error_kind == "json"
