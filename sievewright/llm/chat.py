@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .secrets import _before, _let
+
 # The grammar.
 #   conversation = turn*    turn = OPEN role mark CLOSE text END    mark = "" (text as it is) or ESCAPED
 OPEN, CLOSE, END, ESCAPED = "<s>[INST:", "]", "</s>", "/e"
@@ -60,16 +62,15 @@ def _said(turns: Column) -> Column:
 
 def loss_spans(turns: Column, role: str) -> Column:
     """Spans (start, end, in code points, end exclusive) of the texts of one role within the formatted text."""
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, escaped: boolean>>)")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    sizes = F.transform(turns, lambda t: (t["head"] + t["size"] + len(END)).cast("int"))
 
-    def step(acc: Column, t: Column) -> Column:
-        begin, end = acc["at"] + t["head"], acc["at"] + t["head"] + t["size"]
-        span = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), (t["size"] != F.length(t["text"])).alias("escaped"))
-        out = F.when(t["role"] == role, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((end + len(END)).cast("int").alias("at"), out.alias("out"))
+    def span(t: Column, at: Column) -> Column:
+        begin = at + t["head"]
+        return F.struct(begin.cast("int").alias("start"), (begin + t["size"]).cast("int").alias("end"), (t["size"] != F.length(t["text"])).alias("escaped"))
 
-    return F.aggregate(turns, first, step, lambda acc: acc["out"])
+    # What lies before each turn is a running sum, so a conversation of many turns takes time in proportion.
+    spans = _let(_before(sizes), lambda at: F.transform(turns, lambda t, i: F.when(t["role"] == role, span(t, F.get(at, i)))))
+    return F.filter(spans, lambda s: s.isNotNull())
 
 
 def format_chats(rows: DataFrame, role: str = "assistant") -> DataFrame:
