@@ -146,9 +146,10 @@ def json_dir(spark, sf_dir):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> str:
-    """A result document for each of three models, that has every third row; a pretty-printed file each."""
+    """Result documents of three models over batches of 300 ids, so none has more than a hundred rows; a pretty-printed file
+    each."""
     path = fresh_path(spark, "results")
-    rows = outputs(spark, sf_dir).withColumn("output", F.when(F.col("id") % 5 != 0, F.col("output"))).withColumn("model", F.concat(F.lit("m"), F.col("id") % 3))
+    rows = outputs(spark, sf_dir).withColumn("output", F.when(F.col("id") % 5 != 0, F.col("output"))).withColumn("model", F.concat(F.lit("m"), F.col("id") % 3, F.lit("-"), F.floor(F.col("id") / 300)))
     result = F.struct(F.col("id").cast("string").alias("premise"), F.col("pred").cast("int").alias("predicted_label"), "output", F.col("true_label").cast("int").alias("true_label"))
     docs = rows.groupBy("model").agg(F.collect_list(result).alias("results"), F.count("*").cast("double").alias("inference_time_seconds"))
     docs = docs.select("model", F.to_json(F.struct("model", "inference_time_seconds", "results"), {"pretty": "true"}).alias("value"))
@@ -156,7 +157,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-_DOCS = f"select concat('m', id % 3) as model, cast(id as varchar) as premise, cast(pred as integer) as predicted_label, case when id % 5 <> 0 then output end as output, cast(true_label as integer) as true_label from ({_OUTPUTS}) o"
+_DOCS = f"select concat('m', id % 3, '-', id // 300) as model, cast(id as varchar) as premise, cast(pred as integer) as predicted_label, case when id % 5 <> 0 then output end as output, cast(true_label as integer) as true_label from ({_OUTPUTS}) o"
 
 
 @query(_DOCS)
