@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored, unused
-from .shared import Labels, components, in_units, mix, partitions_of, shingle_sets, text_chunks, tidy, whole_groups
+from .shared import Labels, components, in_units, looked_up, mix, partitions_of, shingle_sets, text_chunks, tidy, whole_groups
 
 #: Each of two collections has SIDE tuples of ROWS minhashes; the SIDE * SIDE tables take a tuple of each as their
 #: key. A pair of similarity 0.85 shares a table but for 2 * (1 - 0.85**ROWS)**SIDE = 2e-5.
@@ -325,8 +325,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, per_cent: i
     member = member.join(member.groupBy("grp").agg(_parts(F.lit(True)).alias("parts")), "grp")
     # One text of each set; rows that repeat it, id and all, are one.
     of = member.select("node", "grp", "n", "parts", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    # By merging at every size, as a broadcast of the groups' members would only serve small inputs.
-    texts = docs.join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    # Where the members can be looked up, the other texts aren't dealt out at all.
+    texts = docs.join(looked_up(stored(of, "wanted")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     texts = stored(texts.groupBy("node", "grp", "n", "parts").agg(F.first("text").alias("text")), "texts")
     found = components(_links(texts, reps, width, per_cent), "a", "b")
     firsts = found.join(reps.select("node", "first"), "node")
@@ -370,11 +370,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     key, no, who = unused(docs, "_text_key", "_dropped", "_who")
     found = stored(_judged(docs, id_col, text_col, width, per_cent).filter("n_shingles > 0"), "verdicts")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    dropped = found.filter(~is_first).select(F.col("doc_id").alias(who), F.col("text_key").alias(no)).distinct()
+    dropped = stored(found.filter(~is_first).select(F.col("doc_id").alias(who), F.col("text_key").alias(no)).distinct(), "dropped")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
-    # By merging at every size: a broadcast of the dropped rows would only serve small inputs.
     same = F.col(id_col).cast("long").eqNullSafe(F.col(who)) & (F.col(key) == F.col(no))
-    left = keyed.join(dropped.hint("merge"), same, "left_anti")
+    left = keyed.join(looked_up(dropped), same, "left_anti")
     if found.filter(is_first).groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         return left.drop(key)
     words = F.coalesce(F.regexp_like(text_col, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path, stored
-from .shared import filesystem, partitions_of
+from .shared import filesystem, looked_up, partitions_of
 
 #: An archive is closed once it holds so many bytes of records, a member of it likewise.
 ARCHIVE_BYTES, MEMBER_BYTES = 128 << 20, 32 << 20
@@ -287,9 +287,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     shared = stored(shared.select("sha1", "response"), "shared-payloads")
     revisits = ids.join(shared, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("response")))
     revisits = stored(revisits.select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("response").alias("refers_to")).distinct(), "revisits")
-    # By merging at every size: a broadcast of the revisits would only serve small inputs.
+    # Where the revisits can be looked up, no payload is dealt out.
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1"))
-    src = src.join(revisits.hint("merge"), same, "left").select("page_id", "url", "payload", "refers_to")
+    src = src.join(looked_up(revisits), same, "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
