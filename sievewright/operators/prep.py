@@ -152,8 +152,14 @@ def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 
 
-def output_name(model: Column, data: Column, labelled: Column) -> Column:
-    """model-data-labelled, of the last parts of both paths, the data's without its ending."""
+def output_name(model: str, data: str, labelled: bool) -> str:
+    """The name of a run's results: model-data-labelled, of the last parts of both paths, the data's without its ending."""
+    last = lambda path: path.rstrip("/").rsplit("/", 1)[-1]
+    return f"{last(model)}-{last(data).rsplit('.', 1)[0]}-{'labelled' if labelled else 'unlabelled'}"
+
+
+def output_names(model: Column, data: Column, labelled: Column) -> Column:
+    """output_name as an expression over rows."""
     last = lambda path: F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
     return F.concat_ws("-", last(model), F.regexp_replace(last(data), r"\.[^.]*$", ""), F.when(labelled, "labelled").otherwise("unlabelled"))
 

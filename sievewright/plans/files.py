@@ -376,7 +376,7 @@ def reasoning_alias(spark, sf_dir):
 def output_names(spark, sf_dir):
     """Names of result files, for each source and language."""
     pairs = table(spark, sf_dir, "documents").select("source", "lang").distinct()
-    name = prep.output_name(F.lit("org/m-7b"), F.concat(F.lit("data/"), "source", F.lit(".csv")), F.col("lang") == "en")
+    name = prep.output_names(F.lit("org/m-7b"), F.concat(F.lit("data/"), "source", F.lit(".csv")), F.col("lang") == "en")
     return pairs.select("source", "lang", name.alias("name"))
 
 

@@ -39,22 +39,27 @@ class AppendLog:
     def append(self, df: DataFrame, token: str | None = None) -> int:
         """Append the rows and return the number of their commit. With a token that is committed already nothing is
         done, and the number is that of then."""
-        seq = self._seq_of(token)
-        if seq is not None:
-            return seq
+        known, _ = self._seen(token)
+        if known is not None:
+            return known
         folder = uuid.uuid4().hex
         df.select(*(F.col(f"`{f.name}`") for f in self.schema.fields)).write.json(f"{self.path}/batch={folder}")
         while True:
-            seq = (self.commits().agg(F.max("seq")).first()[0] or 0) + 1
-            if publish(self.spark, f"{self.path}/_commits/{seq:020d}.json", json.dumps({"seq": seq, "token": token, "folder": folder})):
-                return seq
-            # Another writer had this number; perhaps it appended the same.
-            known = self._seq_of(token)
+            # Both from one look: whoever commits the same after it takes the number that this writer reaches for.
+            known, last = self._seen(token)
             if known is not None:
                 return known
+            if publish(self.spark, f"{self.path}/_commits/{last + 1:020d}.json", json.dumps({"seq": last + 1, "token": token, "folder": folder})):
+                return last + 1
 
-    def _seq_of(self, token: str | None) -> int | None:
-        return self.commits().filter(F.col("token") == token).agg(F.min("seq")).first()[0] if token is not None else None
+    def _seen(self, token: str | None) -> tuple[int | None, int]:
+        """The number under which the token is committed, if it is, and the last number of all."""
+        while True:
+            own = F.min(F.when(F.col("token") == token, F.col("seq"))) if token is not None else F.lit(None).cast("long")
+            got = self.commits().agg(own.alias("own"), F.max("seq").alias("last"), F.count("*").alias("n")).first()
+            # A listing that runs while files come may have a later one and lack an earlier one; then look again.
+            if got["n"] == (got["last"] or 0):
+                return got["own"], got["last"] or 0
 
     def _with_place(self) -> tuple[DataFrame, str]:
         """The records, and a column by which they ascend in the order of the log."""
