@@ -105,7 +105,7 @@ def _merkle(levels: int) -> str:
 OP11 = _merkle(5)
 
 #: Sources stop in the order of their bounds over their weights; the rate is that of the first k stopped beyond which none reaches its bound.
-OP13 = r"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(text, '')) as mark from documents),
+OP13 = r"""with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, md5(coalesce(text, '')) as mark from documents),
  z as (select source, cast(sum(size) as bigint) as source_size from d group by 1),
  w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, 3 * source_size as bound from z),
  o as (select *, row_number() over (order by bound / w, source nulls last) as k, sum(source_size) over () as pot, sum(w) over () as heavy from w),
@@ -114,7 +114,13 @@ OP13 = r"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesc
  t as (select o.source, o.source_size, case when f.heavy is null or f.rest * o.w >= o.bound * f.heavy then cast(o.bound as double) else cast(f.rest * o.w as double) / cast(f.heavy as double) end as target from o left join f on true),
  e as (select *, cast(case when source_size = 0 then 0.0 else least(target / source_size, 3.0) end as decimal(17, 15)) as copies, cast(cast(('0x' || substr(md5('1:' || coalesce('+' || source, '')), 1, 8)) as bigint) / 4294967296 as decimal(17, 15)) as u from t),
  h as (select d.*, e.source_size, e.target, e.copies, e.u, md5('1:' || coalesce(cast(doc_id as varchar), '-') || ':' || mark) < '8' as half from d join e on d.source is not distinct from e.source),
- s as (select *, sum(copies) over (partition by source order by half, case when half then -size else size end, doc_id nulls first, mark rows between unbounded preceding and current row) + u as upto from h)
- select doc_id, size, source_size, target, cast(size * (floor(upto) - floor(upto - copies)) as bigint) as taken from s"""
+ s as (select *, sum(copies) over (partition by source order by half, case when half then -size else size end, doc_id nulls first, mark rows between unbounded preceding and current row) + u as upto from h),
+ c as (select *, cast(floor(upto) - floor(upto - copies) as bigint) as n, row_number() over () as r, row_number() over (partition by source order by half, case when half then -size else size end, doc_id nulls first, mark) as place from s),
+ m as (select source, any_value(target) as target, any_value(target) - sum(size * n) as miss from c group by source),
+ x as (select r, c.source, size, cast(sign(miss) as integer) as way, cast(floor(abs(miss)) as bigint) as missing, row_number() over (partition by c.source order by size desc, place) as k from c join m on c.source is not distinct from m.source
+ where abs(miss) > 0.001 * m.target and size > 0 and case when miss > 0 then n < copies else n > copies end),
+ g as (select source, cast(0 as bigint) as k, cast(0 as bigint) as r, 0 as way, any_value(missing) as rest, false as turned from x group by source
+ union all select x.source, x.k, x.r, x.way, g.rest - case when x.size <= g.rest then x.size else 0 end, x.size <= g.rest from g join x on x.source is not distinct from g.source and x.k = g.k + 1)
+ select doc_id, size, source_size, target, cast(size * (n + coalesce(g.way, 0)) as bigint) as taken from c left join g on g.r = c.r and g.turned"""
 
 SQL = {"op2_minhash": OP2, "op3_warc": OP3, "op4_embeddings": OP4, "op7_urls": OP7, "op8_licenses": OP8, "op10_chat": OP10, "op11_merkle": OP11, "op13_mixing": OP13}
