@@ -21,7 +21,12 @@ def overwrite_json(df: DataFrame, path: str) -> None:
 
 
 def write_split_failures(df: DataFrame, good: str, dead: str, error_col: str = "error_info", fields: tuple[str, ...] = ()) -> None:
-    """Rows without an error as JSON, the others as CSV of `fields` (missing ones 'N/A') and the error."""
+    """Rows without an error as JSON, the others as CSV of `fields` (missing ones 'N/A') and the error, in two places.
+
+    The rows are worked out once and written before they are split; lines.write_routed does with a single write where one
+    folder for both will do.
+    """
+    df = stored(df, "letters")
     overwrite_json(df.filter(F.col(error_col).isNull()).drop(error_col), good)
     shown = [F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) if c in df.columns else F.lit("N/A").alias(c) for c in fields or [c for c in df.columns if c != error_col]]
     df.filter(F.col(error_col).isNotNull()).select(*shown, error_col).write.mode("overwrite").csv(dead, header=True, escape='"')
