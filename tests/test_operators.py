@@ -223,6 +223,30 @@ def test_count_tokens(spark, sf_dir):
     assert dict(map(tuple, registry.QUERIES["token_count_model"](spark, sf_dir).collect())) == want
 
 
+def test_tokens_are_counted_in_bounded_runs(monkeypatch):
+    """However many rows a batch has, few bytes of text are encoded at once."""
+    import pyarrow as pa
+
+    from sievewright.operators import tokens
+
+    class Words:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sizes.append([len(t.encode()) for t in texts])
+            return [t.split() for t in texts]
+
+    texts = [None, "", "a b", "é è ê", None, "x " * 100, "é", "a b c d"] * 30 + [None] * 50
+    want = [len(t.split()) if t else 0 for t in texts]
+    for most in (1, 9, 64, 1 << 18):
+        sizes = []
+        monkeypatch.setattr(tokens, "RUN_BYTES", most)
+        assert tokens.token_counts(Words(), pa.array(texts)).tolist() == want
+        assert all(sum(x) <= most or sum(1 for n in x if n) == 1 for x in sizes)
+        # Slices, as Spark may hand them over, and no rows at all.
+        assert tokens.token_counts(Words(), pa.array(texts)[3:50]).tolist() == want[3:50]
+        assert tokens.token_counts(Words(), pa.array([], pa.string())).tolist() == []
+        assert tokens.token_counts(Words(), pa.array([None, None], pa.string())).tolist() == [0, 0]
+
+
 def test_numbers_and_running_sums_in_ranges(spark):
     n = 5000
     df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.when(F.col("id") % 10 == 0, None).otherwise(F.lit("a")).alias("g"), F.lit("x").alias("_part"))
