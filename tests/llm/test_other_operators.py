@@ -349,6 +349,21 @@ def test_licenses(spark, sf_dir):
         assert (got[i].license in own) if own else got[i].license is None, i
 
 
+def test_documents_inherit_licenses(spark, tmp_path):
+    """A document without an id may be a licence file by name; each document has a row, also where names repeat."""
+    import duckdb
+
+    apache, mit = "Licensed under the Apache License, Version 2.0", "Released under the MIT License"
+    rows = [(None, "LICENSE", "web", apache), (1, "en", "web", "some text"), (2, "de", "web", mit), (3, None, "web", None), (4, "en", "forum", "x"), (4, "en", "forum", "x"), (None, "7", "forum", mit), (None, None, None, ""), (5, None, None, "y")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op8_licenses(spark, str(tmp_path)).collect()]
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        assert Counter(got) == Counter(con.execute(queries.SQL["op8_licenses"]).fetchall())
+    assert {r[0]: r[1:] for r in got if r[0] in (1, 2, 3)} == {1: ("Apache-2.0", 1.0, "inherited", "web"), 2: ("MIT", 1.0, "own", None), 3: ("Apache-2.0", 1.0, "inherited", "web")}
+    assert Counter(r[0] for r in got) == {None: 3, 1: 1, 2: 1, 3: 1, 4: 2, 5: 1}
+
+
 def test_license_edges(spark):
     odd = " ".join(f"w{k}" for k in range(300))
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.c", None), ("a/b/c/y.c", "int main;"), ("a/b/LICENSE", "text\nLicensed under the Apache License, Version 2.0."), ("z/none.c", "licence to kill"), ("top.c", ""), ("long.c", odd + "\n" + "z " * 200_000 + "\n# Released under\n# the MIT License\n\n" + odd)]
